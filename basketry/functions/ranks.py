@@ -23,19 +23,19 @@ def usable(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value)
 
 
-def melt(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Long form ``(by…, column, value)`` of numeric columns as doubles, missing values dropped."""
+def melt(
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), keep_missing: bool = False
+) -> DataFrame:
+    """Long form ``(by…, column, value)`` of numeric columns as doubles; NaN becomes null."""
+    number = {c: F.col(f"`{c}`").cast("double") for c in columns}
     pairs = F.array(
         *[
-            F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value"))
-            for c in columns
+            F.struct(F.lit(c).alias("column"), F.when(~F.isnan(x), x).alias("value"))
+            for c, x in number.items()
         ]
     )
-    return (
-        df.select(*by, F.explode(pairs).alias("cell"))
-        .select(*by, "cell.column", "cell.value")
-        .filter(usable(F.col("value")))
-    )
+    cells = df.select(*by, F.explode(pairs).alias("cell")).select(*by, "cell.column", "cell.value")
+    return cells if keep_missing else cells.filter(F.col("value").isNotNull())
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -54,15 +54,19 @@ def running_counts(
     ``counts`` has one row per (group, value).
     """
     by = list(by)
+    # The condition reads the weight too, so it stays above the aggregation that made the counts and
+    # all branches below share one shuffle.
     cuts = (
-        counts.filter(F.pmod(F.xxhash64(value), F.lit(cut_rate)) == 0)
+        counts.filter(F.when(F.col(weight) > 0, F.pmod(F.xxhash64(value), F.lit(cut_rate))) == 0)
         .groupBy(*by)
         .agg(F.sort_array(F.collect_list(value)).alias("cuts"))
     )
-    bucket = F.coalesce(
-        F.size(F.filter("cuts", lambda cut: cut <= F.col(value))), F.lit(0)
+    bucket = F.size(F.filter("cuts", lambda cut: cut <= F.col(value)))
+    cut_up = (
+        counts.join(cuts, by, "left")
+        .withColumn("bucket", F.when(F.col("cuts").isNull(), 0).otherwise(bucket))
+        .drop("cuts")
     )
-    cut_up = counts.join(cuts, by, "left").withColumn("bucket", F.when(F.col("cuts").isNull(), 0).otherwise(bucket)).drop("cuts")
     per_group = Window.partitionBy(*by)
     earlier = per_group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -134,6 +138,14 @@ def quantile_struct(
     return table.agg(F.struct(*[F.max(name).alias(name) for name in qs]).alias("s")).scalar()
 
 
+def quantile_values(
+    df: DataFrame, column: str, qs: Mapping[str, float], method: str = "linear"
+) -> dict[str, float | None]:
+    """Quantiles of one column as driver values, for use as literals in long expression chains."""
+    row = column_quantiles(df, [column], qs, method).first()
+    return {name: row[name] if row else None for name in qs}
+
+
 def scalar_struct(df: DataFrame, **aggregates: Column) -> Column:
     """Several global aggregates as one scalar subquery; read fields by name."""
     return df.agg(F.struct(*[c.alias(n) for n, c in aggregates.items()]).alias("s")).scalar()
@@ -149,7 +161,7 @@ def average_ranks(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def dense_ranks(df: DataFrame, column: str) -> DataFrame:
     """``(value, dense_rank, n_distinct)`` of one column over its distinct values."""
-    distinct = melt(df, [column]).distinct().withColumn("n", F.lit(1).cast("long"))
+    distinct = value_counts(melt(df, [column]), ["column"]).withColumn("n", F.least("n", F.lit(1)))
     return running_counts(distinct, ["column"]).select(
         "value", (F.col("below") + 1).alias("dense_rank"), F.col("total").alias("n_distinct")
     )

@@ -2,7 +2,8 @@
 
 No step looks at the data to decide what to do: every expression is always applied and is a no-op on
 clean input, so the plan and the output schema do not depend on the data.  Global values a step needs
-(mode, median, quantiles) enter as one-row scalar subqueries.
+(mode, median, quantiles) come from one small job each and enter the plan as literals, which keeps a
+chain of repairs a single narrow pass.
 """
 
 from __future__ import annotations
@@ -78,18 +79,19 @@ def fill_with_group_median(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def mode_of(df: DataFrame, column: str) -> Column:
-    """Most frequent value as a scalar subquery; the smallest value wins ties."""
+    """Most frequent value as a literal; the smallest value wins ties."""
     counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    return counts.orderBy(F.col("n").desc(), column).limit(1).select(column).scalar()
+    row = counts.orderBy(F.col("n").desc(), column).first()
+    return F.lit(row[column] if row else None)
 
 
 def median_of(df: DataFrame, column: str) -> Column:
-    return ranks.quantile_struct(df, column, {"m": 0.5})["m"]
+    return F.lit(ranks.quantile_values(df, column, {"m": 0.5})["m"])
 
 
-def fill_with_mode(df: DataFrame, column: str) -> DataFrame:
-    """B7."""
-    return df.withColumn(column, F.coalesce(F.col(column), mode_of(df, column)))
+def fill_with_mode(df: DataFrame, column: str, source: DataFrame | None = None) -> DataFrame:
+    """``source`` may hold the same rows in a cheaper form."""
+    return df.withColumn(column, F.coalesce(F.col(column), mode_of(source or df, column)))
 
 
 def fill_with_constants(df: DataFrame, fills: Mapping[str, object] = CUSTOMER_FILLS) -> DataFrame:
@@ -161,10 +163,12 @@ def repair_negative_codes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def repair_domain(df: DataFrame, column: str, valid: Sequence, flag: str) -> DataFrame:
+def repair_domain(
+    df: DataFrame, column: str, valid: Sequence, flag: str, source: DataFrame | None = None
+) -> DataFrame:
     """Values outside the domain become the mode of the valid rows."""
     ok = F.col(column).isin(*valid)
-    mode = mode_of(df.filter(ok), column)
+    mode = mode_of((source or df).filter(ok), column)
     return df.withColumns({column: F.when(ok, F.col(column)).otherwise(mode), flag: ~ok})
 
 
@@ -201,13 +205,13 @@ def rule_violations(df: DataFrame) -> DataFrame:
 # --- prices ---------------------------------------------------------------------------------------
 
 
-def interpolate(x: Column, knots: Sequence[tuple[Column, float]]) -> Column:
+def interpolate(x: Column, knots: Sequence[tuple[float, float]]) -> Column:
     """Piecewise linear map through rising knots, constant outside; repeated knots take the last."""
-    first, last = knots[0], knots[-1]
-    out = F.when(x >= last[0], F.lit(last[1]))
+    out = F.when(x >= knots[-1][0], F.lit(knots[-1][1]))
     for (x0, y0), (x1, y1) in reversed(list(zip(knots, knots[1:]))):
-        out = out.when(x >= x0, y0 + (x - x0) * F.try_divide(F.lit(y1 - y0), x1 - x0))
-    return out.when(x < first[0], F.lit(first[1]))
+        if x1 > x0:
+            out = out.when(x >= x0, y0 + (x - x0) * (y1 - y0) / (x1 - x0))
+    return out.when(x < knots[0][0], F.lit(knots[0][1]))
 
 
 def calibrate_prices(
@@ -217,19 +221,21 @@ def calibrate_prices(
     digits: int = 2,
     floor: float = 0.99,
 ) -> DataFrame:
-    """Map the quantiles of the price column onto target prices, linearly in between."""
-    qs = sorted(targets)
-    at = ranks.quantile_struct(df, "price", {f"q{i}": q for i, q in enumerate(qs)}, "nearest")
-    ends = ranks.scalar_struct(df, low=F.min("price"), high=F.max("price"))
-    low_target, high_target = targets[qs[0]] * 0.8, targets[qs[-1]] * 1.2
-    price = F.col("price")
-    knots = [(ends["low"], low_target)] + [(at[f"q{i}"], targets[q]) for i, q in enumerate(qs)]
-    inside = interpolate(price, knots)
-    # Between the top quantile and the maximum, unless they coincide.
-    top, top_target = knots[-1]
-    above = top_target + (price - top) * F.try_divide(F.lit(high_target - top_target), ends["high"] - top)
-    mapped = F.when(price > top, F.least(above, F.lit(high_target))).otherwise(inside)
-    value = F.when(price.isNotNull(), F.bround(F.greatest(mapped, F.lit(floor)), digits))
+    """Map the quantiles of the price column onto target prices, linearly in between.
+
+    The minimum maps to 0.8 of the first target and the maximum to 1.2 of the last.
+    """
+    wanted = {"low": 0.0, **{str(q): q for q in sorted(targets)}, "high": 1.0}
+    at = ranks.quantile_values(df, "price", wanted, "nearest")
+    if at["low"] is None:
+        raise ValueError("no price to calibrate on")
+    knots = [(at[str(q)], targets[q]) for q in sorted(targets)]
+    if at["low"] < knots[0][0]:
+        knots.insert(0, (at["low"], knots[0][1] * 0.8))
+    if at["high"] > knots[-1][0]:
+        knots.append((at["high"], knots[-1][1] * 1.2))
+    mapped = F.greatest(interpolate(F.col("price"), knots), F.lit(floor))
+    value = F.when(F.col("price").isNotNull(), F.bround(mapped, digits))
     return df.withColumn("price" if overwrite else "price_eur", value)
 
 
@@ -257,9 +263,9 @@ def convert_prices(
         factor = hit(factor, median_of(df, "price"), target_median)
     if target_quantile:
         q, target = target_quantile
-        factor = hit(factor, ranks.quantile_struct(df, "price", {"q": q}, "nearest")["q"], target)
+        factor = hit(factor, F.lit(ranks.quantile_values(df, "price", {"q": q}, "nearest")["q"]), target)
     if target_min:
-        factor = hit(factor, df.agg(F.min("price")).scalar(), target_min)
+        factor = hit(factor, F.lit(df.agg(F.min("price")).first()[0]), target_min)
     out = df.withColumns(
         {
             "price_sek": F.round(F.col("price") * factor, digits),
@@ -318,11 +324,13 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 
 def clean_transactions(df: DataFrame, outlier_method: str = "iqr", calibrate: bool = True) -> DataFrame:
     """B28."""
-    out = drop_missing_keys(df)
-    out = fill_with_group_median(out, "article_id", "price")
-    out = fill_with_mode(out, "sales_channel_id")
+    keyed = drop_missing_keys(df)
+    out = fill_with_group_median(keyed, "article_id", "price")
+    out = fill_with_mode(out, "sales_channel_id", source=keyed)
     out = treat_price_outliers(out, outlier_method)
-    out = repair_domain(out, "sales_channel_id", VALID_CHANNELS, "sales_channel_corrected")
+    # Clipping keeps every row, so the channel mode needs no price; removal changes the rows.
+    source = fill_with_mode(keyed, "sales_channel_id") if outlier_method == "iqr" else out
+    out = repair_domain(out, "sales_channel_id", VALID_CHANNELS, "sales_channel_corrected", source=source)
     if calibrate:
         out = calibrate_prices(out)
     out = ensure_flags(

@@ -16,21 +16,27 @@ TAILS = {"p95": 0.95, "p99": 0.99}
 
 
 def numeric_statistics(
-    df: DataFrame, columns: Sequence[str], qs: Mapping[str, float] | None = None
+    df: DataFrame,
+    columns: Sequence[str],
+    qs: Mapping[str, float] | None = None,
+    **extra: Column,
 ) -> DataFrame:
-    """One row per column: count, nulls, mean, std, min, max and quantiles."""
+    """One row per column: count, nulls, mean, std, min, max and quantiles.
+
+    ``extra`` adds aggregates over ``value``.
+    """
     qs = dict(QUARTILES, **TAILS) if qs is None else qs
-    cells = ranks.melt(df, columns)
-    moments = cells.groupBy("column").agg(
-        F.count(F.lit(1)).alias("count"),
+    cells = ranks.melt(df, columns, keep_missing=True)
+    out = cells.groupBy("column").agg(
+        F.count("value").alias("count"),
+        F.count_if(F.col("value").isNull()).alias("nulls"),
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
+        *[e.alias(name) for name, e in extra.items()],
     )
-    n_rows = df.agg(F.count(F.lit(1))).scalar()
-    out = moments.withColumn("nulls", n_rows - F.col("count"))
-    return out.join(ranks.quantiles(cells, qs, ["column"]), "column") if qs else out
+    return out.join(ranks.quantiles(cells, qs, ["column"]), "column", "left") if qs else out
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -49,21 +55,20 @@ def to_metrics(stats: DataFrame) -> DataFrame:
 
 def feature_summary(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Statistics per feature and the share of customers with purchases."""
-    base = ranks.scalar_struct(
-        features, customers=F.count(F.lit(1)), active=F.count_if(F.col("frequency") > 0)
+    stats = numeric_statistics(
+        features, columns, {"median": 0.5}, positive=F.count_if(F.col("value") > 0)
     )
-    stats = numeric_statistics(features, columns, {"median": 0.5}).withColumnRenamed("column", "feature")
-    return stats.select(
-        "feature",
-        "mean",
-        "median",
-        "std",
-        "min",
-        "max",
-        "nulls",
-        base["customers"].alias("customers"),
-        base["active"].alias("active"),
-        F.try_divide(base["active"], base["customers"]).alias("active_rate"),
+    frequency = F.when(F.col("column") == "frequency", F.col("positive"))
+    return (
+        stats.withColumns(
+            {
+                "customers": F.col("count") + F.col("nulls"),
+                "active": F.max(frequency).over(Window.partitionBy(F.lit(1))),
+            }
+        )
+        .withColumn("active_rate", F.try_divide("active", "customers"))
+        .withColumnRenamed("column", "feature")
+        .drop("count", "positive")
     )
 
 

@@ -41,13 +41,13 @@ def b05(spark, d):
     "b06_fill_group_median",
     with_views(
         "rtx",
-        "SELECT t_dat, customer_id, article_id, round(price, 6) AS price, sales_channel_id FROM filled",
+        "SELECT t_dat, customer_id, article_id, round(price, 10) AS price, sales_channel_id FROM filled",
         ",\n".join([KEYED, MEDIANS, FILLED]),
     ),
 )
 def b06(spark, d):
     keyed = cleaning.drop_missing_keys(views.raw_transactions(spark, d))
-    return rounded(cleaning.fill_with_group_median(keyed, "article_id", "price"), ["price"])
+    return rounded(cleaning.fill_with_group_median(keyed, "article_id", "price"), ["price"], 10)
 
 
 @query(
@@ -215,8 +215,8 @@ ends AS (SELECT min(price) AS lo, max(price) AS hi FROM {source}),
 kn AS (SELECT * FROM kq UNION ALL
  SELECT lo, 2.99 * 0.8 FROM ends WHERE lo < (SELECT min(x) FROM kq) UNION ALL
  SELECT hi, 149.99 * 1.2 FROM ends WHERE hi > (SELECT max(x) FROM kq)),
-knots AS (SELECT x, max(y) AS y FROM kn GROUP BY x),
-segs AS (SELECT x AS x0, y AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y) OVER (ORDER BY x) AS y1 FROM knots),
+knots AS (SELECT x, min(y) AS y_in, max(y) AS y_out FROM kn GROUP BY x),
+segs AS (SELECT x AS x0, y_out AS y0, lead(x) OVER (ORDER BY x) AS x1, lead(y_in) OVER (ORDER BY x) AS y1 FROM knots),
 cal AS (SELECT s.* EXCLUDE (price), CASE WHEN s.price IS NOT NULL THEN
   round_even(greatest(CASE WHEN x1 IS NULL THEN y0 ELSE y0 + (s.price - x0) * (y1 - y0) / (x1 - x0) END, 0.99), 2)
   END::DOUBLE AS price FROM {source} s LEFT JOIN segs ON s.price >= x0 AND (x1 IS NULL OR s.price < x1))"""
@@ -264,11 +264,11 @@ def b19_min(spark, d):
     with_views(
         "tx",
         """SELECT customer_id, article_id, greatest(least(e, 300.0), 20.0) AS price, greatest(least(e, 300.0), 20.0) AS price_eur,
- e < 20 OR e > 300 AS price_eur_outlier_capped FROM (SELECT *, round(price / 200, 2) AS e FROM tx)""",
+ e < 20 OR e > 300 AS price_eur_outlier_capped FROM (SELECT *, price / 200 AS e FROM tx)""",
     ),
 )
 def b20(spark, d):
-    tx = views.transactions(spark, d).withColumn("price_eur", F.round(F.col("price") / 200, 2))
+    tx = views.transactions(spark, d).withColumn("price_eur", F.col("price") / 200)
     return cleaning.cap_eur_prices(tx, 20.0, 300.0).drop("t_dat", "sales_channel_id")
 
 

@@ -68,7 +68,7 @@ def raw_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(mix % 37 == 0, None).otherwise(F.col("o_custkey")).alias("customer_id"),
         F.when(mix % 59 == 0, None).otherwise(part).alias("article_id"),
         F.when(mix % 23 == 0, None)
-        .otherwise(F.round(F.col("l_extendedprice") / 1_000_000, 6))
+        .otherwise(F.col("l_extendedprice") / 1_000_000)
         .alias("price"),
         F.when(part % 29 == 0, None)
         .when(part % 31 == 0, 9)
@@ -148,7 +148,7 @@ rtx AS (SELECT CASE WHEN mix % 41 = 0 THEN 'not a date' WHEN mix % 43 = 0 THEN N
     ELSE strftime(l_shipdate, '%Y-%m-%d') END AS t_dat,
   CASE WHEN mix % 37 = 0 THEN NULL ELSE o_custkey END AS customer_id,
   CASE WHEN mix % 59 = 0 THEN NULL ELSE l_partkey END AS article_id,
-  CASE WHEN mix % 23 = 0 THEN NULL ELSE round(l_extendedprice / 1000000, 6) END AS price,
+  CASE WHEN mix % 23 = 0 THEN NULL ELSE l_extendedprice / 1000000 END AS price,
   CASE WHEN l_partkey % 29 = 0 THEN NULL WHEN l_partkey % 31 = 0 THEN 9
     WHEN l_linestatus = 'F' THEN 1 ELSE 2 END AS sales_channel_id FROM rtx0)""",
     "rcu": """rcu0 AS (SELECT c_custkey AS customer_id,

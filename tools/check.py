@@ -61,8 +61,9 @@ def compare(spark, con, sf_dir, fn, sql):
     if cols != ecols:
         return False, f"columns {cols} != {ecols}"
     if got != want:
-        only_g = [r for r in got if r not in set(want)][:3]
-        only_w = [r for r in want if r not in set(got)][:3]
+        in_got, in_want = set(got), set(want)
+        only_g = [r for r in got if r not in in_want][:3]
+        only_w = [r for r in want if r not in in_got][:3]
         return False, f"rows {len(got)} vs {len(want)}\n   spark {only_g}\n   sql   {only_w}"
     return True, f"{len(got)} rows"
 
