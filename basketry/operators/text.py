@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -182,9 +183,12 @@ def svd(vectors: DataFrame, key: str, k: int, features: str = "features", normal
 
     The decomposition runs on the rows where they are; only the (size x k) right vectors travel.
     """
-    rows = MLUtils.convertVectorColumnsFromML(vectors.select(features), features)
+    # The solver reads the rows once per iteration.
+    kept = vectors.persist(StorageLevel.MEMORY_AND_DISK)
+    rows = MLUtils.convertVectorColumnsFromML(kept.select(features), features)
     result = RowMatrix(rows).computeSVD(k, computeU=False)
     basis = result.V.toArray()
+    kept.unpersist()
     out = project(vectors, key, basis, features)
     if normalise:
         out = out.withColumn("vector", unit_length(F.col("vector")))
