@@ -331,7 +331,7 @@ def dbscan_sweep(
                 s = label_summary(labels, "label").first()
                 score = None
                 if s["clusters"] >= 2:
-                    real = df.join(labels.filter(F.col("label") >= 0), key)
+                    real = df.select(key, vector).join(labels.filter(F.col("label") >= 0), key)
                     score = silhouette(real, key, "label", vector)
                 ok = s["clusters"] >= 2 and s["noise_pct"] < 60 and s["largest_pct"] < 70 and score is not None
                 trials.append([metric, m, float(eps), s["clusters"], s["noise_pct"], s["largest_pct"], score, ok, False])

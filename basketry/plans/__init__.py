@@ -1,12 +1,18 @@
 """Registered queries: each couples a Spark plan with its independent SQL statement."""
 
-import importlib
-
-for _family in ("features", "sales", "sources", "cleaning", "profiling", "segments", "charts", "text", "encode", "cluster", "sequences"):
-    try:
-        importlib.import_module(f"basketry.plans.q_{_family}")
-    except ModuleNotFoundError as e:
-        print("MISSING", e)
-from basketry.plans.registry import oracle_sql, queries  # noqa: E402
+from basketry.plans import (  # noqa: F401  (each import registers its queries)
+    q_charts,
+    q_cleaning,
+    q_cluster,
+    q_encode,
+    q_features,
+    q_profiling,
+    q_sales,
+    q_segments,
+    q_sequences,
+    q_sources,
+    q_text,
+)
+from basketry.plans.registry import oracle_sql, queries
 
 __all__ = ["oracle_sql", "queries"]

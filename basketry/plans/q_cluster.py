@@ -187,7 +187,7 @@ numbered AS (SELECT root, row_number() OVER (ORDER BY count(*) DESC, root) - 1 A
 SELECT vec_id, coalesce(label, -1)::INT AS label FROM member LEFT JOIN numbered USING (root)"""
 
 
-EPS, COS_EPS = 1.05, 0.55
+EPS, COS_EPS = 1.2, 0.7
 
 
 @query(
