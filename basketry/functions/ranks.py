@@ -24,9 +24,9 @@ def usable(value: Column) -> Column:
 
 
 def melt(
-    df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), keep_missing: bool = False
+    df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Long form ``(by…, column, value)`` of numeric columns as doubles; NaN becomes null."""
+    """Long form ``(by…, column, value)`` of numeric columns as doubles, null and NaN dropped."""
     number = {c: F.col(f"`{c}`").cast("double") for c in columns}
     pairs = F.array(
         *[
@@ -35,7 +35,7 @@ def melt(
         ]
     )
     cells = df.select(*by, F.explode(pairs).alias("cell")).select(*by, "cell.column", "cell.value")
-    return cells if keep_missing else cells.filter(F.col("value").isNotNull())
+    return cells.filter(F.col("value").isNotNull())
 
 
 def value_counts(df: DataFrame, by: Sequence[str], value: str = "value") -> DataFrame:
@@ -138,6 +138,15 @@ def quantile_struct(
     return table.agg(F.struct(*[F.max(name).alias(name) for name in qs]).alias("s")).scalar()
 
 
+def quantile_map(
+    df: DataFrame, columns: Sequence[str], qs: Mapping[str, float], method: str = "linear"
+) -> Column:
+    """Quantiles of several columns as one scalar subquery: a map from column name to a struct."""
+    entry = F.struct(F.col("column"), F.struct(*qs).alias("s"))
+    table = column_quantiles(df, columns, qs, method)
+    return table.agg(F.map_from_entries(F.collect_list(entry)).alias("m")).scalar()
+
+
 def quantile_values(
     df: DataFrame, column: str, qs: Mapping[str, float], method: str = "linear"
 ) -> dict[str, float | None]:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry.functions import ranks
+from basketry.session import materialised
 from basketry.sources.tables import columns_like
 
 # The retailer's cleaning rules.
@@ -325,7 +326,8 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 def clean_transactions(df: DataFrame, outlier_method: str = "iqr", calibrate: bool = True) -> DataFrame:
     """B28."""
     keyed = drop_missing_keys(df)
-    out = fill_with_group_median(keyed, "article_id", "price")
+    # The calibration reads the filled prices before the final pass does.
+    out = materialised(fill_with_group_median(keyed, "article_id", "price"))
     out = fill_with_mode(out, "sales_channel_id", source=keyed)
     out = treat_price_outliers(out, outlier_method)
     # Clipping keeps every row, so the channel mode needs no price; removal changes the rows.

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from basketry.functions import ranks
 from basketry.operators.cluster_metrics import pairwise
 from basketry.operators.segments import label_summary
-from basketry.session import checkpointed
+from basketry.session import materialised
 from basketry.sources.tables import random_sample, seeded_key
 
 BLOCK = 256
@@ -141,7 +141,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """``(pid, root)`` per vertex of ``(u, v)`` edges, root the smallest id of its component.
 
     Alternates the large-star and small-star steps until the edges stay the same; every round is
-    checkpointed, so neither the plan nor the recovery from a lost executor grows with the rounds.
+    written out, so neither the plan nor the recovery from a lost executor grows with the rounds.
     """
 
     def star(both: DataFrame, low_only: bool) -> DataFrame:
@@ -156,14 +156,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     def signature(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
 
-    current, before = checkpointed(edges), None
+    current, before = materialised(edges), None
     for _ in range(MAX_ROUNDS):
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = checkpointed(star(both, low_only=False))
+        large = materialised(star(both, low_only=False))
         down = large.filter(F.col("u") > F.col("v")).unionByName(
             large.filter(F.col("u") < F.col("v")).select(F.col("v").alias("u"), F.col("u").alias("v"))
         )
-        current = checkpointed(star(down, low_only=True))
+        current = materialised(star(down, low_only=True))
         now = signature(current)
         if now == before:
             return current.select(F.col("u").alias("pid"), F.col("v").alias("root"))
@@ -181,14 +181,14 @@ def dbscan(
     """
     data = df.select(key, F.col(vector).alias("vector"))
     merged = data.groupBy("vector").agg(F.min(F.col(key).cast("long")).alias("pid"), F.count(F.lit(1)).alias("w"))
-    points = checkpointed(_with_cells(checkpointed(merged), eps, metric, p))
+    points = materialised(_with_cells(materialised(merged), eps, metric, p))
     weights = _neighbour_weights(_block_pairs(_blocks(points, "w")), eps, metric, p)
-    marked = checkpointed(
+    marked = materialised(
         points.join(weights, "pid", "left").withColumn("core", F.coalesce(F.col("weight") >= min_samples, F.lit(False)))
     )
     pairs = _block_pairs(_blocks(marked, "core"))
     linked = connected_components(_forest_edges(pairs, eps, metric, p))
-    rooted = checkpointed(
+    rooted = materialised(
         marked.join(linked, "pid", "left").withColumn(
             "root", F.when(F.col("core"), F.coalesce("root", "pid")).otherwise(F.lit(-1).cast("long"))
         )
@@ -216,7 +216,7 @@ def dbscan(
     placed = rooted.join(touched, "pid", "left").select(
         "vector", "w", F.when(F.col("core"), F.col("root")).otherwise(F.coalesce("touched", F.lit(-1))).alias("root")
     )
-    placed = checkpointed(placed)
+    placed = materialised(placed)
     sizes = placed.filter(F.col("root") >= 0).groupBy("root").agg(F.sum("w").alias("size"))
     # Position by (size, root): a count of larger clusters, found without sorting them in one task.
     order = F.struct((-F.col("size")).alias("s"), "root")
@@ -262,7 +262,7 @@ def k_distances(
         return points.repartition("pid").select(F.col("pid").alias(key), kth("vector").alias("distance")).orderBy("distance", key)
 
     n_blocks = max(1, -(-points.count() // BLOCK))
-    blocks = checkpointed(
+    blocks = materialised(
         points.groupBy(F.pmod(F.xxhash64("pid"), F.lit(n_blocks)).alias("part")).agg(
             F.collect_list(F.struct("pid", "vector")).alias("block")
         )
@@ -327,7 +327,7 @@ def dbscan_sweep(
     for metric in metrics:
         for m in min_samples:
             for eps in proposals(metric, m, names):
-                labels = checkpointed(dbscan(df, key, eps, m, metric, vector=vector))
+                labels = materialised(dbscan(df, key, eps, m, metric, vector=vector))
                 s = label_summary(labels, "label").first()
                 score = None
                 if s["clusters"] >= 2:

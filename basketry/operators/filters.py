@@ -13,10 +13,12 @@ from basketry.functions.text import trimmed
 def last_days(transactions: DataFrame, days: int = 90, date: str = "t_dat") -> DataFrame:
     """B1: rows at most ``days`` before the newest date, inclusive.
 
-    The bound is a scalar subquery, which the Parquet scan receives as a pushed filter.
+    The bound is a scalar subquery of the column's own type, which the Parquet scan receives as a
+    pushed filter.
     """
-    newest = transactions.agg(F.max(date)).scalar()
-    return transactions.filter(F.col(date) >= F.date_sub(newest, days))
+    kind = transactions.schema[date].dataType
+    bound = transactions.agg(F.date_sub(F.max(date), days).cast(kind)).scalar()
+    return transactions.filter(F.col(date) >= bound)
 
 
 def fact_statistics(transactions: DataFrame) -> DataFrame:

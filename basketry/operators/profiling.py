@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,24 +19,38 @@ def numeric_statistics(
     df: DataFrame,
     columns: Sequence[str],
     qs: Mapping[str, float] | None = None,
-    **extra: Column,
+    **extra: Callable[[Column], Column],
 ) -> DataFrame:
     """One row per column: count, nulls, mean, std, min, max and quantiles.
 
-    ``extra`` adds aggregates over ``value``.
+    ``extra`` adds aggregates, as functions of the column.
     """
     qs = dict(QUARTILES, **TAILS) if qs is None else qs
-    cells = ranks.melt(df, columns, keep_missing=True)
-    out = cells.groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.count_if(F.col("value").isNull()).alias("nulls"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        *[e.alias(name) for name, e in extra.items()],
-    )
-    return out.join(ranks.quantiles(cells, qs, ["column"]), "column", "left") if qs else out
+    out = column_moments(df, columns, extra)
+    return out.join(ranks.column_quantiles(df, columns, qs), "column", "left") if qs else out
+
+
+def column_moments(
+    df: DataFrame, columns: Sequence[str], extra: Mapping[str, Callable[[Column], Column]]
+) -> DataFrame:
+    """One wide aggregation over the rows as they are, turned into one row per column."""
+    metrics = {
+        "count": F.count,
+        "nulls": lambda x: F.count_if(x.isNull()),
+        "mean": F.avg,
+        "std": F.stddev_samp,
+        "min": F.min,
+        "max": F.max,
+        **extra,
+    }
+    aggregates = []
+    for i, c in enumerate(columns):
+        x = F.col(f"`{c}`").cast("double")
+        number = F.when(~F.isnan(x), x)
+        aggregates.append(F.struct(F.lit(c).alias("column"), *[f(number).alias(m) for m, f in metrics.items()]).alias(f"c{i}"))
+    wide = df.agg(*aggregates)
+    cells = F.array(*[F.col(f"c{i}") for i in range(len(columns))])
+    return wide.select(F.explode(cells).alias("c")).select("c.*")
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -56,7 +70,7 @@ def to_metrics(stats: DataFrame) -> DataFrame:
 def feature_summary(features: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Statistics per feature and the share of customers with purchases."""
     stats = numeric_statistics(
-        features, columns, {"median": 0.5}, positive=F.count_if(F.col("value") > 0)
+        features, columns, {"median": 0.5}, positive=lambda x: F.count_if(x > 0)
     )
     frequency = F.when(F.col("column") == "frequency", F.col("positive"))
     return (

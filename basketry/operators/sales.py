@@ -46,11 +46,7 @@ def customer_totals(transactions: DataFrame) -> DataFrame:
 
 def customer_totals_summary(totals: DataFrame) -> DataFrame:
     """Statistics over the per-customer totals."""
-    mid = ranks.column_quantiles(totals, ["transactions", "total_spend"], {"m": 0.5})
-
-    def median(column: str) -> Column:
-        return mid.filter(F.col("column") == column).select("m").scalar()
-
+    mid = ranks.quantile_map(totals, ["transactions", "total_spend"], {"m": 0.5})
     return totals.agg(
         F.count(F.lit(1)).alias("customers"),
         F.avg("transactions").alias("mean_transactions"),
@@ -60,8 +56,8 @@ def customer_totals_summary(totals: DataFrame) -> DataFrame:
         F.avg("lifespan_days").alias("mean_lifespan"),
     ).select(
         "*",
-        median("transactions").alias("median_transactions"),
-        median("total_spend").alias("median_spend"),
+        mid["transactions"]["m"].alias("median_transactions"),
+        mid["total_spend"]["m"].alias("median_spend"),
     )
 
 

@@ -29,11 +29,10 @@ def rfm_scores(features: DataFrame, invert_recency: bool = False) -> DataFrame:
 
     Recency ascends with the number of days, as published; ``invert_recency`` makes 5 the most recent.
     """
-    edges = ranks.column_quantiles(features, ["recency", "frequency", "monetary"], QUINTILES)
+    edges = ranks.quantile_map(features, ["recency", "frequency", "monetary"], QUINTILES)
 
     def score(column: str) -> Column:
-        row = edges.filter(F.col("column") == column).select(F.struct(*QUINTILES).alias("s"))
-        return quintile(F.col(column).cast("double"), row.scalar())
+        return quintile(F.col(column).cast("double"), edges[column])
 
     recency = score("recency")
     return features.select(

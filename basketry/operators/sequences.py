@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions import ranks
 from basketry.operators.sales import pct
+from basketry.session import materialised
 from basketry.sources.tables import seeded_key
 
 # Reserved tokens and the label of positions that are not predicted.
@@ -146,7 +147,8 @@ def prepare_sequences(
     Prefix tokens (segment, channel, price band) come first; then the newest items that fit, in order
     of day and article.  Customers with fewer than ``min_len`` purchases are left out.
     """
-    tx = deduplicate(transactions) if dedupe else transactions
+    # Read once per prefix, for the counts and for the items.
+    tx = materialised(deduplicate(transactions) if dedupe else transactions)
     prefixes: list[tuple[DataFrame, str, str]] = []
     if segments is not None:
         prefixes.append((segments.select("customer_id", "customer_cluster"), "customer_cluster", "SEG"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import profiling, sequences
 from basketry.plans.registry import query
+from basketry.session import materialised
 from basketry.sources import views
 from basketry.sources.views import with_views
 
@@ -26,9 +27,10 @@ def registry(spark, d):
     return sequences.token_registry(views.transactions(spark, d), customer_segments(spark, d), True, BINS)
 
 
-def prepared(spark, d):
+def prepared(spark, d, tokens=None):
+    tokens = tokens or materialised(registry(spark, d))
     return sequences.prepare_sequences(
-        views.transactions(spark, d), registry(spark, d), customer_segments(spark, d), True, BINS, MAX_LEN
+        views.transactions(spark, d), tokens, customer_segments(spark, d), True, BINS, MAX_LEN
     )
 
 
@@ -166,8 +168,10 @@ masked AS (SELECT customer_id, i, CASE WHEN NOT chosen THEN token WHEN s2 / {P}.
   THEN 2 + s3 % ((SELECT max(token) + 1 FROM reg) - 2) ELSE token END AS inp, CASE WHEN chosen THEN token ELSE -100 END AS lab FROM picked)"""
 
 
-def vocab_size(spark, d):
-    return registry(spark, d).agg(F.max("token")).first()[0] + 1
+def masked(spark, d):
+    tokens = materialised(registry(spark, d))
+    vocab_size = tokens.agg(F.max("token")).first()[0] + 1
+    return sequences.mask_sequences(prepared(spark, d, tokens), vocab_size)
 
 
 @query(
@@ -179,8 +183,7 @@ def vocab_size(spark, d):
     ),
 )
 def j06(spark, d):
-    out = sequences.mask_sequences(prepared(spark, d), vocab_size(spark, d))
-    return out.select("customer_id", joined("input"), joined("labels"))
+    return masked(spark, d).select("customer_id", joined("input"), joined("labels"))
 
 
 @query(
@@ -194,7 +197,7 @@ def j06(spark, d):
     ),
 )
 def j07(spark, d):
-    out = sequences.pad_left(sequences.mask_sequences(prepared(spark, d), vocab_size(spark, d)), 40)
+    out = sequences.pad_left(masked(spark, d), 40)
     return out.select("customer_id", joined("input_ids"), joined("label_ids"), joined("attention_mask"))
 
 
@@ -260,7 +263,8 @@ DD = "dd AS (SELECT DISTINCT * FROM tx)"
 
 
 def next_item_case(spark, d):
-    train, cases = sequences.leave_last_out(sequences.deduplicate(views.transactions(spark, d)))
+    train, cases = sequences.leave_last_out(materialised(sequences.deduplicate(views.transactions(spark, d))))
+    train, cases = materialised(train), materialised(cases)
     return sequences.transition_scores(train, 20), cases, train
 
 
@@ -344,7 +348,7 @@ def j16(spark, d):
     ),
 )
 def j12(spark, d):
-    out = sequences.sequence_statistics(prepared(spark, d))
+    out = sequences.sequence_statistics(materialised(prepared(spark, d)))
     return rounded(out, ["mean_length", "mean_prefix", "p95_length"])
 
 
@@ -381,5 +385,6 @@ def j15(spark, d):
     ),
 )
 def g10(spark, d):
-    last = prepared(spark, d).select("customer_id", F.col("last_item").alias("token"))
-    return sequences.decode(last, registry(spark, d))
+    tokens = materialised(registry(spark, d))
+    last = prepared(spark, d, tokens).select("customer_id", F.col("last_item").alias("token"))
+    return sequences.decode(last, tokens)

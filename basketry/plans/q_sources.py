@@ -1,24 +1,14 @@
 """Scans, sinks and schema handling."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from basketry.operators import cleaning
 from basketry.plans.registry import query
-from basketry.session import ensure_checkpoint_dir
+from basketry.session import shared_folder
 from basketry.sources import tables, views
 from basketry.sources.views import with_views
 
 
-def work_folder(spark) -> str:
-    """New folder beside the checkpoints, which all executors share."""
-    ensure_checkpoint_dir(spark)
-    base = spark.sparkContext.getCheckpointDir()
-    name = next(tempfile._get_candidate_names())
-    return f"{base}/tables-{name}"
-
-
 @query("a01_parquet_scan", "SELECT p_partkey, p_retailprice FROM part")
 def a01(spark, d):
     return tables.read_parquet(spark, f"{d}/part.parquet").select("p_partkey", "p_retailprice")
@@ -33,7 +23,7 @@ def a01(spark, d):
 )
 def a02(spark, d):
     """A6 then A2 with an explicit schema, then the date parse of G2."""
-    path = tables.write_csv(views.transactions(spark, d), f"{work_folder(spark)}/transactions.csv")
+    path = tables.write_csv(views.transactions(spark, d), shared_folder(spark, "transactions") + ".csv")
     out = tables.read_table(spark, path, tables.TRANSACTIONS_CSV)
     return out.withColumns({"t_dat": F.to_date("t_dat"), "customer_id": F.col("customer_id").cast("bigint")})
 
@@ -51,7 +41,7 @@ def a04(spark, d):
 
 @query("a05_parquet_round_trip", with_views("ar", "SELECT * FROM ar"))
 def a05(spark, d):
-    path = tables.write_parquet(views.articles(spark, d), f"{work_folder(spark)}/articles.parquet")
+    path = tables.write_parquet(views.articles(spark, d), shared_folder(spark, "articles") + ".parquet")
     return tables.read_table(spark, path)
 
 
@@ -65,7 +55,7 @@ def a07(spark, d):
         .groupBy("o_orderstatus")
         .agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("o_totalprice"), 4).alias("mean_price"))
     )
-    path = tables.write_json(report, f"{work_folder(spark)}/report.json")
+    path = tables.write_json(report, shared_folder(spark, "report") + ".json")
     return spark.read.schema("o_orderstatus string, n bigint, mean_price double").json(path)
 
 
@@ -121,7 +111,7 @@ def a14(spark, d):
             "customers": cleaning.clean_customers(views.raw_customers(spark, d)),
             "articles": cleaning.clean_articles(views.raw_articles(spark, d)),
         },
-        work_folder(spark),
+        shared_folder(spark, "cleaned"),
     )
     counts = [
         tables.read_table(spark, p).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n_rows"))
