@@ -92,20 +92,19 @@ def running_counts(
     )
 
 
-def _pick(position: Column, value: str) -> Column:
-    """Value at a zero-based position of the sorted group."""
-    hit = (F.col("below") <= position) & (position < F.col("below") + F.col("n"))
-    return F.max(F.when(hit, F.col(value)))
+def _quantile(q: float, method: str, value: str) -> Column:
+    """Aggregate over a running count that reads the value at a position of the sorted group."""
+    position = f"({float(q)!r}D * (total - 1))"
 
+    def pick(at: str) -> str:
+        return f"max(CASE WHEN below <= {at} AND {at} < below + n THEN `{value}` END)"
 
-def _quantile(q: float, method: str, value: str) -> Column:
-    position = F.lit(float(q)) * (F.col("total") - 1)
     if method == "nearest":
-        return _pick(F.rint(position), value)
+        return F.expr(pick(f"floor({position} + 0.5D)"))
     if method != "linear":
         raise ValueError(f"unknown quantile method {method!r}")
-    low, high = _pick(F.floor(position), value), _pick(F.ceil(position), value)
-    return low + (high - low) * F.max(position - F.floor(position))
+    low, high = pick(f"floor({position})"), pick(f"ceil({position})")
+    return F.expr(f"{low} + ({high} - {low}) * max({position} - floor({position}))")
 
 
 def quantiles(
