@@ -199,9 +199,27 @@ def group_starts(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
 
 
-def coverage(start: np.ndarray, width, size: int) -> np.ndarray:
-    """Mark the positions in [start, start + width)."""
-    steps = np.zeros(size + 1, np.int32)
-    np.add.at(steps, start, 1)
-    np.add.at(steps, start + width, -1)
-    return np.cumsum(steps[:-1]) > 0
+def coverage(start: np.ndarray, stop, size: int) -> np.ndarray:
+    """How many of the ranges [start, stop) cover each position."""
+    stop = np.broadcast_to(stop, start.shape)
+    return np.cumsum(np.bincount(start, minlength=size + 1) - np.bincount(stop, minlength=size + 1))[:size]
+
+
+def marked_runs(mask: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """Maximal marked runs of each document (its positions start at ``first``) as lists of (start, stop)."""
+    n, docs = len(mask), len(first) - 1
+    edge = np.zeros(n + 1, bool)
+    edge[first] = True
+    padded = np.concatenate([[False], mask, [False]])
+    start = np.flatnonzero(mask & (~padded[:-2] | edge[:-1]))
+    stop = np.flatnonzero(mask & (~padded[2:] | edge[1:])) + 1
+    doc = np.searchsorted(first, start, side="right") - 1
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=docs))]).astype(np.int32)
+    spans = pa.StructArray.from_arrays([pa.array(start - first[doc]), pa.array(stop - first[doc])], ["start", "stop"])
+    return pa.ListArray.from_arrays(offsets, spans)
+
+
+def binary_array(data: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
+    """Arrow strings or binaries from bytes and offsets."""
+    buffers = [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())]
+    return pa.Array.from_buffers(kind, len(offsets) - 1, buffers)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from basketry.llm.arrays import Chunk, pack_sorted, unpack_sorted
 from basketry.session import materialised
 
 #: A row is a request ("ask": packed keys for a bucket), what the block needs to go on ("hold"), or finished ("done").
@@ -75,6 +76,40 @@ def block_batch(block: int, asks: Iterable[tuple[int, bytes]], hold: bytes | Non
     )
 
 
+def hold_chunk(chunk: Chunk, *more: np.ndarray) -> bytes:
+    return compact(chunk.ids, chunk.has_id, chunk.offsets, chunk.data, *more)
+
+
+def held_chunk(blob: bytes) -> tuple[Chunk, list[np.ndarray]]:
+    ids, has_id, offsets, data, *more = expand(blob)
+    return Chunk(ids, has_id, data, offsets), more
+
+
+def flags(replies: list[bytes]) -> np.ndarray:
+    """Replies of one byte per key, in the order of the block's keys."""
+    return np.concatenate([np.frombuffer(decompress(r)[0], np.uint8) for r in replies]) if replies else np.zeros(0, np.uint8)
+
+
+def pair_asks(keys: np.ndarray, more: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """Requests of distinct 96-bit fingerprints, sorted by ``keys``."""
+    return [(b, compress(pack_sorted(keys[s]), more[s].tobytes())) for b, s in split_by_bucket(keys, buckets)]
+
+
+def in_other_blocks(asks: list[bytes]) -> list[bytes]:
+    """For each 96-bit fingerprint, bit 0: another block holds it too; bit 1: this block is the first of its holders."""
+    parts = [decompress(blob) for blob in asks]
+    keys = [unpack_sorted(k) for k, _ in parts]
+    sizes = np.array([len(k) for k in keys])
+    keys, more = np.concatenate(keys), np.concatenate([np.frombuffer(m, np.uint32) for _, m in parts])
+    order = np.lexsort((more, keys))
+    new = np.concatenate([[True], (keys[order][1:] != keys[order][:-1]) | (more[order][1:] != more[order][:-1])])
+    starts = np.flatnonzero(new)
+    counts = np.diff(np.concatenate([starts, [len(keys)]]))
+    bits = np.empty(len(keys), np.uint8)
+    bits[order] = np.repeat(counts > 1, counts) + 2 * new
+    return [compress(b.tobytes()) for b in np.split(bits, np.cumsum(sizes)[:-1])]
+
+
 def split_by_bucket(keys: np.ndarray, buckets: int) -> list[tuple[int, slice]]:
     """Slices of sorted ``keys`` by bucket, without the empty ones."""
     if not len(keys):

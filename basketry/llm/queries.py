@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from basketry.llm.suffix_dedup import op1_suffix_dedup
 from basketry.llm.substring_dedup import op8_substring_dedup
 
 _ALL = [
+    op1_suffix_dedup,
     op8_substring_dedup,
 ]
 

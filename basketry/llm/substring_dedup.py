@@ -17,13 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm import exchange as X
-from basketry.llm.arrays import U, Chunk, Words, chunks, coverage, group_starts, mix, pack_planes, pack_sorted, prefix_sums, unpack_planes, unpack_sorted, windows
+from basketry.llm.arrays import U, Chunk, Words, binary_array, chunks, coverage, group_starts, marked_runs, mix, pack_planes, pack_sorted, prefix_sums, unpack_planes, unpack_sorted, windows
 
 CHUNK_BYTES = 4 << 20
 #: A symbol only filters candidates, so 48 bits do: a clash costs a needless check, never a wrong answer.
 SYMBOL_MASK = U(0xFFFFFFFFFFFF0000)
 RESULT = "doc_id bigint, n_words bigint, n_removed bigint, kept_text string, removed array<struct<start:bigint,stop:bigint>>"
-_removed = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
 def recompress(symbol: np.ndarray, doc: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,15 +93,6 @@ def _unpack_ids(blob: bytes) -> np.ndarray:
     return (unpack_planes(blob[8:]) + np.frombuffer(blob, U, 1)[0]).astype(np.int64)
 
 
-def _hold(chunk: Chunk) -> bytes:
-    return X.compact(chunk.ids, chunk.has_id, chunk.offsets, chunk.data)
-
-
-def _chunk(blob: bytes) -> tuple[Chunk, list[np.ndarray]]:
-    ids, has_id, offsets, data, *more = X.expand(blob)
-    return Chunk(ids, has_id, data, offsets), more
-
-
 def _ask_symbols(rounds: int, buckets: int):
     def step(batches):
         for block, chunk in zip(X.block_ids(), chunks(batches, CHUNK_BYTES)):  # noqa: B905
@@ -111,7 +101,7 @@ def _ask_symbols(rounds: int, buckets: int):
                 (b, X.compress(pack_sorted(keys[s]), _pack_ids(least[s]), pack_planes(most[s].astype(U) - least[s].astype(U))))
                 for b, s in X.split_by_bucket(keys, buckets)
             ]
-            yield X.block_batch(block, asks, _hold(chunk))
+            yield X.block_batch(block, asks, X.hold_chunk(chunk))
 
     return step
 
@@ -155,15 +145,11 @@ def _verify_windows(asks: list[bytes]) -> list[bytes]:
     return [X.compress(b.tobytes()) for b in np.split(earlier, np.cumsum(sizes)[:-1])]
 
 
-def _flags(replies: list[bytes]) -> np.ndarray:
-    return np.concatenate([np.frombuffer(X.decompress(r)[0], np.uint8) for r in replies]) if replies else np.zeros(0, np.uint8)
-
-
 def _ask_windows(rounds: int, width: int, buckets: int):
     def step(block: int, hold: bytes, replies: list[bytes]) -> pa.Table:
-        chunk, _ = _chunk(hold)
+        chunk, _ = X.held_chunk(hold)
         words, doc, low, high, keys, least, most, which = _symbols(chunk, rounds)
-        bits = _flags(replies)
+        bits = X.flags(replies)
         ids = chunk.keys()
         n = len(words)
         is_start = np.arange(n) + width <= words.first[1:][words.doc] if n else np.zeros(0, bool)
@@ -172,10 +158,7 @@ def _ask_windows(rounds: int, width: int, buckets: int):
             """Windows that contain the context of no symbol that stands nowhere else."""
             a, b = np.maximum(high - width, words.first[doc]), low
             bad = ~elsewhere & (a <= b)
-            steps = np.zeros(n + 2, np.int64)
-            np.add.at(steps, a[bad], 1)
-            np.add.at(steps, b[bad] + 1, -1)
-            return is_start & (np.cumsum(steps[:n]) == 0)
+            return is_start & (coverage(a[bad], b[bad] + 1, n) == 0)
 
         if n:
             before = possible(((bits & 1) > 0)[which] | (least[which] < ids[doc]))
@@ -209,7 +192,7 @@ def _ask_windows(rounds: int, width: int, buckets: int):
             group[open_].astype(np.int32), (first[group[open_]] < own[open_]).astype(np.uint8),
         )
         rest = chunk.part(~affected)
-        return pa.Table.from_batches([X.block_batch(block, asks, held if affected.any() else None, _hold(rest) if len(rest) else None)])
+        return pa.Table.from_batches([X.block_batch(block, asks, held if affected.any() else None, X.hold_chunk(rest) if len(rest) else None)])
 
     return step
 
@@ -217,7 +200,8 @@ def _ask_windows(rounds: int, width: int, buckets: int):
 def _cut(chunk: Chunk, doc: np.ndarray, position: np.ndarray, width: int) -> pa.Table:
     """Result rows after removing the windows of ``width`` words at ``position`` of ``doc``."""
     words = Words(chunk)
-    gone = coverage(words.first[doc] + position, width, len(words))
+    at = words.first[doc] + position
+    gone = coverage(at, at + width, len(words)) > 0
     kept = np.flatnonzero(~gone)
     # The kept words and one space behind each, copied in one pass; a document's last space is cut off below.
     size = (words.stop - words.start)[kept] + 1
@@ -228,32 +212,24 @@ def _cut(chunk: Chunk, doc: np.ndarray, position: np.ndarray, width: int) -> pa.
     out[ends - 1] = 32
     per_doc = np.bincount(words.doc[kept], minlength=len(chunk))
     bounds = np.concatenate([[0], np.cumsum(np.bincount(words.doc[kept], weights=size, minlength=len(chunk)))]).astype(np.int64)
-    data = out.tobytes()
-    texts = [data[a : max(b - 1, a)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    spans: list[list] = [[] for _ in range(len(chunk))]
-    if len(edge):
-        border = words.first[1:-1]  # a run ends where its document does
-        cuts = np.unique(np.concatenate([edge[0::2], border[gone[np.clip(border - 1, 0, len(gone) - 1)] & gone[np.clip(border, 0, len(gone) - 1)] & (border < len(gone)) & (border > 0)]])) if len(border) else edge[0::2]
-        stops = np.unique(np.concatenate([edge[1::2], np.setdiff1d(cuts, edge[0::2])]))
-        for a, b in zip(cuts.tolist(), stops.tolist(), strict=True):
-            d = int(words.doc[a])
-            spans[d].append({"start": a - int(words.first[d]), "stop": b - int(words.first[d])})
+    last = np.zeros(len(out), bool)
+    last[bounds[1:][per_doc > 0] - 1] = True
+    bounds -= np.concatenate([[0], np.cumsum(per_doc > 0)])
     return pa.table(
         {
             "doc_id": pa.array(chunk.ids, mask=~chunk.has_id),
             "n_words": pa.array(words.count, pa.int64()),
             "n_removed": pa.array(words.count - per_doc, pa.int64()),
-            "kept_text": pa.array(texts, pa.binary()).cast(pa.string()),
-            "removed": pa.array(spans, _removed),
+            "kept_text": binary_array(out[~last], bounds, pa.string()),
+            "removed": marked_runs(gone, words.first),
         }
     )
 
 
 def _finish(width: int):
     def step(block: int, hold: bytes, replies: list[bytes]) -> pa.Table:
-        chunk, (doc, position, group, known) = _chunk(hold)
-        bits = _flags(replies)
+        chunk, (doc, position, group, known) = X.held_chunk(hold)
+        bits = X.flags(replies)
         hit = (known > 0) | (bits[group] > 0)
         return _cut(chunk, doc[hit].astype(np.int64), position[hit].astype(np.int64), width)
 
@@ -264,7 +240,7 @@ def _untouched(batches):
     none = np.zeros(0, np.int64)
     for batch in batches:
         for blob in batch.column(0):
-            yield from _cut(_chunk(blob.as_py())[0], none, none, 1).to_batches()
+            yield from _cut(X.held_chunk(blob.as_py())[0], none, none, 1).to_batches()
 
 
 def remove_repeats(docs: DataFrame, width: int = 50, rounds: int = 5) -> DataFrame:
