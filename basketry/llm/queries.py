@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm.suffix_dedup import op1_suffix_dedup
+from basketry.llm.language_id import op5_language_id
 from basketry.llm.near_dedup import op9_near_dedup
 from basketry.llm.substring_dedup import op8_substring_dedup
 
 _ALL = [
     op1_suffix_dedup,
+    op5_language_id,
     op8_substring_dedup,
     op9_near_dedup,
 ]
