@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from basketry.llm.suffix_dedup import op1_suffix_dedup
+from basketry.llm.chat_format import op6_chat_format
 from basketry.llm.decontamination import op10_decontamination
 from basketry.llm.language_id import op5_language_id
 from basketry.llm.near_dedup import op9_near_dedup
@@ -15,6 +16,7 @@ from basketry.llm.substring_dedup import op8_substring_dedup
 _ALL = [
     op1_suffix_dedup,
     op5_language_id,
+    op6_chat_format,
     op8_substring_dedup,
     op9_near_dedup,
     op10_decontamination,
