@@ -11,10 +11,12 @@ from basketry.llm.chat_format import op6_chat_format
 from basketry.llm.decontamination import op10_decontamination
 from basketry.llm.language_id import op5_language_id
 from basketry.llm.near_dedup import op9_near_dedup
+from basketry.llm.packing import op3_best_fit_packing
 from basketry.llm.substring_dedup import op8_substring_dedup
 
 _ALL = [
     op1_suffix_dedup,
+    op3_best_fit_packing,
     op5_language_id,
     op6_chat_format,
     op8_substring_dedup,
