@@ -12,13 +12,17 @@ from basketry.llm.decontamination import op10_decontamination
 from basketry.llm.language_id import op5_language_id
 from basketry.llm.near_dedup import op9_near_dedup
 from basketry.llm.packing import op3_best_fit_packing
+from basketry.llm.private_data import op7_private_data
+from basketry.llm.quality_rules import op4_quality_rules
 from basketry.llm.substring_dedup import op8_substring_dedup
 
 _ALL = [
     op1_suffix_dedup,
     op3_best_fit_packing,
+    op4_quality_rules,
     op5_language_id,
     op6_chat_format,
+    op7_private_data,
     op8_substring_dedup,
     op9_near_dedup,
     op10_decontamination,
