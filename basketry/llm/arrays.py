@@ -29,7 +29,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of a base and of its inverse modulo 2**64."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = -(-n // (1 << 18)) * (1 << 18)
         out = []
         for base in (BASES[which], pow(BASES[which], -1, 2**64)):
             p = np.full(size, base, U)
@@ -63,10 +63,10 @@ def windows(sums: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int =
 
 
 class Chunk:
-    """Consecutive documents of one batch: ids, bytes and document offsets."""
+    """Consecutive documents of one batch: ids, bytes and document offsets, and a flag for each if the rows have one."""
 
-    def __init__(self, ids: np.ndarray, has_id: np.ndarray, data: np.ndarray, offsets: np.ndarray):
-        self.ids, self.has_id, self.data, self.offsets = ids, has_id, data, offsets
+    def __init__(self, ids: np.ndarray, has_id: np.ndarray, data: np.ndarray, offsets: np.ndarray, flag: np.ndarray | None = None):
+        self.ids, self.has_id, self.data, self.offsets, self.flag = ids, has_id, data, offsets, flag
 
     def __len__(self) -> int:
         return len(self.ids)
@@ -116,6 +116,7 @@ def chunks(batches, size: int):
             np.concatenate([p.has_id for p in parts]),
             np.concatenate([p.data for p in parts]),
             np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64),
+            None if parts[0].flag is None else np.concatenate([p.flag for p in parts]),
         )
 
     for batch in batches:
@@ -125,11 +126,12 @@ def chunks(batches, size: int):
         has_id = np.asarray(id_column.is_valid())
         ids = np.asarray(id_column.fill_null(0).cast(pa.int64()))
         data, offsets = text_bytes(batch.column(1))
+        flag = np.asarray(batch.column(2)) if batch.num_columns > 2 else None
         at = 0
         while at < len(ids):
             stop = int(np.searchsorted(offsets, offsets[at] + max(size - total, 1), side="right"))
             stop = min(max(stop - 1, at + 1), len(ids))
-            held.append(Chunk(ids[at:stop], has_id[at:stop], data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at]))
+            held.append(Chunk(ids[at:stop], has_id[at:stop], data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at], None if flag is None else flag[at:stop]))
             total += int(offsets[stop] - offsets[at])
             at = stop
             if total >= size or at < len(ids):

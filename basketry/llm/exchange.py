@@ -9,6 +9,7 @@ tables between rounds lie in the shared checkpoint folder, so a lost executor co
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ from basketry.session import materialised
 
 #: A row is a request ("ask": packed keys for a bucket), what the block needs to go on ("hold"), or finished ("done").
 BLOCK_SCHEMA = "block bigint, bucket int, ask binary, hold binary, done binary"
-ANSWER_SCHEMA = "block bigint, bucket int, answer binary"
+#: The tallies of a bucket stand in one of its rows.
+ANSWER_SCHEMA = "block bigint, bucket int, answer binary, tally array<bigint>"
 _arrow_block = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), *[(c, pa.binary()) for c in ("ask", "hold", "done")]])
 
 
@@ -138,19 +140,24 @@ def dropped(frame: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    # Shuffle files go when the driver collects what made them.
+    gc.collect()
+    spark._jvm.System.gc()
 
 
-def answers(table: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
-    """Let each bucket's owner answer: ``answer`` gets the blocks' packed requests and returns one reply for each."""
+def answers(table: DataFrame, answer: Callable) -> DataFrame:
+    """Let each bucket's owner answer: ``answer`` gets the blocks' packed requests and returns one reply for each, and
+    may return a list of tallies of its bucket besides."""
 
     def own(group: pa.Table) -> pa.Table:
-        asks = group.column("ask").to_pylist()
-        replies = answer(asks)
+        replies = answer(group.column("ask").to_pylist())
+        replies, tally = replies if isinstance(replies, tuple) else (replies, None)
         return pa.table(
             {
                 "block": group.column("block"),
                 "bucket": group.column("bucket").cast(pa.int32()),
                 "answer": pa.array(replies, pa.binary()),
+                "tally": pa.array([tally] + [None] * (len(replies) - 1), pa.list_(pa.int64())),
             }
         )
 
@@ -172,4 +179,5 @@ def resumed(table: DataFrame, replies: DataFrame, go_on: Callable, schema: str |
         return pa.concat_tables(parts) if len(parts) > 1 else parts[0]
 
     held = table.where("hold is not null").select("block", "hold")
+    replies = replies.select("block", "bucket", "answer")
     return held.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(step, schema)

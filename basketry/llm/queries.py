@@ -10,6 +10,7 @@ from basketry.llm.suffix_dedup import op1_suffix_dedup
 from basketry.llm.chat_format import op6_chat_format
 from basketry.llm.decontamination import op10_decontamination
 from basketry.llm.language_id import op5_language_id
+from basketry.llm.lm_score import op2_lm_score
 from basketry.llm.near_dedup import op9_near_dedup
 from basketry.llm.packing import op3_best_fit_packing
 from basketry.llm.private_data import op7_private_data
@@ -18,6 +19,7 @@ from basketry.llm.substring_dedup import op8_substring_dedup
 
 _ALL = [
     op1_suffix_dedup,
+    op2_lm_score,
     op3_best_fit_packing,
     op4_quality_rules,
     op5_language_id,
