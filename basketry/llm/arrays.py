@@ -29,7 +29,7 @@ def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first ``n`` powers of a base and of its inverse modulo 2**64."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
-        size = -(-n // (1 << 18)) * (1 << 18)
+        size = (n // (1 << 18) + 1) * (1 << 18)
         out = []
         for base in (BASES[which], pow(BASES[which], -1, 2**64)):
             p = np.full(size, base, U)
