@@ -76,19 +76,25 @@ def repeated_window_words(words: Column) -> Column:
 
 def line_fails(line: Column) -> Column:
     """Name of the first rule a line fails, or null. A line without a word passes: there is nothing to remove."""
-    body = F.rtrim(F.regexp_replace(line, r"[\x09-\x0D]", " "))
-    n_words = F.greatest(F.size(words_of(line)), F.lit(1))
+    n_words = F.length(line) - F.length(without(line, " ")) + 1
     symbols = F.length(line) - F.length(without(line, SYMBOLS))
     marks = F.length(line) - F.length(without(line, "!?"))
-    phrase = F.lit(False)
-    for p in BOILERPLATE:
-        phrase = phrase | F.contains(F.lower(line), F.lit(p))
+
+    def phrase(lower: Column) -> Column:
+        found = F.lit(False)
+        for p in BOILERPLATE:
+            found = found | F.contains(lower, F.lit(p))
+        return found
+
+    # The end of the line decides; a long line that holds sentences may be cut short.
+    end = F.right(F.rtrim(line, F.lit(WHITE)), F.lit(4))
+    ends = end.rlike(CLOSING) | ((n_words >= 12) & (F.contains(line, F.lit(". ")) | F.contains(line, F.lit(", "))))
     return (
-        F.when(F.length(without(line, WHITE)) == 0, F.lit(None).cast("string"))
+        F.when(F.length(F.trim(line, F.lit(WHITE))) == 0, F.lit(None).cast("string"))
         .when(symbols * 10 >= n_words * 3, "navigation")
-        .when(marks * 10 >= n_words * 5, F.when(n_words >= 3, "punctuation"))
-        .when(phrase, "boilerplate")
-        .when(~body.rlike(CLOSING), "punctuation")
+        .when((n_words >= 3) & (marks * 10 >= n_words * 5), "punctuation")
+        .when(~ends, "punctuation")
+        .when(let(F.lower(line), phrase), "boilerplate")
     )
 
 
