@@ -254,25 +254,23 @@ def convert_prices(
     """Linear conversion, optionally scaled so that a median, quantile or minimum hits a target."""
     if scale <= 0 or per_eur <= 0:
         raise ValueError("scale and per_eur must be positive")
-    factor = F.lit(float(scale))
-
-    def hit(factor: Column, statistic: Column, target: float) -> Column:
-        current = statistic * factor / per_eur
-        return F.when(current > 0, factor * target / current).otherwise(factor)
-
+    # The last target given decides the ratio; one division per price keeps ties at half a cent as they are.
+    statistic, target = None, None
     if target_median:
-        factor = hit(factor, median_of(df, "price"), target_median)
+        statistic, target = median_of(df, "price"), float(target_median)
     if target_quantile:
-        q, target = target_quantile
-        factor = hit(factor, F.lit(ranks.quantile_values(df, "price", {"q": q}, "nearest")["q"]), target)
+        q, target = target_quantile[0], float(target_quantile[1])
+        statistic = F.lit(ranks.quantile_values(df, "price", {"q": q}, "nearest")["q"])
     if target_min:
-        factor = hit(factor, F.lit(df.agg(F.min("price")).first()[0]), target_min)
-    out = df.withColumns(
-        {
-            "price_sek": F.round(F.col("price") * factor, digits),
-            "price_eur": F.round(F.col("price") * factor / per_eur, digits),
-        }
-    )
+        statistic, target = F.lit(df.agg(F.min("price")).first()[0]), float(target_min)
+    price = F.col("price")
+    plain_sek, plain_eur = price * float(scale), price * float(scale) / per_eur
+    if statistic is None:
+        sek, eur = plain_sek, plain_eur
+    else:
+        sek = F.when(statistic > 0, price * target * per_eur / statistic).otherwise(plain_sek)
+        eur = F.when(statistic > 0, price * target / statistic).otherwise(plain_eur)
+    out = df.withColumns({"price_sek": F.round(sek, digits), "price_eur": F.round(eur, digits)})
     if overwrite:
         out = out.withColumn("price", F.col("price_eur"))
     return out if keep_columns else out.drop("price_sek", "price_eur")

@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators.vectors import cells
+from basketry.session import materialised
 from basketry.sources.tables import random_sample
 
-SAMPLE = 10_000
+#: Points in a block; every block meets every other, so each vector travels once per BLOCK points.
+BLOCK = 2048
 
 
 def pairwise(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", p: float = 2.0) -> np.ndarray:
@@ -46,13 +48,16 @@ def pairwise(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", p: float =
 
 
 def silhouette_values(
-    df: DataFrame, key: str, cluster: str, vector: str = "vector", sample_size: int = SAMPLE, seed: int = 42
+    df: DataFrame, key: str, cluster: str, vector: str = "vector", sample_size: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """Euclidean silhouette ``(key, cluster, silhouette)`` of every sampled point.
+    """Euclidean silhouette ``(key, cluster, silhouette)`` of every point.
 
-    The sample (all points, if there are no more) is the reference set too; it is the only data that
-    travels, and its size is the argument.  Points alone in their cluster score 0.
+    Without ``sample_size`` all points are scored against all: blocks of points meet in pairs, and a pair
+    gives one sum per point and cluster.  With it a seeded sample is both scored and the reference set.
+    Points alone in their cluster score 0; with fewer than two clusters there is no score.
     """
+    if sample_size is None:
+        return _silhouette_of_all(df.select(key, cluster, vector).filter(F.col(cluster).isNotNull()), key, cluster, vector)
     sample = random_sample(df.select(key, cluster, vector).filter(F.col(cluster).isNotNull()), sample_size, key, seed)
     rows = sample.collect()
     labels, code = np.unique(np.array([r[cluster] for r in rows]), return_inverse=True) if rows else (np.array([]), np.array([], int))
@@ -84,8 +89,52 @@ def silhouette_values(
     return sample.repartition(key).mapInPandas(run, schema)
 
 
-def silhouette(df: DataFrame, key: str, cluster: str, vector: str = "vector", sample_size: int = SAMPLE) -> float | None:
-    """Mean silhouette."""
+def _silhouette_of_all(points: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
+    n_blocks = max(1, -(-points.count() // BLOCK))
+    blocks = materialised(
+        points.groupBy(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("part")).agg(
+            F.collect_list(F.struct(key, cluster, vector)).alias("block")
+        )
+    )
+    partner = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+    pairs = blocks.select(F.col("block").alias("left"), partner.alias("part")).join(
+        blocks.select("part", F.col("block").alias("right")), "part"
+    )
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for left, right in zip(b["left"], b["right"], strict=True):
+                names, code = np.unique(np.array([r[cluster] for r in right]), return_inverse=True)
+                near = pairwise(
+                    np.array([r[vector] for r in left], dtype=float), np.array([r[vector] for r in right], dtype=float)
+                )
+                total = near @ np.eye(len(names))[code]
+                yield pd.DataFrame(
+                    {
+                        "pid": np.repeat([r[key] for r in left], len(names)),
+                        "own": np.repeat([r[cluster] for r in left], len(names)),
+                        "met": np.tile(names, len(left)),
+                        "total": total.ravel(),
+                    }
+                )
+
+    kinds = {name: points.schema[name].dataType.simpleString() for name in (key, cluster)}
+    met = pairs.select("left", "right").mapInPandas(sums, f"pid {kinds[key]}, own {kinds[cluster]}, met {kinds[cluster]}, total double")
+    met = met.groupBy("pid", "own", "met").agg(F.sum("total").alias("total"))
+    sizes = points.groupBy(F.col(cluster).alias("met")).agg(F.count(F.lit(1)).alias("n"))
+    same = F.col("own") == F.col("met")
+    scored = met.join(sizes, "met").groupBy("pid", "own").agg(
+        F.max(F.when(same, F.col("n"))).alias("n"),
+        F.max(F.when(same, F.col("total") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("inner"),
+        F.min(F.when(~same, F.col("total") / F.col("n"))).alias("outer"),
+    )
+    score = (F.col("outer") - F.col("inner")) / F.greatest("inner", "outer", F.lit(1e-300))
+    value = F.when(F.col("outer").isNull(), F.lit(None)).when(F.col("n") > 1, score).otherwise(0.0)
+    return scored.select(F.col("pid").alias(key), F.col("own").alias(cluster), value.alias("silhouette"))
+
+
+def silhouette(df: DataFrame, key: str, cluster: str, vector: str = "vector", sample_size: int | None = None) -> float | None:
+    """Mean silhouette, over all points unless a sample is asked for."""
     return silhouette_values(df, key, cluster, vector, sample_size).agg(F.avg("silhouette")).first()[0]
 
 

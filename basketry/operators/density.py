@@ -25,7 +25,6 @@ from basketry.sources.tables import random_sample, seeded_key
 
 BLOCK = 256
 PIVOTS = 2
-MAX_ROUNDS = 100
 
 
 def _pivots(points: DataFrame) -> np.ndarray:
@@ -157,7 +156,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
 
     current, before = materialised(edges), None
-    for _ in range(MAX_ROUNDS):
+    while True:
         both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = materialised(star(both, low_only=False))
         down = large.filter(F.col("u") > F.col("v")).unionByName(
@@ -168,7 +167,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before:
             return current.select(F.col("u").alias("pid"), F.col("v").alias("root"))
         before = now
-    raise RuntimeError("connected components did not settle")
 
 
 def dbscan(
@@ -235,7 +233,7 @@ def k_distances(
     k: int,
     metric: str = "euclidean",
     p: float = 2.0,
-    sample_size: int | None = 10_000,
+    sample_size: int | None = None,
     seed: int = 42,
     vector: str = "vector",
 ) -> DataFrame:
@@ -305,6 +303,7 @@ def dbscan_sweep(
     min_samples=SWEEP_MIN_SAMPLES,
     fractions=SWEEP_QUANTILES,
     vector: str = "vector",
+    sample_size: int | None = None,
 ) -> DataFrame:
     """One row per trial with its scores and whether it is acceptable; ``best`` marks the choice.
 
@@ -318,7 +317,7 @@ def dbscan_sweep(
     names = {f"q{i}": q for i, q in enumerate(fractions)}
 
     def proposals(metric: str, k: int, wanted: dict[str, float]) -> list[float]:
-        d = k_distances(df, key, k, metric, vector=vector)
+        d = k_distances(df, key, k, metric, vector=vector, sample_size=sample_size)
         positive = ranks.quantile_values(d.filter(F.col("distance") > 0), "distance", wanted)
         if None in positive.values():
             positive = ranks.quantile_values(d, "distance", wanted)
@@ -332,7 +331,7 @@ def dbscan_sweep(
                 score = None
                 if s["clusters"] >= 2:
                     real = df.select(key, vector).join(labels.filter(F.col("label") >= 0), key)
-                    score = silhouette(real, key, "label", vector)
+                    score = silhouette(real, key, "label", vector, sample_size)
                 ok = s["clusters"] >= 2 and s["noise_pct"] < 60 and s["largest_pct"] < 70 and score is not None
                 trials.append([metric, m, float(eps), s["clusters"], s["noise_pct"], s["largest_pct"], score, ok, False])
     good = [t for t in trials if t[7]]

@@ -253,9 +253,21 @@ def b19(spark, d):
     ),
 )
 def b19_min(spark, d):
-    out = cleaning.convert_prices(
-        views.transactions(spark, d), target_quantile=(0.99, 250.0), target_min=3.99
-    )
+    out = cleaning.convert_prices(views.transactions(spark, d), target_min=3.99)
+    return out.select("customer_id", "article_id", "price")
+
+
+@query(
+    "b19_convert_prices_to_quantile",
+    with_views(
+        "tx",
+        """SELECT customer_id, article_id,
+ round(price * 250.0 / (SELECT price FROM (SELECT price, row_number() OVER (ORDER BY price) - 1 AS i, count(*) OVER () AS n FROM tx)
+ WHERE i = round_even((n - 1) * 0.99, 0)), 2) AS price FROM tx""",
+    ),
+)
+def b19_quantile(spark, d):
+    out = cleaning.convert_prices(views.transactions(spark, d), target_quantile=(0.99, 250.0))
     return out.select("customer_id", "article_id", "price")
 
 

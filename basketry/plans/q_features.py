@@ -146,10 +146,8 @@ def d15(spark, d):
     ),
 )
 def c03(spark, d):
-    from basketry.operators.filters import last_days
-
     out = features.customer_features(
-        last_days(views.transactions(spark, d)), views.customers(spark, d), views.articles(spark, d)
+        views.transactions(spark, d, days=90), views.customers(spark, d), views.articles(spark, d)
     )
     return out.withColumns({c: F.round(c, n) for c, n in ROUND_FEATURES.items()})
 

@@ -17,7 +17,7 @@ RECENT = "recent AS (SELECT * FROM tx WHERE t_dat >= (SELECT max(t_dat) FROM tx)
 
 @query("b01_last_90_days", with_views("tx", "SELECT * FROM recent", RECENT))
 def b01(spark, d):
-    return filters.last_days(views.transactions(spark, d))
+    return views.transactions(spark, d, days=90)
 
 
 @query(
@@ -32,7 +32,7 @@ FROM recent""",
 )
 def b02(spark, d):
     tx = views.transactions(spark, d)
-    return rounded(filters.retained_statistics(filters.last_days(tx), tx), ["retained_pct"])
+    return rounded(filters.retained_statistics(views.transactions(spark, d, days=90), tx), ["retained_pct"])
 
 
 @query(
@@ -40,7 +40,7 @@ def b02(spark, d):
     with_views("tx cu", "SELECT cu.* FROM cu WHERE customer_id IN (SELECT customer_id FROM recent)", RECENT),
 )
 def b03(spark, d):
-    recent = filters.last_days(views.transactions(spark, d))
+    recent = views.transactions(spark, d, days=90)
     return filters.keep_referenced(views.customers(spark, d), recent, "customer_id")
 
 
@@ -55,7 +55,7 @@ def b03(spark, d):
 )
 def b04(spark, d):
     ar = views.articles(spark, d)
-    recent = filters.last_days(views.transactions(spark, d))
+    recent = views.transactions(spark, d, days=90)
     return rounded(filters.retention(ar, filters.keep_referenced(ar, recent, "article_id")), ["kept_pct"])
 
 

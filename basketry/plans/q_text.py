@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from basketry.functions.text import embedding_text
 from basketry.operators import filters, text, vectors
 from basketry.plans.registry import query
-from basketry.session import materialised, spread
+from basketry.session import materialised
 from basketry.sources import views
 from basketry.sources.views import with_views
 
@@ -89,7 +89,7 @@ TEXT_CTES = f"{VALID}, {CLEAN}, {GRAMS}"
 
 
 def fitted(spark, d):
-    docs = materialised(text.light_clean(filters.valid_texts(spread(views.raw_texts(spark, d))), "detail_desc"))
+    docs = materialised(text.light_clean(filters.valid_texts(views.raw_texts(spark, d)), "detail_desc"))
     n = docs.count()
     return docs, n, text.vocabulary(docs, "article_id", "detail_desc", n, **SETTINGS)
 

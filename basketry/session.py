@@ -63,11 +63,3 @@ def materialised(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for heavy per-row work on a scan with fewer splits than cores.
-
-    Large inputs have splits enough and pass unchanged.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

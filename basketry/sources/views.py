@@ -9,13 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.operators.filters import last_days
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def transactions(spark: SparkSession, sf_dir: str, days: int | None = None) -> DataFrame:
+    """All transactions, or those of the last ``days`` before the newest date.
+
+    The date is cut from a time stamp, so the bound is put on the stored column, where the scan of the facts takes it.
+    """
     lines = table(spark, sf_dir, "lineitem")
+    if days is not None:
+        lines = last_days(lines, days, "l_shipdate")
     orders = table(spark, sf_dir, "orders")
     return lines.join(orders, lines.l_orderkey == orders.o_orderkey).select(
         F.col("l_shipdate").cast("date").alias("t_dat"),

@@ -446,10 +446,27 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_recent_filter_reaches_the_scan(spark):
-    df = tables.read_parquet(spark, "/root/testdata/sf0.001/lineitem.parquet").select("l_shipdate", "l_orderkey")
-    out = filters.last_days(df.withColumnRenamed("l_shipdate", "t_dat"))
-    assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in plan(out)
+@pytest.mark.parametrize("name", ["b01_last_90_days", "c03_features_with_gaps"])
+def test_recent_filter_reaches_the_scan(spark, name):
+    from basketry.plans import queries
+
+    assert "GreaterThanOrEqual(l_shipdate" in plan(queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_scores_cover_all_points(spark):
+    """More points than any block: every one is scored, and against all."""
+    rng = np.random.default_rng(4)
+    n = 11_000
+    x = np.concatenate([rng.normal(0, 1, (n // 2, 2)), rng.normal(4, 1, (n // 2, 2))])
+    rows = [(i, int(i >= n // 2), v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id bigint, label int, vector array<double>")
+    got = {r.id: r.silhouette for r in metrics.silhouette_values(df, "id", "label").collect()}
+    assert len(got) == n
+    for i in (0, n // 2, n - 1):
+        d = np.sqrt(((x - x[i]) ** 2).sum(1))
+        own = (np.arange(n) >= n // 2) == (i >= n // 2)
+        inner, outer = d[own].sum() / (own.sum() - 1), d[~own].mean()
+        assert got[i] == pytest.approx((outer - inner) / max(inner, outer))
 
 
 def test_history_is_cut_before_the_shuffle(history):
