@@ -15,6 +15,10 @@ def rounded(df, columns, digits=6):
 CANDIDATES = ["product_group_name", "garment_group_name", "colour_group_name", "product_type_name"]
 
 
+#: All dimensions of the embeddings, as columns of a DuckDB query.
+WIDE = ", ".join(f"embedding[{i + 1}]::DOUBLE AS svd_{i + 1:03d}" for i in range(64))
+
+
 def wide_embeddings(spark, d, size=64):
     e = views.table(spark, d, "embeddings").select(
         F.col("vec_id").alias("article_id"), F.col("embedding").cast("array<double>").alias("vector")
@@ -86,7 +90,7 @@ def i03(spark, d):
     "c02_embeddings_with_codes",
     with_views(
         "ar",
-        """SELECT article_id, embedding[1]::DOUBLE AS svd_001, code AS product_group_name_encoded FROM embeddings
+        f"""SELECT article_id, {WIDE}, code AS product_group_name_encoded FROM embeddings
 JOIN (SELECT article_id, (dense_rank() OVER (ORDER BY product_group_name) - 1)::DOUBLE AS code FROM ar) ON article_id = vec_id""",
     ),
 )
@@ -94,10 +98,10 @@ def c02(spark, d):
     codes = encode.label_encode(views.articles(spark, d), ["product_group_name"]).select(
         "article_id", "product_group_name_encoded"
     )
-    return encode.join_on_key(wide_embeddings(spark, d, 1), codes, "article_id")
+    return encode.join_on_key(wide_embeddings(spark, d), codes, "article_id")
 
 
-_SCALED = ["svd_001", "svd_002", "product_group_name_encoded"] + [f"garment_group_name_{t}" for t in TYPES[1:]]
+_SCALED = [f"svd_{i + 1:03d}" for i in range(64)] + ["product_group_name_encoded"] + [f"garment_group_name_{t}" for t in TYPES[1:]]
 
 
 @query(
@@ -109,7 +113,7 @@ _SCALED = ["svd_001", "svd_002", "product_group_name_encoded"] + [f"garment_grou
             f'round(("{c}" - avg("{c}") OVER ()) / coalesce(nullif(stddev_pop("{c}") OVER (), 0), 1), 6) AS "{c}"' for c in _SCALED
         )
         + " FROM j",
-        """j AS (SELECT article_id, embedding[1]::DOUBLE AS svd_001, embedding[2]::DOUBLE AS svd_002, e.* EXCLUDE (article_id) FROM embeddings
+        f"""j AS (SELECT article_id, {WIDE}, e.* EXCLUDE (article_id) FROM embeddings
  JOIN (SELECT article_id, (dense_rank() OVER (ORDER BY product_group_name) - 1)::DOUBLE AS product_group_name_encoded, """
         + ", ".join(f"""(garment_group_name = '{t}')::INT::DOUBLE AS "garment_group_name_{t}\"""" for t in TYPES[1:])
         + " FROM ar) e ON article_id = vec_id)",
@@ -117,7 +121,7 @@ _SCALED = ["svd_001", "svd_002", "product_group_name_encoded"] + [f"garment_grou
 )
 def h14(spark, d):
     arts = views.articles(spark, d).select("article_id", "product_group_name", "garment_group_name")
-    out, names = encode.combined_features(wide_embeddings(spark, d, 2), arts)
+    out, names = encode.combined_features(wide_embeddings(spark, d), arts)
     return rounded(out, names)
 
 
@@ -131,12 +135,12 @@ def h15(spark, d):
     "h16_embeddings_with_metadata",
     with_views(
         "ar",
-        """SELECT article_id, embedding[1]::DOUBLE AS svd_001, product_group_name, garment_group_name, colour_group_name
+        f"""SELECT article_id, {WIDE}, product_group_name, garment_group_name, colour_group_name
 FROM embeddings JOIN ar ON article_id = vec_id""",
     ),
 )
 def h16(spark, d):
-    return encode.with_metadata(wide_embeddings(spark, d, 1), views.articles(spark, d))
+    return encode.with_metadata(wide_embeddings(spark, d), views.articles(spark, d))
 
 
 @query("h17_categorical_svd")
