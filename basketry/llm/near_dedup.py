@@ -3,8 +3,9 @@
 Each text is a set of word shingles. Its signature holds ``bands * rows`` minima of universal hashes; texts that agree
 on a whole band are candidates. Equal sets become one class first, so thousands of copies count once. Within a bucket
 only links to a pivot are tried, the member that shares most buckets, and connected components (alternating
-large-star and small-star) settle the rest; a bucket whose members then lie in several components has its remaining
-pairs compared by signature in bounded blocks. Every candidate pair is confirmed on the full shingle sets.
+large-star and small-star) settle most of the rest. Classes that share their strongest pivot but not their component
+are then compared on their sets, block against block, each block giving one link per pair of components it joins; last
+come buckets that still hold several components under different pivots. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from basketry.llm import exchange as X
 from basketry.llm.arrays import U, Chunk, Words, chunks, mix, pack_sorted, unpack_sorted
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Values hashed at a time: they stay in the processor's cache.
 TILE = 1 << 15
 BLOCK = 512
@@ -178,17 +179,51 @@ def _confirmed(percent: int):
     return step
 
 
-def _compare_block(threshold: float):
-    """Pairs of one pair of blocks that lie in different components and agree by signature."""
+def _compare_sets(percent: int):
+    """Links between different components among the sets of one pair of blocks; one link per pair it joins."""
 
     def step(group: pa.Table) -> pa.Table:
         node, comp, side = (np.asarray(group.column(c).combine_chunks()) for c in ("node", "component", "side"))
         signs = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(node), -1)
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        packed = group.column("shingles")
+        sets = [unpack_sorted(packed[i].as_py()) for i in range(len(node))]
+        least = least_share(percent / 100, signs.shape[1])
+        root = {int(c): int(c) for c in comp}
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        right = np.flatnonzero(side != 0)
+        links = []
+        for i in np.flatnonzero(side != 1):
+            near = right[comp[right] != comp[i]]
+            for j in near[(signs[near] == signs[i]).mean(axis=1) >= least]:
+                x, y = find(int(comp[i])), find(int(comp[j]))
+                if x == y:
+                    continue
+                both = np.intersect1d(sets[i], sets[j], assume_unique=True).size
+                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                    root[max(x, y)] = min(x, y)
+                    links.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+    return step
+
+
+def _compare_signatures(threshold: float):
+    """Pairs of one pair of blocks under different pivots and in different components whose signatures agree."""
+
+    def step(group: pa.Table) -> pa.Table:
+        node, comp, side, home = (np.asarray(group.column(c).combine_chunks()) for c in ("node", "component", "side", "home"))
+        signs = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint16).reshape(len(node), -1)
+        right = np.flatnonzero(side != 0)
         least = least_share(threshold, signs.shape[1])
         a, b = [], []
-        for i in left:
-            near = right[(comp[right] != comp[i]) & (node[right] != node[i])]
+        for i in np.flatnonzero(side != 1):
+            near = right[(comp[right] != comp[i]) & (home[right] != home[i])]
             near = near[(signs[near] == signs[i]).mean(axis=1) >= least]
             a.append(np.minimum(node[i], node[near]))
             b.append(np.maximum(node[i], node[near]))
@@ -198,6 +233,54 @@ def _compare_block(threshold: float):
     return step
 
 
+def _in_blocks(rows: DataFrame) -> DataFrame:
+    """Deal the rows of each home (with its ``size``) into blocks and meet every block with every other."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    return (
+        rows.withColumn("parts", parts)
+        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select(
+            "home", "node", "component",
+            F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
+            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
+        )
+    )
+
+
+def _across_homes(placed: DataFrame) -> DataFrame:
+    """Blocks of the buckets that hold several components and several homes.
+
+    A bucket's main home (most members) needs no comparison within itself: its members meet only the blocks of the
+    other members, so a large bucket with a few strangers costs about one row per member.
+    """
+    main = placed.groupBy("bucket").agg(F.mode("home", True).alias("main"))
+    rows = placed.join(main, "bucket").withColumn("strange", F.col("home") != F.col("main"))
+    sizes = rows.groupBy("bucket").agg(
+        F.sum(F.col("strange").cast("long")).alias("others"), F.count("*").alias("all"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    sizes = sizes.where("others > 0 and low < high").select(
+        "bucket", F.ceil(F.col("others") / BLOCK).cast("int").alias("few"), F.ceil((F.col("all") - F.col("others")) / BLOCK).cast("int").alias("many")
+    )
+
+    def meet(left, right, side):
+        return F.struct(left.cast("int").alias("left"), right.cast("int").alias("right"), F.lit(side).cast("int").alias("side"))
+
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("strange"), F.col("few")).otherwise(F.col("many"))).cast("int")
+    few, many = (F.sequence(F.lit(0), F.col(c) - 1) for c in ("few", "many"))
+    with_few = F.transform(
+        few, lambda k: F.when(k == F.col("own"), meet(k, k, 2)).when(F.col("own") < k, meet(F.col("own"), k, 0)).otherwise(meet(k, F.col("own"), 1))
+    )
+    with_many = F.transform(many, lambda k: meet(F.col("own"), F.col("few") + k, 0))
+    main_side = F.transform(few, lambda k: meet(k, F.col("few") + F.col("own"), 1))
+    return (
+        rows.join(sizes, "bucket")
+        .withColumn("own", own)
+        .withColumn("met", F.explode(F.when(F.col("strange"), F.concat(with_few, with_many)).otherwise(main_side)))
+        .select("bucket", "node", "component", "home", "met.left", "met.right", "met.side")
+    )
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reached) of every node of the undirected ``edges`` (a, b).
 
@@ -236,7 +319,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     separate documents. A null doc_id joins groups; its component_id is null if no member has an id, and it is kept
     only then. Extra columns are ignored; an empty table gives none.
 
-    Memory: a task holds 2 MB of text, or two blocks of 512 signatures. Copies cost one row each; a bucket costs one
+    Memory: a task holds 1 MB of text, or two blocks of 512 signatures. Copies cost one row each; a bucket costs one
     row per class and only unsettled buckets are compared pair by pair, in blocks over many tasks.
     """
     spark = docs.sparkSession
@@ -256,15 +339,19 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     counts = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
     members = X.written(members.join(counts, "bucket"))
     weight = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    weighted = members.join(weight, "node")
-    pivots = weighted.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("pivot")).select("bucket", F.col("pivot.node").alias("pivot"))
+    pivots = members.join(weight, "node").groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("pivot"))
+    led = X.written(members.join(pivots, "bucket"))
+    home = X.written(led.groupBy("node").agg(F.max("pivot").alias("pivot")).select("node", F.col("pivot.node").alias("home")))
     pairs = (
-        members.join(pivots, "bucket")
+        led.select("node", F.col("pivot.node").alias("pivot"))
         .where("node <> pivot")
         .select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
         .distinct()
     )
     signs = classes.select("node", "signature")
+    texts = source.mapInArrow(_packed_sets(shingle_words), "set_key binary, packed binary").groupBy("set_key").agg(F.first("packed").alias("packed"))
+    keys = classes.select("node", "set_key").join(home.select("node"), "node")
+    sets = X.written(texts.join(keys, "set_key").select("node", "packed").mapInArrow(_to_sets(shingle_words), "node bigint, shingles binary"))
 
     def agreeing(pairs: DataFrame) -> DataFrame:
         both = pairs.join(signs.withColumnsRenamed({"node": "a", "signature": "sign_a"}), "a").join(
@@ -273,37 +360,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         return both.select("a", "b", "sign_a", "sign_b").mapInArrow(_similar(percent / 100), "a bigint, b bigint")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        texts = source.mapInArrow(_packed_sets(shingle_words), "set_key binary, packed binary").groupBy("set_key").agg(F.first("packed").alias("packed"))
-        keys = classes.select("node", "set_key").join(wanted, "node")
-        sets = X.written(texts.join(keys, "set_key").select("node", "packed").mapInArrow(_to_sets(shingle_words), "node bigint, shingles binary"))
         both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "set_a"}), "a").join(
             sets.withColumnsRenamed({"node": "b", "shingles": "set_b"}), "b"
         )
-        edges = X.written(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a bigint, b bigint"))
-        X.dropped(sets)
-        return edges
+        return X.written(both.select("a", "b", "set_a", "set_b").mapInArrow(_confirmed(percent), "a bigint, b bigint"))
 
-    edges = confirmed(X.written(agreeing(pairs)))
-    found = connected(edges)
+    def with_component(rows: DataFrame) -> DataFrame:
+        return rows.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    # What is left: buckets over several components. Their pairs across components are compared in blocks.
-    placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("bucket")
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
-    blocked = (
-        placed.join(open_, "bucket")
-        .withColumn("parts", parts)
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .join(signs, "node")
-        .select(
-            "bucket", "node", "component", "signature",
-            F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"),
-            F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-    )
-    rest = X.written(blocked.groupBy("bucket", "left", "right").applyInArrow(_compare_block(percent / 100), "a bigint, b bigint").distinct())
+    edges = confirmed(agreeing(pairs))
+    found = connected(edges)
+    placed = with_component(home)
+    spread = placed.groupBy("home").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("size"))
+    blocks = _in_blocks(placed.join(spread.where("low < high").select("home", "size"), "home")).join(signs, "node").join(sets, "node")
+    more = X.written(blocks.groupBy("home", "left", "right").applyInArrow(_compare_sets(percent), "a bigint, b bigint"))
+    edges = edges.unionByName(more)
+    found = connected(edges)
+    placed = with_component(members.select("bucket", "node").join(home, "node"))
+    blocks = _across_homes(placed).join(signs, "node")
+    rest = X.written(blocks.groupBy("bucket", "left", "right").applyInArrow(_compare_signatures(percent / 100), "a bigint, b bigint").distinct())
     if not rest.isEmpty():
         found = connected(edges.unionByName(confirmed(rest)))
 

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from basketry.llm import near_dedup
 from basketry.llm.arrays import U, mix
 from basketry.llm.near_dedup import connected, near_duplicates
 from basketry.llm.substring_dedup import recompress, remove_repeats
@@ -91,6 +92,29 @@ def test_near_duplicates(docs, rows, size):
     assert sorted(got, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("block", [3, 512])
+def test_crowds_are_compared_in_blocks(spark, monkeypatch, block):
+    """Copies around the threshold of one another: every link counts, whatever the size of a block."""
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    base = [[f"b{g}x{i}" for i in range(80)] for g in range(2)]
+    texts = []
+    for k in range(60):
+        w = list(base[k % 2])
+        for p in rng.choice(80, int(rng.integers(2, 9)), replace=False):
+            w[p] = f"n{k}x{p}"
+        texts.append(" ".join(w))
+    sets = [frozenset(zip(t.split(), t.split()[1:], strict=False)) for t in texts]
+    group = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                group = [min(group[i], group[j]) if g in (group[i], group[j]) else g for g in group]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs, 2).collect()}
+    assert got == dict(enumerate(group)) and 4 < len(set(group)) < 60
+
+
 def test_near_copies_without_a_common_centre(spark):
     """A chain of copies, each near its neighbours only, is one group; texts at 0.7 to it stay out."""
     words = [f"w{i}" for i in range(200)]
