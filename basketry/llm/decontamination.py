@@ -105,18 +105,15 @@ def _search(index: Index):
 
     def step(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(0))
-            out = [[] for _ in range(4)]
+            data, offsets = text_bytes(batch.column(0).field("text"))
             at = 0
             while at < batch.num_rows:
                 stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, side="right")) - 1)
                 n = stop - at
+                part = batch.slice(at, n)
                 chunk = Chunk(np.zeros(n, np.int64), np.ones(n, bool), data[offsets[at] : offsets[stop]], offsets[at : stop + 1] - offsets[at])
-                for column, values in zip(out, _findings(index, chunk, batch.slice(at, n)), strict=True):
-                    column.append(values)
+                yield pa.RecordBatch.from_arrays([part.column(0), *_findings(index, chunk, part)], batch.schema.names)
                 at = stop
-            columns = [pa.concat_arrays(c) if c else f for c, f in zip(out, batch.columns[2:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], batch.schema.names)
 
     return step
 
@@ -125,13 +122,13 @@ def _findings(index: Index, chunk: Chunk, before: pa.RecordBatch) -> list[pa.Arr
     words, rows = find(index, chunk)
     count = pa.array(words.count, pa.int64())
     if not rows:
-        return [count, *before.columns[3:]]
-    items, best, spans = (before.column(i).to_pylist() for i in (3, 4, 5))
+        return [count, *before.columns[2:]]
+    items, best, spans = (before.column(i).to_pylist() for i in (2, 3, 4))
     for doc, item, matched, compared, start, stop in rows:
         items[doc] = sorted({*items[doc], int(index.ids[item])})
         best[doc] = max(best[doc], matched / compared)
         spans[doc] = merged([*spans[doc], {"start": start, "stop": stop}])
-    return [count, pa.array(items, before.column(3).type), pa.array(best), pa.array(spans, before.column(5).type)]
+    return [count, pa.array(items, before.column(2).type), pa.array(best), pa.array(spans, before.column(4).type)]
 
 
 def merged(spans: list[dict]) -> list[dict]:
@@ -180,8 +177,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 15, share
     The benchmark is read in parts of ``part_words`` words, a stated set that every document is held against; each
     part is one step over the documents, and every fourth step is written to the shared folder.
     """
-    texts = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    found = texts.selectExpr("text", "row", "0L AS n_words", "cast(array() AS array<bigint>) AS item_ids", "0D AS best_share", "cast(array() AS array<struct<start:bigint,stop:bigint>>) AS overlaps")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    found = rows.selectExpr("row", "0L AS n_words", "cast(array() AS array<bigint>) AS item_ids", "0D AS best_share", "cast(array() AS array<struct<start:bigint,stop:bigint>>) AS overlaps")
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in found.schema.fields])
     none = _index([], [], window, share)
     found = found.mapInArrow(_search(none), schema) if benchmark.isEmpty() else found
@@ -189,7 +186,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 15, share
         if i and i % 4 == 0:
             found = X.written(found)
         found = found.mapInArrow(_search(index), schema)
-    return found.drop("text")
+    return found
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -96,18 +96,23 @@ def codewords(count: int) -> np.ndarray:
     return best
 
 
+def slices(batch: pa.RecordBatch, rows: int = 128):
+    """A batch in parts of a few rows, so that few texts are Python strings at a time."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
+
+
 def _count_by_language(batches):
     """Per language and slice of features the sum of its documents' n-gram shares, as whole numbers, so that the sum
     does not depend on the order of rows. Every document weighs alike, whatever its length."""
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
-        texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at in range(0, len(texts), 128):
-            rows = profiles(texts[at : at + 128])
+        for part in slices(batch):
+            texts, langs = part.column(0).to_pylist(), part.column(1).to_pylist()
+            rows = profiles(texts)
             shares = np.rint(rows / np.maximum(rows.sum(axis=1, keepdims=True), 1) * SHARE).astype(np.int64)
-            part = np.array(langs[at : at + 128])
-            for lang in set(langs[at : at + 128]):
-                total = shares[part == lang].sum(axis=0)
+            mine = np.array(langs)
+            for lang in set(langs):
+                total = shares[mine == lang].sum(axis=0)
                 totals[lang] = totals[lang] + total if lang in totals else total
     for lang, total in totals.items():
         pieces = total.reshape(-1, SLICE)
@@ -188,19 +193,20 @@ def decode(model: Model, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _predict(model: Model):
     def step(batches):
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            lang, second, score = [UNDETERMINED] * len(texts), [None] * len(texts), np.zeros(len(texts))
-            known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.languages else []
-            for at in range(0, len(known), 128):
-                rows = known[at : at + 128]
-                order, belief = decode(model, profiles([texts[i] for i in rows]))
-                for i, o, b in zip(rows, order, belief, strict=True):
-                    lang[i], score[i] = model.languages[o[0]], b[0]
-                    second[i] = model.languages[o[1]] if len(o) > 1 else None
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[1:], pa.array(lang), pa.array(score), pa.array(second, pa.string()), pa.array(score < AMBIGUOUS)],
-                [*batch.schema.names[1:], "lang_pred", "score", "second", "ambiguous"],
-            )
+            for part in slices(batch):
+                yield judged(part)
+
+    def judged(part: pa.RecordBatch) -> pa.RecordBatch:
+        texts = part.column(0).field("text").to_pylist()
+        lang, second, score = [UNDETERMINED] * len(texts), [None] * len(texts), np.zeros(len(texts))
+        known = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if model.languages else []
+        if known:
+            order, belief = decode(model, profiles([texts[i] for i in known]))
+            for i, o, b in zip(known, order, belief, strict=True):
+                lang[i], score[i] = model.languages[o[0]], b[0]
+                second[i] = model.languages[o[1]] if len(o) > 1 else None
+        columns = [part.column(0), pa.array(lang), pa.array(score), pa.array(second, pa.string()), pa.array(score < AMBIGUOUS)]
+        return pa.RecordBatch.from_arrays(columns, ["row", "lang_pred", "score", "second", "ambiguous"])
 
     return step
 
@@ -214,8 +220,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     Null text, text without a letter, or a model that learned from no row: ``und`` with score 0 and ambiguous. Long
     texts are counted tile by tile. Repeated rows are predicted alike; columns of any name are kept inside ``row``.
     """
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    schema = T.StructType([*rows.select("row").schema.fields])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    schema = T.StructType([*rows.schema.fields])
     for name, kind in (("lang_pred", T.StringType()), ("score", T.DoubleType()), ("second", T.StringType()), ("ambiguous", T.BooleanType())):
         schema.add(name, kind)
     return rows.mapInArrow(_predict(model), schema)

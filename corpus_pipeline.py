@@ -29,11 +29,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each near-duplicate group (five-word shingles, 0.8): the one with the smallest doc_id."""
-    rows = docs.select("text", "doc_id", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     # Rows are numbered once and written, so that rows with one doc_id stay apart.
     rows = written(rows.withColumn("number", F.monotonically_increasing_id()))
-    groups = near_duplicates(rows.select(F.col("number").alias("doc_id"), "text"))
-    members = groups.select(F.col("doc_id").alias("number"), F.col("component_id").alias("group")).join(rows.select("number", "doc_id"), "number")
+    groups = near_duplicates(rows.select(F.col("number").alias("doc_id"), F.col("row.text").alias("text")))
+    members = groups.select(F.col("doc_id").alias("number"), F.col("component_id").alias("group"))
+    members = members.join(rows.select("number", "row.doc_id"), "number")
     first = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "number")).alias("first"))
     return rows.join(first.select(F.col("first.number").alias("number")), "number").select("row.*")
 
