@@ -14,7 +14,7 @@ from basketry.llm.lm_score import op2_lm_score
 from basketry.llm.near_dedup import op9_near_dedup
 from basketry.llm.packing import op3_best_fit_packing
 from basketry.llm.private_data import op7_private_data
-from basketry.llm.quality_rules import op4_quality_rules
+from basketry.llm.quality_rules import OP4_SQL, op4_quality_rules
 from basketry.llm.substring_dedup import op8_substring_dedup
 
 _ALL = [
@@ -36,4 +36,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {op4_quality_rules.__name__: OP4_SQL}
