@@ -46,9 +46,9 @@ def buckets_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
-def compress(*parts: bytes) -> bytes:
+def compress(*parts: bytes, level: int = 1) -> bytes:
     head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(parts))
+    return zstandard.ZstdCompressor(level=level).compress(head + b"".join(parts))
 
 
 def decompress(blob: bytes) -> list[bytes]:
@@ -59,9 +59,9 @@ def decompress(blob: bytes) -> list[bytes]:
     return [raw[e - s : e] for s, e in zip(sizes, ends, strict=True)]
 
 
-def compact(*arrays: np.ndarray) -> bytes:
+def compact(*arrays: np.ndarray, level: int = 1) -> bytes:
     """Arrays as one compressed binary."""
-    return compress(*[a.dtype.str.encode().ljust(8) + np.ascontiguousarray(a).tobytes() for a in arrays])
+    return compress(*[a.dtype.str.encode().ljust(8) + np.ascontiguousarray(a).tobytes() for a in arrays], level=level)
 
 
 def expand(blob: bytes) -> list[np.ndarray]:
@@ -78,8 +78,8 @@ def block_batch(block: int, asks: Iterable[tuple[int, bytes]], hold: bytes | Non
     )
 
 
-def hold_chunk(chunk: Chunk, *more: np.ndarray) -> bytes:
-    return compact(chunk.ids, chunk.has_id, chunk.offsets, chunk.data, *more)
+def hold_chunk(chunk: Chunk, *more: np.ndarray, level: int = 1) -> bytes:
+    return compact(chunk.ids, chunk.has_id, chunk.offsets, chunk.data, *more, level=level)
 
 
 def held_chunk(blob: bytes) -> tuple[Chunk, list[np.ndarray]]:

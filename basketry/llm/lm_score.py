@@ -23,6 +23,8 @@ CHUNK_BYTES = 6 << 20
 #: Words are hashed so many bytes at a time.
 PART_BYTES = 1 << 20
 END, START = U(0x5851F42D4C957F2D), U(0x14057B7EF767814F)
+#: First byte of a reply.
+WORD, BIGRAM = 1, 2
 BUCKETS = 48
 #: Bins of the natural logarithm of the ratio of bigram to unigram estimate; the last bin holds ratio zero.
 WIDTH, LOW, BINS = 0.02, -20.0, 3001
@@ -51,16 +53,23 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[order][starts], which
 
 
+def _blocks(batches):
+    for block, chunk in zip(X.block_ids(), chunks(batches, CHUNK_BYTES)):  # noqa: B905
+        yield X.block_batch(block, [], X.hold_chunk(chunk, chunk.flag, level=5))
+
+
 def _ask_words(buckets: int):
     def step(batches):
-        for block, chunk in zip(X.block_ids(), chunks(batches, CHUNK_BYTES)):  # noqa: B905
-            token, offsets = tokens(chunk)
-            learn = np.repeat(~chunk.flag, np.diff(offsets))
-            keys, which = _distinct(token)
-            total = np.bincount(which, minlength=len(keys)).astype(U)
-            unseen = np.bincount(which[~learn], minlength=len(keys)).astype(U)
-            asks = [(b, X.compress(pack_sorted(keys[s]), pack_planes(total[s]), pack_planes(unseen[s]))) for b, s in X.split_by_bucket(keys, buckets)]
-            yield X.block_batch(block, asks, X.hold_chunk(chunk, chunk.flag))
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                chunk, (held_out,) = X.held_chunk(blob.as_py())
+                token, offsets = tokens(chunk)
+                unseen = np.repeat(held_out, np.diff(offsets))
+                keys, which = _distinct(token)
+                total = np.bincount(which, minlength=len(keys)).astype(U)
+                left_out = np.bincount(which[unseen], minlength=len(keys)).astype(U)
+                asks = [(b, X.compress(pack_sorted(keys[s]), pack_planes(total[s]), pack_planes(left_out[s]))) for b, s in X.split_by_bucket(keys, buckets)]
+                yield X.block_batch(block, asks)
 
     return step
 
@@ -101,24 +110,31 @@ def _bigrams(code: np.ndarray, offsets: np.ndarray, types: int):
     return pairs // (types + 1), pairs % (types + 1), which
 
 
-def _ask_bigrams(buckets: int):
-    def step(block: int, hold: bytes, replies: list[bytes]) -> pa.Table:
-        chunk, (held_out,) = X.held_chunk(hold)
-        token, offsets = tokens(chunk)
-        keys, code = _distinct(token)
-        reply = _replies(replies)
-        count, alone = reply >> U(1), (reply & U(1)) > 0
-        context, word, which = _bigrams(code, offsets, len(keys))
-        learn = np.repeat(~held_out, np.diff(offsets))
-        own = np.bincount(which[learn], minlength=len(word)).astype(U)
+class Block:
+    """A block's tokens as codes of its distinct words, its distinct bigrams, and what the word counts tell of them."""
+
+    def __init__(self, hold: bytes, words: list[bytes]):
+        self.chunk, (self.held_out,) = X.held_chunk(hold)
+        token, self.offsets = tokens(self.chunk)
+        self.keys, self.code = _distinct(token)
+        reply = _replies(words)
+        self.count, alone = reply >> U(1), (reply & U(1)) > 0
+        self.context, self.word, self.which = _bigrams(self.code, self.offsets, len(self.keys))
+        self.learn = np.repeat(~self.held_out, np.diff(self.offsets))
+        self.own = np.bincount(self.which[self.learn], minlength=len(self.word)).astype(U)
         # A word no other block has brings no bigram that another block has.
-        asked = np.flatnonzero(~(alone[word] | np.append(alone, False)[context]))
-        name = mix(np.append(keys, START)[context[asked]] * U(0x9E3779B97F4A7C15) + mix(keys[word[asked]]))
+        asked = np.flatnonzero(~(alone[self.word] | np.append(alone, False)[self.context]))
+        name = mix(np.append(self.keys, START)[self.context[asked]] * U(0x9E3779B97F4A7C15) + mix(self.keys[self.word[asked]]))
         order = np.argsort(name, kind="stable")
-        name, asked = name[order], asked[order]
-        asks = [(b, X.compress(pack_sorted(name[s]), pack_planes(own[asked][s]))) for b, s in X.split_by_bucket(name, buckets)]
-        hold = X.compact(chunk.ids, chunk.has_id, held_out, offsets, code.astype(np.uint32), count, own, asked.astype(np.uint32))
-        return pa.Table.from_batches([X.block_batch(block, asks, hold)])
+        self.name, self.asked = name[order], asked[order]
+
+
+def _ask_bigrams(buckets: int):
+    def step(block: int, hold: bytes, replies: list[bytes]) -> pa.Table:
+        b = Block(hold, replies)
+        own = b.own[b.asked]
+        asks = [(k, X.compress(pack_sorted(b.name[s]), pack_planes(own[s]))) for k, s in X.split_by_bucket(b.name, buckets)]
+        return pa.Table.from_batches([X.block_batch(block, asks)])
 
     return step
 
@@ -143,26 +159,27 @@ class Estimates:
         self.cell = self.bucket * BINS + np.where(deleted > 0, bin_, BINS - 1).astype(np.int64)
 
 
-def _estimates(hold: bytes, pair: np.ndarray | None, totals):
-    ids, has_id, held_out, offsets, code, count, own, asked = X.expand(hold)[:8]
-    code = code.astype(np.int64)
-    context, word, which = _bigrams(code, offsets, len(count))
-    counts = own.copy()
-    if pair is not None:
-        counts[asked] = pair
-    return ids, has_id, held_out, offsets, which, counts, Estimates(context, word, count, counts, *totals)
-
-
 def _tally(totals):
-    """Put each block's deleted tokens into cells, and hold the counts for scoring."""
+    """Put each block's deleted tokens into cells, and hold the counts for scoring; the first replies are of words."""
 
     def step(block: int, hold: bytes, replies: list[bytes]) -> pa.Table:
-        _, _, held_out, offsets, which, counts, e = _estimates(hold, _replies(replies), totals)
-        learn = np.repeat(~held_out, np.diff(offsets))
-        cells = np.bincount(e.cell[which[learn]], minlength=BUCKETS * BINS)
+        b = Block(hold, [r[1:] for r in replies if r[0] == WORD])
+        counts = b.own.copy()
+        counts[b.asked] = _replies([r[1:] for r in replies if r[0] == BIGRAM])
+        e = Estimates(b.context, b.word, b.count, counts, *totals)
+        cells = np.bincount(e.cell[b.which[b.learn]], minlength=BUCKETS * BINS)
         used = np.flatnonzero(cells)
-        arrays = X.expand(hold)
-        batch = X.block_batch(block, [], X.compact(*arrays[:6], counts, arrays[7][:0]))
+        # Frequent words get small codes, which pack well.
+        order = np.argsort(-np.bincount(b.code, minlength=len(b.keys)), kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        code = rank[b.code]
+        pairs = np.append(rank, len(rank))[b.context] * (len(rank) + 1) + rank[b.word]
+        state = X.compress(
+            X.compact(b.chunk.ids, b.chunk.has_id, b.held_out, b.offsets),
+            *(pack_planes(x.astype(U)) for x in (code, b.count[order], counts[np.argsort(pairs)])), level=3,
+        )
+        batch = X.block_batch(block, [], state)
         return pa.Table.from_arrays(
             [*batch.columns, pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([cells[used]], pa.list_(pa.int64()))],
             [*batch.schema.names, "cells", "counts"],
@@ -194,7 +211,11 @@ def _score(totals, weight: np.ndarray):
     def step(batches):
         for batch in batches:
             for blob in batch.column(0):
-                ids, has_id, held_out, offsets, which, _, e = _estimates(blob.as_py(), None, totals)
+                head, *arrays = X.decompress(blob.as_py())
+                ids, has_id, held_out, offsets = X.expand(head)
+                code, count, pair = (unpack_planes(x) for x in arrays)
+                context, word, which = _bigrams(code.astype(np.int64), offsets, len(count))
+                e = Estimates(context, word, count, pair, *totals)
                 share = np.where(e.seen, weight[e.bucket], 0.0)
                 mixed = np.log10(share * e.bigram + (1 - share) * e.word)[which]
                 base = np.log10(e.word)[which]
@@ -229,16 +250,21 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     buckets = X.bucket_count(spark)
     flag = F.coalesce(held_out, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), flag.alias("held_out"))
-    first = X.written(rows.mapInArrow(_ask_words(buckets), X.BLOCK_SCHEMA))
-    words = X.written(X.answers(first, _count_words))
+    blocks = X.written(rows.mapInArrow(_blocks, X.BLOCK_SCHEMA)).select("block", "hold")
+    words = X.written(X.answers(blocks.mapInArrow(_ask_words(buckets), X.BLOCK_SCHEMA), _count_words))
     sums = words.where("tally is not null").agg(F.sum(F.col("tally")[0]), F.sum(F.col("tally")[1])).first()
-    train_docs = rows.where("not held_out").count()
-    totals = (int(sums[0] or 0), int(sums[1] or 0), train_docs)
-    second = X.written(X.resumed(first, words, _ask_bigrams(buckets), X.BLOCK_SCHEMA))
-    X.dropped(first)
+    totals = (int(sums[0] or 0), int(sums[1] or 0), rows.where("not held_out").count())
+    pairs = X.answers(X.resumed(blocks, words, _ask_bigrams(buckets), X.BLOCK_SCHEMA), _count_bigrams)
+
+    def marked(replies: DataFrame, kind: int) -> DataFrame:
+        """Replies behind their kind; those of bigrams get the later bucket numbers."""
+        bucket = (F.col("bucket") + (kind - WORD) * buckets).alias("bucket")
+        return replies.select("block", bucket, F.concat(F.lit(bytes([kind])), "answer").alias("answer"))
+
+    both = marked(words, WORD).unionByName(marked(pairs, BIGRAM))
+    third = X.written(X.resumed(blocks, both, _tally(totals), STATE))
+    X.dropped(blocks)
     X.dropped(words)
-    third = X.written(X.resumed(second, X.answers(second, _count_bigrams), _tally(totals), STATE))
-    X.dropped(second)
     cells = third.select(F.explode(F.arrays_zip("cells", "counts")).alias("c")).groupBy("c.cells").agg(F.sum("c.counts").alias("n"))
     weight = mixture_weights({r.cells: r.n for r in cells.collect()})
     scored = third.where("hold is not null").select("hold").mapInArrow(_score(totals, weight), SCORES)
