@@ -1,15 +1,15 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame expressions alone.
 
 Strict patterns find the seeds: mail addresses, IP addresses, card and phone numbers. Every token with a digit or an @
-is a candidate, and what stands around it (the words before, the word behind, a label inside) are its patterns. Spark
-scores the graph of patterns and candidate values in rounds: a pattern is trusted by the share of its values that are
+is a candidate, and so is every row of digit groups joined by single spaces and every seed that spans spaces; what stands
+around it (the words before, the word behind, a label inside) are its patterns. Spark scores the graph of patterns and candidate values in rounds: a pattern is trusted by the share of its values that are
 known, a value by the patterns it stands in. Values of a fitting form in trusted patterns are found to be of the
 seeds' kind and join the known ones for the next round.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.llm.exchange import written
@@ -26,7 +26,15 @@ KINDS = {
 # Text without the pattern's rarest part needs no search.
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
 TOKEN = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
+# The first, an inner and the last token of a number written in groups with single spaces.
+GROUP = r"\(?[0-9](?:[0-9.()-]*[0-9])?\)?"
+LEAD = r"(?:[A-Za-z_.-]+[=:])?"
+FIRST, INNER, LAST = rf"^{LEAD}[\"'(<\[]*\+?{GROUP}$", rf"^{GROUP}$", rf"^{GROUP}[\"')>\].,;:!?]*$"
+# Digits of a card or phone number: other groups are not joined.
+LEAST_DIGITS, MOST_DIGITS = 8, 19
 SPAN = "array<struct<kind:string,rank:int,start:int,stop:int,base:boolean>>"
+CANDIDATE = "array<struct<value:string,start:int,stop:int,patterns:array<string>,joined:boolean>>"
+SEED = "array<struct<kind:string,rank:int,start:int,stop:int,base:boolean,value:string,patterns:array<string>>>"
 
 
 def digits(value: Column) -> Column:
@@ -83,26 +91,45 @@ def placed(text: Column, pattern: str, make) -> Column:
     return let(F.split(text, pattern, -1), walk)
 
 
-def base_spans(text: Column) -> Column:
-    """All seed spans of a text, by start, then kind."""
+def around(before: Column, lead: Column, after: Column) -> Column:
+    """The patterns of a value: words before it, the word behind it, a label in front."""
+    left = F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
+    two = F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
+    right = F.lower(F.regexp_extract(after, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
+    label = F.lower(F.regexp_extract(lead, r"^([A-Za-z_.-]+[=:])", 1))
+
+    patterns = F.array(F.concat(F.lit("left "), left), F.concat(F.lit("left two "), two), F.concat(F.lit("right "), right), F.concat(F.lit("label "), label))
+    return F.filter(patterns, lambda p: ~p.endswith(" "))
+
+
+def base_seeds(text: Column) -> Column:
+    """All seeds of a text, by start, then kind; those that span spaces with their value and patterns."""
     found = []
     for rank, (kind, pattern) in enumerate(KINDS.items()):
 
         def make(before: Column, match: Column, after: Column, start: Column, kind=kind, rank=rank) -> Column:
+            spaced = match.contains(" ")
+            glued = F.regexp_extract(before, r"[^\x20\x09-\x0D]*$", 0)
+            # As with tokens, no word with a digit or @ is a pattern.
+            words = around(F.regexp_replace(before, r"[^\x20\x09-\x0D]+$", ""), glued, F.regexp_replace(after, r"^[^\x20\x09-\x0D]+", ""))
             span = F.struct(
                 F.lit(kind).alias("kind"), F.lit(rank).alias("rank"), start.alias("start"),
                 (start + F.length(match)).alias("stop"), F.lit(True).alias("base"),
+                F.when(spaced, match).alias("value"), F.when(spaced, F.filter(words, lambda p: ~p.rlike("[0-9@]"))).alias("patterns"),
             )
             return F.when(holds(kind, match), span)
 
-        none = F.array().cast(SPAN)
-        found.append(F.when(text.rlike(NEEDS[kind]), placed(text, pattern, make).cast(SPAN)).otherwise(none))
-    return in_order(F.concat(*found))
+        none = F.array().cast(SEED)
+        found.append(F.when(text.rlike(NEEDS[kind]), placed(text, pattern, make).cast(SEED)).otherwise(none))
+    return in_order(F.concat(*found), ("value", "patterns"))
+
 
+def in_order(spans: Column, more: tuple[str, ...] = ()) -> Column:
+    def fields(s: Column, *names: str) -> Column:
+        return F.struct(*[s[n].alias(n) for n in (*names, *more)])
 
-def in_order(spans: Column) -> Column:
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["base"].alias("base")))
-    return F.transform(F.sort_array(keyed), lambda s: F.struct(s["kind"].alias("kind"), s["rank"].alias("rank"), s["start"].alias("start"), s["stop"].alias("stop"), s["base"].alias("base")))
+    keyed = F.transform(spans, lambda s: fields(s, "start", "rank", "stop", "kind", "base"))
+    return F.transform(F.sort_array(keyed), lambda s: fields(s, "kind", "rank", "start", "stop", "base"))
 
 
 def spelled(spans: Column) -> Column:
@@ -111,31 +138,84 @@ def spelled(spans: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Every token with a digit or an @: its value, place and patterns."""
-
-    def make(before: Column, match: Column, after: Column, start: Column) -> Column:
-        lead = F.regexp_extract(match, r"^(?:[A-Za-z_.-]+[=:])?[\"'(<\[]*", 0)
-        value = F.regexp_replace(F.substring(match, F.length(lead) + 1, F.length(match)), r"[\"')>\].,;:!?]+$", "")
-        left = F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-        two = F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]+[\x20\x09-\x0D]+[^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$", 1))
-        right = F.lower(F.regexp_extract(after, r"^[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)", 1))
-        label = F.lower(F.regexp_extract(lead, r"^([A-Za-z_.-]+[=:])", 1))
-        patterns = F.array(
-            F.when(left != "", F.concat(F.lit("left "), left)),
-            F.when(two != "", F.concat(F.lit("left two "), two)),
-            F.when(right != "", F.concat(F.lit("right "), right)),
-            F.when(label != "", F.concat(F.lit("label "), label)),
-        )
-        at = start + F.length(lead)
-        return F.when(
-            F.length(value) >= 4,
-            F.struct(
-                value.alias("value"), at.alias("start"), (at + F.length(value)).alias("stop"),
-                F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"),
-            ),
-        )
+    """Every token with a digit or an @, and every row of digit groups joined by single spaces: value, place and patterns.
+
+    ``joined`` tells rows of groups; ``whole`` is false where a longer candidate holds this one.
+    """
+
+    def one(before: Column, match: Column, after: Column, start: Column, joined: bool) -> Column:
+        # A row keeps the parenthesis of its area code.
+        opening = r"(?:[\"'<\[]|\((?![0-9]+\)))*" if joined else r"[\"'(<\[]*"
+
+        def led(lead: Column) -> Column:
+            def made(value: Column) -> Column:
+                at = start + F.length(lead)
+                return F.when(
+                    F.length(value) >= 4,
+                    F.struct(
+                        value.alias("value"), at.alias("start"), (at + F.length(value)).alias("stop"),
+                        around(before, lead, after).alias("patterns"), F.lit(joined).alias("joined"),
+                    ),
+                )
+
+            return let(F.regexp_replace(F.substring(match, F.length(lead) + 1, F.length(match)), r"[\"')>\].,;:!?]+$", ""), made)
+
+        return let(F.regexp_extract(match, rf"^{LEAD}{opening}", 0), led)
+
+    def at_token(pieces: Column, matches: Column, i: Column, here: Column) -> Column:
+        """The candidates that start at a token, the longest first."""
+        before, match = F.get(pieces, i), F.get(matches, i)
+        single = F.array(one(before, match, F.get(pieces, i + 1), here, False))
+        none = F.array().cast(CANDIDATE)
+
+        def follows(j: Column) -> Column:
+            return F.coalesce((F.get(pieces, i + j) == " ") & F.get(matches, i + j).rlike(LAST), F.lit(False))
+
+        def extend(acc: Column, j: Column) -> Column:
+            def grown(row: Column) -> Column:
+                n, goes = F.length(digits(row)), acc["open"] & follows(j)
+                longer = F.array(one(before, row, F.get(pieces, i + j + 1), here, True))
+                return F.struct(
+                    row.alias("row"),
+                    (goes & (n < MOST_DIGITS) & F.coalesce(F.get(matches, i + j).rlike(INNER), F.lit(False))).alias("open"),
+                    F.when(goes & n.between(LEAST_DIGITS, MOST_DIGITS), F.concat(longer, acc["out"])).otherwise(acc["out"]).alias("out"),
+                )
+
+            step = let(F.concat(acc["row"], F.lit(" "), F.coalesce(F.get(matches, i + j), F.lit(""))), grown)
+            return F.when(acc["open"] & (F.get(pieces, i + j) == " "), step).otherwise(acc.withField("open", F.lit(False)))
+
+        start = F.struct(match.alias("row"), F.lit(True).alias("open"), none.alias("out"))
+        rows = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_DIGITS - 1)), start, extend, lambda acc: acc["out"])
+        rows = F.when(follows(F.lit(1)) & match.rlike(FIRST), rows).otherwise(none)
+        return F.filter(F.concat(rows, single), lambda x: x.isNotNull())
+
+    def walk(pieces: Column) -> Column:
+        def marked(found: Column, reach: Column) -> Column:
+            return F.transform(found, lambda c, k: c.withField("whole", (k == 0) & (c["stop"] > reach)))
+
+        def inner(matches: Column) -> Column:
+            none = marked(F.array().cast(CANDIDATE), F.lit(0))
+            start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("reach"), none.alias("out"))
+
+            def add(acc: Column, i: Column) -> Column:
+                here = acc["at"] + F.length(F.get(pieces, i))
 
-    return placed(text, TOKEN, make)
+                def extended(found: Column) -> Column:
+                    return F.struct(
+                        (here + F.length(F.get(matches, i))).alias("at"),
+                        F.greatest(acc["reach"], F.coalesce(F.get(found, F.lit(0))["stop"], F.lit(0))).alias("reach"),
+                        F.concat(acc["out"], marked(found, acc["reach"])).alias("out"),
+                    )
+
+                return let(at_token(pieces, matches, i, here), extended)
+
+            return F.when(F.size(matches) == 0, none).otherwise(
+                F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, add, lambda acc: acc["out"])
+            )
+
+        return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), inner)
+
+    return let(F.split(text, TOKEN, -1), walk)
 
 
 def fits(kind: str, value: Column) -> Column:
@@ -144,26 +224,27 @@ def fits(kind: str, value: Column) -> Column:
     if kind == "email":
         return value.rlike(r"^[^@]+@[^@]*[A-Za-z][^@]*$")
     if kind == "ip":
-        return value.rlike(r"^[0-9]+(?:[.:][0-9]+){3,}")
+        return value.rlike(r"^[0-9]+(?:[.:][0-9]+){3,}[^\x20]*$")
     if kind == "card":
-        return n.between(13, 19) & value.rlike(r"^[0-9Xx*.-]+$")
-    return n.between(8, 15) & value.rlike(r"^[+(]?[0-9().-]+$")
+        return n.between(13, 19) & value.rlike(r"^[0-9Xx*.\x20-]+$")
+    return n.between(8, 15) & value.rlike(r"^[+(]?[0-9().\x20-]+$")
 
 
 def discovered(occurrences: DataFrame, rounds: int, trust: float, support: int) -> DataFrame:
-    """Values and kinds that the pattern graph finds, from rows of (value, known kind or null, patterns).
+    """Values and kinds that the pattern graph finds, from rows of (value, known kind or null, whole, patterns).
 
-    Copies of a text add nothing: a pattern counts distinct values.
+    Copies of a text add nothing: a pattern counts distinct values. Candidates inside longer ones can be found, but only
+    whole ones count.
     """
     kinds = F.array(*[F.when(F.col("known").eqNullSafe(F.lit(k)) | (F.col("known").isNull() & fits(k, F.col("value"))), F.lit(k)) for k in KINDS])
     edges = written(
-        occurrences.select("value", "known", F.explode("patterns").alias("pattern"))
+        occurrences.select("value", "known", "whole", F.explode("patterns").alias("pattern"))
         .groupBy("pattern", "value")
-        .agg(F.max("known").alias("known"))
-        .select("pattern", "value", "known", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
+        .agg(F.max("known").alias("known"), F.max("whole").alias("whole"))
+        .select("pattern", "value", "known", "whole", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
     )
     # All distinct values of a pattern, of whatever form, are in the denominator.
-    size = occurrences.select("value", F.explode("patterns").alias("pattern")).distinct().groupBy("pattern").agg(F.count("*").alias("size"))
+    size = occurrences.where("whole").select("value", F.explode("patterns").alias("pattern")).distinct().groupBy("pattern").agg(F.count("*").alias("size"))
     found = edges.where(F.lit(False)).select("value", "kind", F.lit(0.0).alias("score"))
     for _ in range(rounds):
         scored = edges.join(found, ["value", "kind"], "left").withColumn(
@@ -171,7 +252,7 @@ def discovered(occurrences: DataFrame, rounds: int, trust: float, support: int)
         )
         patterns = (
             scored.groupBy("pattern", "kind")
-            .agg(F.sum("score").alias("weight"), F.sum(F.col("known").isNotNull().cast("int")).alias("seeds"))
+            .agg(F.sum(F.when(F.col("whole"), F.col("score"))).alias("weight"), F.sum(F.col("known").isNotNull().cast("int")).alias("seeds"))
             .join(size, "pattern")
             .where(f"seeds >= {support}")
             .select("pattern", "kind", F.least(F.lit(0.999), F.col("weight") / F.col("size")).alias("confidence"))
@@ -203,23 +284,43 @@ def find_private(docs: DataFrame, keep: list[str] | None = None, rounds: int = 3
     kept = F.struct(*[F.col(f"`{c}`") for c in columns]) if columns else F.struct(F.lit(None).cast("string").alias("none"))
     rows = docs.select(text.alias("text"), kept.alias("row"))
     rows = written(
-        rows.select("row", base_spans(F.col("text")).alias("spans"), candidates(F.col("text")).alias("tokens")).withColumn(
+        rows.select("row", base_seeds(F.col("text")).alias("seeds"), candidates(F.col("text")).alias("tokens")).withColumn(
             "place", F.monotonically_increasing_id()
         )
     )
-    tokens = rows.where("size(tokens) > 0").select("place", "spans", F.explode("tokens").alias("t"))
-    overlapping = F.filter("spans", lambda s: (s["start"] < F.col("t.stop")) & (s["stop"] > F.col("t.start")))
-    tokens = tokens.select("place", "t.*", F.get(overlapping, F.lit(0))["kind"].alias("known"))
-    new = discovered(tokens.select("value", "known", "patterns"), rounds, trust, support)
+
+    # A seed that spans spaces is one candidate in place of its tokens; no row of groups crosses a seed.
+    def against_seeds(t: Column) -> Column:
+        def kept(over: Column) -> Column:
+            known = F.get(over, F.lit(0))["kind"]
+            return F.struct(
+                *[t[c].alias(c) for c in ("value", "start", "stop", "patterns")], (t["whole"] | known.isNotNull()).alias("whole"), known.alias("known"),
+                ((F.size(over) == 0) | ~(t["joined"] | F.exists(over, lambda s: s["value"].isNotNull()))).alias("stays"),
+            )
+
+        return let(F.filter("seeds", lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"])), kept)
+
+    def as_candidate(s: Column) -> Column:
+        true = F.lit(True)
+        return F.struct(*[s[c].alias(c) for c in ("value", "start", "stop", "patterns")], true.alias("whole"), s["kind"].alias("known"), true.alias("stays"))
+
+    spaced = F.transform(F.filter("seeds", lambda s: s["value"].isNotNull()), as_candidate)
+    tokens = rows.select("place", F.explode(F.concat(F.transform("tokens", against_seeds), spaced)).alias("t")).select("place", "t.*").where("stays")
+    new = discovered(tokens.select("value", "known", "whole", "patterns"), rounds, trust, support)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
+    # Of found values one within another the longest is kept.
+    longest_first = Window.partitionBy("place", "kind").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1)
     more = (
         tokens.where("known is null")
         .join(new, "value")
+        .withColumn("reach", F.max("stop").over(longest_first))
+        .where("reach is null or stop > reach")
         .groupBy("place")
         .agg(F.collect_list(F.struct("kind", rank.alias("rank"), "start", "stop", F.lit(False).alias("base"))).cast(SPAN).alias("more"))
     )
+    base = in_order(F.col("seeds"))
     return rows.join(more, "place", "left").select(
-        "row", F.when(F.col("more").isNull(), F.col("spans")).otherwise(in_order(F.concat("spans", F.coalesce("more", F.array().cast(SPAN))))).alias("spans")
+        "row", F.when(F.col("more").isNull(), base).otherwise(in_order(F.concat(base, F.coalesce("more", F.array().cast(SPAN))))).alias("spans")
     )
 
 

@@ -231,3 +231,26 @@ def test_private_contexts(spark):
     assert [(s.kind, s.start, s.stop, s.base) for s in out[50][0]] == [("card", 21, 37, False)]
     assert out[50][1] == "again my card number [CARD] thanks"
     assert out[52][0] == [] and out[0][1] == "page 0 my card number [CARD] thanks"
+
+
+def test_private_contexts_of_spaced_numbers(spark):
+    """Phones and cards written in groups teach the words around them, and are found by them without their strict form."""
+    rows = [(100 + i, f"page {i} please call me on +1 (017) 555-78{i:02d} today") for i in range(40)]
+    ends = [next(c for c in range(10) if seeds(f"411111111111{i:03d}{c}")) for i in range(200, 240)]
+    rows += [(200 + i, f"my card number 4111 1111 1111 {200 + i:03d}{c} thanks") for i, c in enumerate(ends)]
+    new = {
+        50: ("again call me on (017) 555-7713 today", "phone", "(017) 555-7713"),
+        51: ("again call me on 017 555 7714 today", "phone", "017 555 7714"),
+        52: ("again call me on 017-555.7715 today", "phone", "017-555.7715"),
+        53: ("again my card number 4111 1111 1111 1112 thanks", "card", "4111 1111 1111 1112"),
+        54: ("again my card number 4111-1111-1111-1113, thanks", "card", "4111-1111-1111-1113"),
+        55: ("again call me on (017) 555-7716 4111 1111 1111 1114 thanks", "card", "4111 1111 1111 1114"),
+    }
+    rows += [(i, t) for i, (t, _, _) in new.items()] + [(60, "between 1914 1918 1939 1945 wars"), (61, "order 017 555 7799 units")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    out = {r.doc_id: r.spans for r in find_private(frame).select("row.doc_id", "spans").collect()}
+    for i, (t, kind, value) in new.items():
+        start = t.index(value)
+        assert (kind, start, start + len(value), False) in [(s.kind, s.start, s.stop, s.base) for s in out[i]], (i, out[i])
+    assert all(len(out[i]) == 1 for i in (50, 51, 52, 53, 54))
+    assert out[60] == [] and out[61] == [] and all(s.base for i in (*range(100, 140), *range(200, 240)) for s in out[i])
