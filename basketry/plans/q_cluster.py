@@ -63,7 +63,7 @@ def i04(spark, d):
 
 @query("i05_k_curve")
 def i05(spark, d):
-    return cluster.k_curve(embedding_vectors(spark, d), "vec_id", [4, 7, 10])
+    return cluster.k_curve(embedding_vectors(spark, d), "vec_id", range(2, 13))
 
 
 # A curve SQL can check: the spread within equal-width price bands, for 2 to 12 bands.
@@ -219,25 +219,18 @@ def i12(spark, d):
 
 @query("i13_dbscan_sweep")
 def i13(spark, d):
-    return density.dbscan_sweep(
-        embedding_vectors(spark, d), "vec_id", metrics=("cosine",), min_samples=(15,), fractions=(0.05, 0.15)
-    )
-
-
-def reduced(spark, d, k=4):
-    out, _ = vectors.pca(embedding_vectors(spark, d), "vec_id", k)
-    return out
+    return density.dbscan_sweep(embedding_vectors(spark, d), "vec_id")
 
 
 @query("i14_gaussian_mixture")
 def i14(spark, d):
-    out, _, _ = cluster.gaussian_mixture(reduced(spark, d), "vec_id", 4)
+    out, _, _ = cluster.gaussian_mixture(embedding_vectors(spark, d), "vec_id", 4)
     return out.select("vec_id", "cluster", F.round(F.array_max("probability"), 4).alias("membership"))
 
 
 @query("i15_aic_curve")
 def i15(spark, d):
-    return cluster.aic_curve(reduced(spark, d), "vec_id", [2, 4])
+    return cluster.aic_curve(embedding_vectors(spark, d), "vec_id", range(2, 11))
 
 
 @query("i19_projection")
