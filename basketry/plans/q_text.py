@@ -88,10 +88,11 @@ vocab AS (SELECT *, row_number() OVER (ORDER BY term) - 1 AS term_id FROM top)""
 TEXT_CTES = f"{VALID}, {CLEAN}, {GRAMS}"
 
 
-def fitted(spark, d):
+def fitted(spark, d, settings=None):
+    """Texts, their number and the vocabulary; ``settings`` chooses its bounds by that number."""
     docs = materialised(text.light_clean(filters.valid_texts(views.raw_texts(spark, d)), "detail_desc"))
     n = docs.count()
-    return docs, n, text.vocabulary(docs, "article_id", "detail_desc", n, **SETTINGS)
+    return docs, n, text.vocabulary(docs, "article_id", "detail_desc", n, **(settings(n) if settings else SETTINGS))
 
 
 @query("h04_vocabulary", with_views("rtext", "SELECT * FROM vocab", TEXT_CTES))
@@ -165,7 +166,7 @@ def h07(spark, d):
 
 @query("h08_svd_of_tfidf")
 def h08(spark, d):
-    docs, n, vocab = fitted(spark, d)
+    docs, n, vocab = fitted(spark, d, text.tfidf_defaults)
     matrix = text.tfidf_vectors(docs, "article_id", "detail_desc", vocab, n)
     out, _, _ = text.svd(matrix, "article_id", 20)
     return out

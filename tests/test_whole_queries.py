@@ -4,7 +4,7 @@ import inspect
 
 import pytest
 
-from basketry.operators import cluster, density
+from basketry.operators import cluster, density, text
 from basketry.plans import queries
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -36,3 +36,8 @@ def test_cluster_queries_run_the_whole_job(spark, monkeypatch):
     assert all(len(a["df"].first()["vector"]) == 64 for a in (mixture, aic))
     for ks in (aic["ks"], arguments(spark, monkeypatch, cluster, "k_curve", "i05_k_curve")["ks"]):
         assert len(ks) > 5 and list(ks) == list(range(min(ks), max(ks) + 1))
+
+
+def test_svd_query_has_the_vocabulary_of_the_corpus_size(spark, monkeypatch):
+    svd = arguments(spark, monkeypatch, text, "svd", "h08_svd_of_tfidf")
+    assert svd["vectors"].first()["features"].size > 2000
