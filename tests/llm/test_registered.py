@@ -10,7 +10,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_all_are_registered():
-    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries()] == [f"op{i}" for i in range(1, 14)]
     assert {*queries(), "pipeline"} <= set(entry.queries()) and set(oracle_sql()) <= set(entry.oracle_sql())
 
 
