@@ -10,9 +10,11 @@ groups with few distinct values have none and stay in one piece.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CUT_RATE = 131_072  # distinct values per bucket, on average
@@ -150,8 +152,7 @@ def quantile_values(
     df: DataFrame, column: str, qs: Mapping[str, float], method: str = "linear"
 ) -> dict[str, float | None]:
     """Quantiles of one column as driver values, for use as literals in long expression chains."""
-    row = column_quantiles(df, [column], qs, method).first()
-    return {name: row[name] if row else None for name in qs}
+    return exact_quantiles(df, [column], qs, method)[column]
 
 
 def scalar_struct(df: DataFrame, **aggregates: Column) -> Column:
@@ -173,3 +174,105 @@ def dense_ranks(df: DataFrame, column: str) -> DataFrame:
     return running_counts(distinct, ["column"]).select(
         "value", (F.col("below") + 1).alias("dense_rank"), F.col("total").alias("n_distinct")
     )
+
+
+#: Size of the sketches that bracket exact quantiles; up to so many values, a sketch is the values themselves.
+SKETCH = 4096
+
+
+def sketch_error(k: int) -> float:
+    """Normalised rank error of a sketch of size ``k``, held with 99% confidence for each quantile."""
+    return 2.296 / k**0.9723
+
+
+def exact_quantiles(
+    df: DataFrame, columns: Sequence[str], qs: Mapping[str, float], method: str = "linear"
+) -> dict[str, dict[str, float | None]]:
+    """Exact quantiles of numeric columns as driver values; no row is shuffled.
+
+    A pass counts what lies below a bracket around each wanted position and on its ends, and sketches what lies strictly inside; the sketch gives the next bracket, a hundred times narrower.  Once a bracket holds no more values than a
+    sketch keeps, the sketch has the value itself.  A bracket that turns out not to hold its position is opened again, so the
+    result never depends on the sketch.
+    """
+    numbers = df.select(*[F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")).alias(f"c{i}") for i, c in enumerate(columns)])
+    counts = [F.count(f"c{i}").alias(f"n{i}") for i in range(len(columns))]
+    sketches = [F.kll_sketch_agg_double(f"c{i}", F.lit(SKETCH)).alias(f"s{i}") for i in range(len(columns))]
+    first = numbers.agg(*counts, *sketches).first()
+    places = {}  # (column, quantile): the two positions between which the quantile lies
+    for i in range(len(columns)):
+        for name, q in qs.items():
+            at = float(q) * (first[f"n{i}"] - 1)
+            if first[f"n{i}"]:
+                places[i, name] = (math.floor(at + 0.5),) * 2 if method == "nearest" else (math.floor(at), math.ceil(at))
+    wanted = {(i, p): (bytes(first[f"s{i}"]), first[f"n{i}"], p) for (i, _), ps in places.items() for p in ps}
+    value: dict[tuple[int, int], float] = {}  # (column, position)
+    brackets = _settled(df.sparkSession, wanted, value)
+    while brackets:
+        brackets = _narrowed(numbers, brackets, value)
+    out: dict[str, dict[str, float | None]] = {c: dict.fromkeys(qs) for c in columns}
+    for (i, name), (low, high) in places.items():
+        a, b = value[i, low], value[i, high]
+        at = float(qs[name]) * (first[f"n{i}"] - 1)
+        out[columns[i]][name] = a if a == b or method == "nearest" else a + (b - a) * (at - math.floor(at))
+    return out
+
+
+def _settled(
+    spark: SparkSession, wanted: dict[tuple[int, int], tuple[bytes, int, int]], value: dict[tuple[int, int], float]
+) -> dict[tuple[int, int], tuple[float, float]]:
+    """Read positions off their sketches (sketch, number of values, position): whole sketches give the value, others a
+    bracket some rank errors wide."""
+    if not wanted:
+        return {}
+    found = []
+    for sketch, n, position in wanted.values():
+        slack = 0.0 if n <= SKETCH else 3 * sketch_error(SKETCH)
+        at = [min(max((position + 0.5) / n + x, 0.0), 1.0) for x in (-slack, slack)]
+        found.append(F.kll_sketch_get_quantile_double(F.lit(sketch), F.array(*map(F.lit, at))))
+    row = spark.range(1).select(*[f.alias(f"q{k}") for k, f in enumerate(found)]).first()
+    left = {}
+    for (slot, (_, n, _)), (low, high) in zip(wanted.items(), row, strict=True):
+        if n <= SKETCH:
+            value[slot] = low
+        else:
+            left[slot] = (low, high)
+    return left
+
+
+def _narrowed(
+    numbers: DataFrame, brackets: dict[tuple[int, int], tuple[float, float]], value: dict[tuple[int, int], float]
+) -> dict[tuple[int, int], tuple[float, float]]:
+    """One pass: positions whose value is certain now go to ``value``, the others get a new bracket."""
+    groups = {g: s for s, g in enumerate(dict.fromkeys((i, *ends) for (i, _), ends in brackets.items()))}
+    within, aggregates = {}, []
+    for (i, lo, hi), s in groups.items():
+        x = F.col(f"c{i}")
+        within[s] = (x > F.lit(lo)) & (x < F.lit(hi))
+        aggregates += [
+            F.count_if(x < F.lit(lo)).alias(f"below{s}"),
+            F.count_if(x == F.lit(lo)).alias(f"low{s}"),
+            F.count_if(within[s]).alias(f"n{s}"),
+            F.count_if((x == F.lit(hi)) & (x > F.lit(lo))).alias(f"high{s}"),
+        ]
+    row = numbers.agg(*aggregates).first()
+    left, inside = {}, {}
+    for (i, p), (lo, hi) in brackets.items():
+        s = groups[i, lo, hi]
+        below, low, n, high = (row[f"{name}{s}"] for name in ("below", "low", "n", "high"))
+        if p < below:
+            left[i, p] = (-math.inf, lo)
+        elif p < below + low:
+            value[i, p] = lo
+        elif p < below + low + n:
+            inside[i, p] = (s, n, p - below - low)
+        elif p < below + low + n + high:
+            value[i, p] = hi
+        else:
+            left[i, p] = (hi, math.inf)
+    if inside:
+        # Few rows lie inside; they are picked out before anything is sketched.
+        open_groups = {s: f"c{i}" for (i, _), (s, _, _) in inside.items()}
+        some = functools.reduce(lambda a, b: a | b, [within[s] for s in open_groups])
+        sketches = [F.kll_sketch_agg_double(F.when(within[s], F.col(c)), F.lit(SKETCH)).alias(f"s{s}") for s, c in open_groups.items()]
+        row = numbers.filter(some).agg(*sketches).first()
+    return left | _settled(numbers.sparkSession, {slot: (bytes(row[f"s{s}"]), n, at) for slot, (s, n, at) in inside.items()}, value)

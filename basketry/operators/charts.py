@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from basketry.functions import ranks
+from basketry.session import materialised
 from basketry.sources.tables import columns_like, numeric_columns
 
 KENDALL_BUCKET = 100_000  # rows per value bucket of the rank correlation
@@ -277,8 +278,23 @@ def rolling_band(series: DataFrame, value: str) -> DataFrame:
     return series.withColumns({n: F.when(full, v) for n, v in zip(names, values)})
 
 
+def segmentation(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
+    """K9: rows clustered on standardised columns (nulls as 0): size, share, mean and median per cluster and column."""
+    from basketry.operators.cluster import segment_on
+
+    rows = materialised(df.select(F.monotonically_increasing_id().alias("row"), *columns))
+    _, summary = segment_on(rows, "row", columns, k)
+    total = F.sum("size").over(Window.partitionBy("column"))
+    return summary.withColumn("share_pct", 100.0 * F.col("size") / total)
+
+
+#: Columns and clusters of the bundle's segmentation.
+SEGMENT_COLUMNS, SEGMENTS = 6, 5
+
+
 def eda_bundle(df: DataFrame, date: str | None = None, value: str | None = None, bins: int = 50) -> dict[str, DataFrame]:
-    """K9: every report for one table, with the columns chosen by type."""
+    """K9: every report for one table, with the columns chosen by type: profile, outliers, a histogram per numeric column,
+    frequent values, correlation, segmentation on the first numeric columns (three at least), and the series of ``value``."""
     from basketry.operators.outliers import outlier_summary
     from basketry.operators.profiling import data_profile, top_values
 
@@ -293,6 +309,8 @@ def eda_bundle(df: DataFrame, date: str | None = None, value: str | None = None,
         out["top_values"] = top_values(df, text)
     if len(numeric) > 1:
         out["correlation"] = correlation(df, numeric)
+    if len(numeric) > 2:
+        out["segmentation"] = segmentation(df, numeric[:SEGMENT_COLUMNS], SEGMENTS)
     if date and value:
         out["time_series"] = time_series(df, date, value)
     return out

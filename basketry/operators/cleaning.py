@@ -8,6 +8,7 @@ chain of repairs a single narrow pass.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +17,7 @@ from pyspark.sql import types as T
 
 from basketry.functions import ranks
 from basketry.session import materialised
-from basketry.sources.tables import columns_like
+from basketry.sources.tables import columns_like, write_cleaned, write_json
 
 # The retailer's cleaning rules.
 CRITICAL = ("t_dat", "customer_id", "article_id")
@@ -404,6 +405,22 @@ def cleaning_report(dataset: str, raw: DataFrame, cleaned: DataFrame) -> DataFra
     )
 
 
+def clean_all(
+    transactions: DataFrame, customers: DataFrame, articles: DataFrame, output_dir: str, report: bool = True, write_csv_too: bool = False
+) -> dict[str, str]:
+    """Clean and write all three tables; returns the path of each as ``<table>_parquet`` (and ``<table>_csv``), and of
+    the report of all three as ``cleaning_report``."""
+    raw = {"transactions": transactions, "customers": customers, "articles": articles}
+    cleaned = {"transactions": clean_transactions(transactions), "customers": clean_customers(customers), "articles": clean_articles(articles)}
+    paths = write_cleaned(cleaned, output_dir, write_csv_too)
+    paths = {name if name.endswith("_csv") else f"{name}_parquet": path for name, path in paths.items()}
+    if report:
+        # The report reads the written tables, so nothing is cleaned twice.
+        parts = [cleaning_report(n, raw[n], df.sparkSession.read.parquet(paths[f"{n}_parquet"])) for n, df in cleaned.items()]
+        paths["cleaning_report"] = write_json(functools.reduce(DataFrame.unionByName, parts), f"{output_dir}/cleaning_report.json")
+    return paths
+
+
 def compare_statistics(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Numeric statistics before and after, side by side per (column, metric)."""
     from basketry.operators.profiling import numeric_statistics, to_metrics

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.clustering import BisectingKMeans, KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.operators import cluster_metrics as metrics
-from basketry.operators import segments, vectors
+from basketry.operators import mixture, segments, vectors
 from basketry.operators.encode import label_encode, standardise
+from basketry.session import materialised
 from basketry.sources.tables import write_parquet
 
 # Feature sets of the approaches.
@@ -69,8 +71,9 @@ def kmeans(
     rows = _ml_rows(df, key, vector).persist(StorageLevel.MEMORY_AND_DISK)
     fits = [KMeans(k=k, seed=seed + i, featuresCol="features").fit(rows) for i in range(n_init)]
     best = min(fits, key=lambda m: m.summary.trainingCost)
-    out = _renumber(best.transform(rows), key)
     inertia = float(best.summary.trainingCost)
+    # Written before the input is released: the labels are few bytes a row.
+    out = materialised(_renumber(best.transform(rows), key))
     rows.unpersist()
     return out, inertia
 
@@ -79,50 +82,53 @@ def bisecting(df: DataFrame, key: str, k: int, seed: int = 42, vector: str = "ve
     """Divisive hierarchical clustering; takes the place of an agglomerative one, which needs all
     pairwise distances in one place."""
     rows = _ml_rows(df, key, vector).persist(StorageLevel.MEMORY_AND_DISK)
-    out = _renumber(BisectingKMeans(k=k, seed=seed, featuresCol="features").fit(rows).transform(rows), key)
+    out = materialised(_renumber(BisectingKMeans(k=k, seed=seed, featuresCol="features").fit(rows).transform(rows), key))
     rows.unpersist()
     return out
 
 
+def gaussian_mixtures(
+    df: DataFrame, key: str, ks: Sequence[int], seed: int = 42, vector: str = "vector"
+) -> dict[int, tuple[mixture.Mixture, list[float]]]:
+    """I14 for several sizes at once, each started from k-means: mixture and log-likelihood of every round."""
+    rows = materialised(df.select(key, vector))
+    starts = {k: kmeans(rows, key, k, seed, vector=vector)[0] for k in ks}
+    return mixture.fit_mixtures(rows, key, starts, vector)
+
+
 def gaussian_mixture(
     df: DataFrame, key: str, k: int, seed: int = 42, vector: str = "vector"
 ) -> tuple[DataFrame, float, int]:
     """``(key, cluster, probability)``, log-likelihood and number of parameters (full covariance)."""
-    rows = _ml_rows(df, key, vector).persist(StorageLevel.MEMORY_AND_DISK)
-    model = GaussianMixture(k=k, seed=seed, featuresCol="features").fit(rows)
-    out = model.transform(rows).select(
-        key, F.col("prediction").alias("cluster"), vector_to_array("probability").alias("probability")
-    )
-    d = model.numFeatures
-    params = (k - 1) + k * d + k * d * (d + 1) // 2
-    loglik = float(model.summary.logLikelihood)
-    rows.unpersist()
-    return out, loglik, params
+    fit, history = gaussian_mixtures(df, key, [k], seed, vector)[k]
+    return mixture.memberships(df, key, fit, vector), history[-1], fit.parameters
 
 
 def aic_curve(df: DataFrame, key: str, ks: Sequence[int], seed: int = 42, vector: str = "vector") -> DataFrame:
-    """2 p - 2 log L per k."""
+    """2 p - 2 log L per k, and the log-likelihood of the first round."""
     rows = []
-    for k in ks:
-        _, loglik, params = gaussian_mixture(df, key, k, seed, vector)
-        rows.append((k, loglik, params, 2.0 * params - 2.0 * loglik))
-    return df.sparkSession.createDataFrame(rows, "k int, log_likelihood double, parameters int, aic double")
+    for k, (fit, history) in gaussian_mixtures(df, key, ks, seed, vector).items():
+        rows.append((k, history[0], history[-1], fit.parameters, 2.0 * fit.parameters - 2.0 * history[-1]))
+    return df.sparkSession.createDataFrame(
+        rows, "k int, first_log_likelihood double, log_likelihood double, parameters int, aic double"
+    )
 
 
 def k_curve(
     df: DataFrame, key: str, ks: Sequence[int], seed: int = 42, n_init: int = 1, vector: str = "vector"
 ) -> DataFrame:
-    """Inertia, silhouette, Calinski-Harabasz and Davies-Bouldin per k; the input is kept between fits."""
-    data = df.select(key, vector).persist(StorageLevel.MEMORY_AND_DISK)
+    """Inertia, silhouette, Calinski-Harabasz and Davies-Bouldin per k; one pass over the block
+    pairs scores the labellings of all k.  The inertia is that of the labels, around the means of their clusters."""
+    data = materialised(df.select(key, vector))
+    fits = {k: kmeans(data, key, k, seed, n_init, vector) for k in ks}
+    labels = [labels.select(F.lit(k).alias("k"), key, "cluster") for k, (labels, _) in fits.items()]
+    labels = materialised(functools.reduce(DataFrame.unionByName, labels))
+    mean = {r["k"]: r["silhouette"] for r in metrics.silhouettes(data, labels, key, "cluster", "k", vector).collect()}
     rows = []
-    for k in ks:
-        labels, inertia = kmeans(data, key, k, seed, n_init, vector)
-        fitted = data.join(labels, key).persist(StorageLevel.MEMORY_AND_DISK)
-        ch = metrics.calinski_harabasz(fitted, "cluster", vector).first()["calinski_harabasz"]
-        sil = metrics.silhouette(fitted, key, "cluster", vector)
-        rows.append((k, inertia, sil, ch, metrics.davies_bouldin(fitted, "cluster", vector)))
-        fitted.unpersist()
-    data.unpersist()
+    for k in fits:
+        fitted = data.join(labels.filter(F.col("k") == k), key)
+        ch = metrics.calinski_harabasz(fitted, "cluster", vector).first()
+        rows.append((k, ch["within"], mean[k], ch["calinski_harabasz"], metrics.davies_bouldin(fitted, "cluster", vector)))
     return df.sparkSession.createDataFrame(
         rows, "k int, inertia double, silhouette double, calinski_harabasz double, davies_bouldin double"
     )

@@ -6,17 +6,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
 from basketry.operators.vectors import cells
 from basketry.session import materialised
 from basketry.sources.tables import random_sample
 
-#: Points in a block; every block meets every other, so each vector travels once per BLOCK points.
-BLOCK = 2048
+#: Points in a block; every block meets every other, so each vector travels once per BLOCK points. With many clusters
+#: a block has fewer points, so that its table of points by clusters has BLOCK_FIELDS fields at most.
+BLOCK, BLOCK_FIELDS = 8192, 1 << 22
 
 
 def pairwise(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", p: float = 2.0) -> np.ndarray:
@@ -52,12 +55,11 @@ def silhouette_values(
 ) -> DataFrame:
     """Euclidean silhouette ``(key, cluster, silhouette)`` of every point.
 
-    Without ``sample_size`` all points are scored against all: blocks of points meet in pairs, and a pair
-    gives one sum per point and cluster.  With it a seeded sample is both scored and the reference set.
+    Without ``sample_size`` all points are scored against all, as in ``silhouette_points``.  With it a seeded sample is both scored and the reference set.
     Points alone in their cluster score 0; with fewer than two clusters there is no score.
     """
     if sample_size is None:
-        return _silhouette_of_all(df.select(key, cluster, vector).filter(F.col(cluster).isNotNull()), key, cluster, vector)
+        return silhouette_points(df, df.select(key, cluster), key, cluster, "labelling", vector).drop("labelling")
     sample = random_sample(df.select(key, cluster, vector).filter(F.col(cluster).isNotNull()), sample_size, key, seed)
     rows = sample.collect()
     labels, code = np.unique(np.array([r[cluster] for r in rows]), return_inverse=True) if rows else (np.array([]), np.array([], int))
@@ -89,48 +91,127 @@ def silhouette_values(
     return sample.repartition(key).mapInPandas(run, schema)
 
 
-def _silhouette_of_all(points: DataFrame, key: str, cluster: str, vector: str) -> DataFrame:
-    n_blocks = max(1, -(-points.count() // BLOCK))
-    blocks = materialised(
-        points.groupBy(F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("part")).agg(
-            F.collect_list(F.struct(key, cluster, vector)).alias("block")
-        )
-    )
-    partner = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
-    pairs = blocks.select(F.col("block").alias("left"), partner.alias("part")).join(
-        blocks.select("part", F.col("block").alias("right")), "part"
+def silhouettes(
+    points: DataFrame, labels: DataFrame, key: str, cluster: str, by: str | None = None, vector: str = "vector"
+) -> DataFrame:
+    """Mean Euclidean silhouette per labelling, ``(by, silhouette)``; null with fewer than two clusters."""
+    by = by or "labelling"
+    values = silhouette_points(points, labels, key, cluster, by, vector)
+    return values.groupBy(by).agg(F.avg("silhouette").alias("silhouette"))
+
+
+def silhouette_points(points: DataFrame, labels: DataFrame, key: str, cluster: str, by: str, vector: str = "vector") -> DataFrame:
+    """``(by, key, cluster, silhouette)`` of every point under several labellings ``(by, key, cluster)`` at once.
+
+    Blocks of packed vectors meet once per pair, whatever the number of labellings, and give each block one table of
+    distance sums (points by clusters); the tables of a block are added up as they stream by.  A vector travels
+    once per BLOCK points.  The clusters of all labellings, with their sizes, are known to every task.
+    """
+    spark = points.sparkSession
+    labels = labels.filter(F.col(cluster).isNotNull())
+    if by not in labels.columns:
+        labels = labels.withColumn(by, F.lit(0))
+    kinds = {name: labels.schema[name].dataType.simpleString() for name in (by, key, cluster)}
+    schema = f"{by} {kinds[by]}, {key} {kinds[key]}, {cluster} {kinds[cluster]}, silhouette double"
+    clusters = labels.groupBy(by, cluster).agg(F.count(F.lit(1)).alias("n")).orderBy(by, cluster).collect()
+    if not clusters:
+        return spark.createDataFrame([], schema)
+    runs = sorted({r[by] for r in clusters})
+    sizes, names = np.array([r["n"] for r in clusters], float), [r[cluster] for r in clusters]
+    run_of = np.array([runs.index(r[by]) for r in clusters])
+    coded = spark.createDataFrame(
+        [(r[by], r[cluster], i, int(run_of[i])) for i, r in enumerate(clusters)], f"{by} {kinds[by]}, {cluster} {kinds[cluster]}, code int, run int"
     )
+    of_run = F.map_from_entries(F.collect_list(F.struct("run", "code")))
+    codes = labels.join(coded, [by, cluster]).groupBy(key).agg(of_run.alias("of_run"))
+    in_order = F.transform(F.sequence(F.lit(0), F.lit(len(runs) - 1)), lambda i: F.coalesce(F.col("of_run")[i], F.lit(-1)))
+    labelled = materialised(points.select(key, vector).join(codes.select(key, in_order.alias("codes")), key))
+    width, n_points = len(clusters), labelled.count()
+    n_blocks = max(1, -(-n_points // min(BLOCK, max(256, BLOCK_FIELDS // width))))
+
+    def pack(rows):
+        x = np.array(rows.column(vector).to_pylist(), dtype=np.float64)
+        code = np.array(rows.column("codes").to_pylist(), dtype=np.int32)
+        return pa.table(
+            {
+                "part": pa.array([rows.column("part")[0].as_py()], pa.int64()),
+                "keys": pa.array([rows.column(key).to_pylist()], pa.list_(rows.schema.field(key).type)),
+                "x": pa.array([x.tobytes()], pa.binary()),
+                "codes": pa.array([code.tobytes()], pa.binary()),
+            }
+        )
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for left, right in zip(b["left"], b["right"], strict=True):
-                names, code = np.unique(np.array([r[cluster] for r in right]), return_inverse=True)
-                near = pairwise(
-                    np.array([r[vector] for r in left], dtype=float), np.array([r[vector] for r in right], dtype=float)
-                )
-                total = near @ np.eye(len(names))[code]
-                yield pd.DataFrame(
-                    {
-                        "pid": np.repeat([r[key] for r in left], len(names)),
-                        "own": np.repeat([r[cluster] for r in left], len(names)),
-                        "met": np.tile(names, len(left)),
-                        "total": total.ravel(),
-                    }
+    part = F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("part")
+    blocks = labelled.select(key, vector, "codes", part).groupBy("part")
+    blocks = materialised(blocks.applyInArrow(pack, f"part bigint, keys array<{kinds[key]}>, x binary, codes binary"))
+    partner = F.explode(F.sequence(F.col("part"), F.lit(n_blocks - 1).cast("long")))
+    left = blocks.select(F.col("part").alias("own"), F.col("x").alias("lx"), F.col("codes").alias("lcodes"), partner.alias("part"))
+    pairs = left.join(blocks.select("part", F.col("x").alias("rx"), F.col("codes").alias("rcodes")), "part")
+
+    def table(codes: bytes) -> np.ndarray:
+        return np.frombuffer(codes, np.int32).reshape(-1, len(runs))
+
+    def member(codes: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(codes), width))
+        i, t = np.nonzero(codes >= 0)
+        out[i, codes[i, t]] = 1
+        return out
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                sides = [table(row["lcodes"]), table(row["rcodes"])]
+                x, y = (np.frombuffer(row[c], np.float64).reshape(len(s), -1) for c, s in zip(("lx", "rx"), sides, strict=True))
+                ones, same = [member(s) for s in sides], row["own"] == row["part"]
+                total = [np.zeros_like(o) for o in ones]
+                for at in range(0, len(x), 512):
+                    near = pairwise(x[at : at + 512], y)
+                    total[0][at : at + 512] = near @ ones[1]
+                    if not same:
+                        total[1] += near.T @ ones[0][at : at + 512]
+                done = [(row["own"], total[0])] + ([] if same else [(row["part"], total[1])])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([p for p, _ in done], pa.int64()), pa.array([t.tobytes() for _, t in done], pa.binary())], ["part", "total"]
                 )
 
-    kinds = {name: points.schema[name].dataType.simpleString() for name in (key, cluster)}
-    met = pairs.select("left", "right").mapInPandas(sums, f"pid {kinds[key]}, own {kinds[cluster]}, met {kinds[cluster]}, total double")
-    met = met.groupBy("pid", "own", "met").agg(F.sum("total").alias("total"))
-    sizes = points.groupBy(F.col(cluster).alias("met")).agg(F.count(F.lit(1)).alias("n"))
-    same = F.col("own") == F.col("met")
-    scored = met.join(sizes, "met").groupBy("pid", "own").agg(
-        F.max(F.when(same, F.col("n"))).alias("n"),
-        F.max(F.when(same, F.col("total") / F.greatest(F.col("n") - 1, F.lit(1)))).alias("inner"),
-        F.min(F.when(~same, F.col("total") / F.col("n"))).alias("outer"),
-    )
-    score = (F.col("outer") - F.col("inner")) / F.greatest("inner", "outer", F.lit(1e-300))
-    value = F.when(F.col("outer").isNull(), F.lit(None)).when(F.col("n") > 1, score).otherwise(0.0)
-    return scored.select(F.col("pid").alias(key), F.col("own").alias(cluster), value.alias("silhouette"))
+    met = pairs.mapInArrow(sums, "part bigint, total binary")
+    stream = blocks.select("part", "keys", "codes").unionByName(met, allowMissingColumns=True).repartition("part")
+    arrow = {name: pa_type(labels.schema[name].dataType) for name in (by, key, cluster)}
+
+    def scores(keys, codes: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for t, run in enumerate(runs):
+            own = codes[:, t]
+            rows, mine = np.flatnonzero(own >= 0), np.flatnonzero(run_of == t)
+            at, place = np.arange(len(rows)), own[rows] - mine[0]
+            value = [None] * len(rows)
+            if len(mine) > 1 and len(rows):
+                mean = total[np.ix_(rows, mine)]
+                n = sizes[own[rows]]
+                inner = mean[at, place] / np.maximum(n - 1, 1)
+                mean = mean / sizes[mine]
+                mean[at, place] = np.inf
+                outer = mean.min(1)
+                value = np.where(n > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
+            columns = ([run] * len(rows), [keys[i] for i in rows], [names[c] for c in own[rows]])
+            columns = [pa.array(c, arrow[name]) for name, c in zip((by, key, cluster), columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(value, pa.float64())], [by, key, cluster, "silhouette"])
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["keys"] is not None:
+                    if held:
+                        yield from scores(*held)
+                    codes = table(row["codes"])
+                    held = (row["keys"], codes, np.zeros((len(codes), width)))
+                else:
+                    held[2][...] += np.frombuffer(row["total"], np.float64).reshape(-1, width)
+        if held:
+            yield from scores(*held)
+
+    ordered = stream.sortWithinPartitions("part", F.col("keys").isNull())
+    return ordered.select("keys", "codes", "total").mapInArrow(finish, schema)
 
 
 def silhouette(df: DataFrame, key: str, cluster: str, vector: str = "vector", sample_size: int | None = None) -> float | None:
@@ -151,7 +232,8 @@ def _moments(df: DataFrame, cluster: str, vector: str) -> DataFrame:
 
 
 def calinski_harabasz(df: DataFrame, cluster: str, vector: str = "vector") -> DataFrame:
-    """I8: one row with clusters, points and score, from counts and sums per (cluster, dimension)."""
+    """I8: one row with clusters, points, score, and the sums of squares within the clusters and in all, from counts and
+    sums per (cluster, dimension)."""
     per_dim = _moments(df, cluster, vector)
     dims = per_dim.groupBy("dim").agg(
         F.count(F.lit(1)).alias("k"),
@@ -168,6 +250,8 @@ def calinski_harabasz(df: DataFrame, cluster: str, vector: str = "vector") -> Da
             (F.col("t") - F.col("w")) * (F.col("points") - F.col("clusters")),
             F.col("w") * (F.col("clusters") - 1),
         ).alias("calinski_harabasz"),
+        F.col("w").alias("within"),
+        F.col("t").alias("total"),
     )
 
 

@@ -2,14 +2,15 @@
 
 Points meet as blocks: at most a few hundred vectors stacked in one row.  Block pairs are the unit of
 work, so a crowded region becomes many equal tasks, and a pair of blocks returns counts or a spanning
-forest, never its point pairs.  Which blocks can hold neighbours follows from the triangle inequality:
+forest, never its point pairs; several settings are counted and linked in the same visit.  Which blocks can hold neighbours follows from the triangle inequality:
 two points within eps differ by at most eps in their distance to any fixed pivot, so they lie in the
 same or adjacent cells of the pivot grid.  Equal points are merged first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Iterator, Sequence
 from itertools import product
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions import ranks
-from basketry.operators.cluster_metrics import pairwise
+from basketry.operators.cluster_metrics import pairwise, silhouettes
 from basketry.operators.segments import label_summary
 from basketry.session import materialised
 from basketry.sources.tables import random_sample, seeded_key
@@ -88,84 +89,109 @@ def _side(block, *columns: str) -> dict[str, np.ndarray]:
     return out
 
 
-def _neighbour_weights(pairs: DataFrame, eps: float, metric: str, p: float) -> DataFrame:
-    """Weight of the points within eps of every point, itself included."""
+def _codes(*pids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Sorted distinct ids of any type that can be ordered, and the place of each given id among them."""
+    names, code = np.unique(np.concatenate(pids), return_inverse=True)
+    return names, np.split(code, np.cumsum([len(p) for p in pids])[:-1])
+
+
+def _neighbour_weights(pairs: DataFrame, eps: Sequence[float], metric: str, p: float) -> DataFrame:
+    """Weight of the points within every eps of every point, itself included: ``(pid, weight)``, an array."""
+    kind = pairs.schema["left"].dataType.elementType["pid"].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for left, right, same in zip(b["left"], b["right"], b["same"]):
+            for left, right, same in zip(b["left"], b["right"], b["same"], strict=True):
                 l, r = _side(left, "w"), _side(right, "w")
-                near = pairwise(l["vector"], r["vector"], metric, p) <= eps
-                pid, weight = l["pid"], near @ r["w"]
+                distance = pairwise(l["vector"], r["vector"], metric, p)
+                near = [distance <= e for e in eps]
+                weight, pid = np.stack([n @ r["w"] for n in near], axis=1), l["pid"]
                 if not same:
-                    pid, weight = np.concatenate([pid, r["pid"]]), np.concatenate([weight, l["w"] @ near])
-                yield pd.DataFrame({"pid": pid, "weight": weight.astype(np.int64)})
-
-    return pairs.mapInPandas(run, "pid bigint, weight bigint").groupBy("pid").agg(F.sum("weight").alias("weight"))
-
-
-def _forest_edges(pairs: DataFrame, eps: float, metric: str, p: float) -> DataFrame:
-    """A spanning forest of the core points of each block pair, as (u, v) edges with u > v."""
+                    weight = np.concatenate([weight, np.stack([l["w"] @ n for n in near], axis=1)])
+                    pid = np.concatenate([pid, r["pid"]])
+                yield pd.DataFrame({"pid": pid, "weight": list(weight.astype(np.int64))})
+
+    met = pairs.mapInPandas(run, f"pid {kind}, weight array<bigint>")
+    sums = [F.sum(F.col("weight")[i]) for i in range(len(eps))]
+    return met.groupBy("pid").agg(F.array(*sums).alias("weight"))
+
+
+def _local_links(pairs: DataFrame, eps: Sequence[float], metric: str, p: float) -> DataFrame:
+    """What each block pair tells about each trial ``t``: a spanning forest of its core points as edges u > v
+    (``core``), and for every other point the forest roots it touches."""
+    kind = pairs.schema["left"].dataType.elementType["pid"].dataType.simpleString()
+
+    def links(l, r, names, near, t, same):
+        lcore, rcore = (np.array([c[t] for c in s["core"]], dtype=bool) for s in (l, r))
+        both = near & lcore[:, None] & rcore[None, :]
+        # Labels run over the distinct ids of both blocks; smaller ones spread until nothing changes.
+        label = np.arange(len(names))
+        i, j = np.nonzero(both)
+        u, v = l["at"][i], r["at"][j]
+        while len(u):
+            low = np.minimum(label[u], label[v])
+            before = label.copy()
+            np.minimum.at(label, u, low)
+            np.minimum.at(label, v, low)
+            label = label[label]
+            if (label == before).all():
+                break
+        core = np.unique(np.concatenate([l["at"][lcore], r["at"][rcore]]))
+        child = core[label[core] < core]
+        found = [(child, label[child], np.ones(len(child), bool))]
+        sides = [(l, r, lcore, rcore, near)] if same else [(l, r, lcore, rcore, near), (r, l, rcore, lcore, near.T)]
+        for a, c, acore, ccore, n in sides:
+            i, j = np.nonzero(n & ~acore[:, None] & ccore[None, :])
+            touch = np.unique(np.stack([a["at"][i], label[c["at"][j]]]), axis=1)
+            found.append((touch[0], touch[1], np.zeros(touch.shape[1], bool)))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for left, right, same in zip(b["left"], b["right"], b["same"]):
+            for left, right, same in zip(b["left"], b["right"], b["same"], strict=True):
                 l, r = _side(left, "core"), _side(right, "core")
-                lv, lp = l["vector"][l["core"]], l["pid"][l["core"]]
-                rv, rp = r["vector"][r["core"]], r["pid"][r["core"]]
-                if not len(lp) or not len(rp):
-                    continue
-                near = pairwise(lv, rv, metric, p) <= eps
-                if same:
-                    pid, adjacent = lp, near
-                else:
-                    pid = np.concatenate([lp, rp])
-                    adjacent = np.zeros((len(pid), len(pid)), dtype=bool)
-                    adjacent[: len(lp), len(lp) :] = near
-                    adjacent[len(lp) :, : len(lp)] = near.T
-                label = pid.copy()
-                while True:
-                    lowest = np.where(adjacent, label[None, :], np.iinfo(np.int64).max).min(axis=1)
-                    lowest = np.minimum(label, lowest)
-                    if (lowest == label).all():
-                        break
-                    label = lowest
-                keep = pid > label
-                yield pd.DataFrame({"u": pid[keep], "v": label[keep]})
-
-    return pairs.mapInPandas(run, "u bigint, v bigint").distinct()
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``(pid, root)`` per vertex of ``(u, v)`` edges, root the smallest id of its component.
+                names, (l["at"], r["at"]) = _codes(l["pid"], r["pid"])
+                distance = pairwise(l["vector"], r["vector"], metric, p)
+                for t, e in enumerate(eps):
+                    u, v, core = links(l, r, names, distance <= e, t, same)
+                    if len(u):
+                        yield pd.DataFrame({"t": t, "u": names[u], "v": names[v], "core": core})
+
+    return pairs.mapInPandas(run, f"t int, u {kind}, v {kind}, core boolean").distinct()
+
+
+def connected_components(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by…, pid, root)`` per vertex of ``(by…, u, v)`` edges, root the smallest id of its component.
 
     Alternates the large-star and small-star steps until the edges stay the same; every round is
     written out, so neither the plan nor the recovery from a lost executor grows with the rounds.
     """
+    by = list(by)
 
     def star(both: DataFrame, low_only: bool) -> DataFrame:
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        joined = both.join(lowest, "u")
+        lowest = both.groupBy(*by, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        joined = both.join(lowest, [*by, "u"])
         if low_only:
-            moved = joined.select(F.col("v"), "m").unionByName(joined.select(F.col("u").alias("v"), "m"))
+            moved = joined.select(*by, F.col("v"), "m").unionByName(joined.select(*by, F.col("u").alias("v"), "m"))
         else:
-            moved = joined.filter(F.col("v") > F.col("u")).select("v", "m")
-        return moved.filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            moved = joined.filter(F.col("v") > F.col("u")).select(*by, "v", "m")
+        moved = moved.filter(F.col("v") != F.col("m"))
+        return moved.select(*by, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+    def turned(df: DataFrame) -> DataFrame:
+        return df.select(*by, F.col("v").alias("u"), F.col("u").alias("v"))
 
     def signature(df: DataFrame):
-        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+        return df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*by, "u", "v").cast("decimal(20,0)"))).first()
 
     current, before = materialised(edges), None
     while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialised(star(both, low_only=False))
-        down = large.filter(F.col("u") > F.col("v")).unionByName(
-            large.filter(F.col("u") < F.col("v")).select(F.col("v").alias("u"), F.col("u").alias("v"))
-        )
+        large = materialised(star(current.unionByName(turned(current)), low_only=False))
+        down = large.filter(F.col("u") > F.col("v")).unionByName(turned(large.filter(F.col("u") < F.col("v"))))
         current = materialised(star(down, low_only=True))
         now = signature(current)
         if now == before:
-            return current.select(F.col("u").alias("pid"), F.col("v").alias("root"))
+            return current.select(*by, F.col("u").alias("pid"), F.col("v").alias("root"))
         before = now
 
 
@@ -175,118 +201,106 @@ def dbscan(
     """``(key, label)``; noise is -1, clusters are numbered by size.
 
     A point counts itself among its neighbours.  A border point joins the core cluster with the
-    smallest root among those it touches.
+    smallest root among those it touches.  Keys may be of any type that can be ordered.
     """
-    data = df.select(key, F.col(vector).alias("vector"))
-    merged = data.groupBy("vector").agg(F.min(F.col(key).cast("long")).alias("pid"), F.count(F.lit(1)).alias("w"))
-    points = materialised(_with_cells(materialised(merged), eps, metric, p))
-    weights = _neighbour_weights(_block_pairs(_blocks(points, "w")), eps, metric, p)
-    marked = materialised(
-        points.join(weights, "pid", "left").withColumn("core", F.coalesce(F.col("weight") >= min_samples, F.lit(False)))
-    )
-    pairs = _block_pairs(_blocks(marked, "core"))
-    linked = connected_components(_forest_edges(pairs, eps, metric, p))
-    rooted = materialised(
-        marked.join(linked, "pid", "left").withColumn(
-            "root", F.when(F.col("core"), F.coalesce("root", "pid")).otherwise(F.lit(-1).cast("long"))
-        )
-    )
-
-    def border(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        far = np.iinfo(np.int64).max
-        for b in batches:
-            for left, right, same in zip(b["left"], b["right"], b["same"]):
-                l, r = _side(left, "core", "root"), _side(right, "core", "root")
-                near = pairwise(l["vector"], r["vector"], metric, p) <= eps
-                sides = [(l, r, near)] if same else [(l, r, near), (r, l, near.T)]
-                for a, c, n in sides:
-                    touch = n & c["core"][None, :] & ~a["core"][:, None]
-                    root = np.where(touch, c["root"][None, :], far).min(axis=1)
-                    hit = root < far
-                    yield pd.DataFrame({"pid": a["pid"][hit], "touched": root[hit]})
-
-    touched = (
-        _block_pairs(_blocks(rooted, "core", "root"))
-        .mapInPandas(border, "pid bigint, touched bigint")
-        .groupBy("pid")
-        .agg(F.min("touched").alias("touched"))
-    )
-    placed = rooted.join(touched, "pid", "left").select(
-        "vector", "w", F.when(F.col("core"), F.col("root")).otherwise(F.coalesce("touched", F.lit(-1))).alias("root")
-    )
-    placed = materialised(placed)
-    sizes = placed.filter(F.col("root") >= 0).groupBy("root").agg(F.sum("w").alias("size"))
-    # Position by (size, root): a count of larger clusters, found without sorting them in one task.
-    order = F.struct((-F.col("size")).alias("s"), "root")
-    numbered = ranks.running_counts(
-        sizes.select(F.lit(0).alias("g"), order.alias("value"), "root", F.lit(1).cast("long").alias("n")), ["g"]
-    ).select("root", F.col("below").alias("label"))
-    labelled = placed.join(numbered, "root", "left").select(
-        "vector", F.coalesce("label", F.lit(-1)).cast("int").alias("label")
-    )
-    return data.join(labelled, "vector").select(key, "label")
+    return dbscan_trials(df, key, [(eps, min_samples)], metric, p, vector).select(key, "label")
 
 
-def k_distances(
+def dbscan_trials(
     df: DataFrame,
     key: str,
-    k: int,
+    settings: Sequence[tuple[float, int]],
     metric: str = "euclidean",
     p: float = 2.0,
-    sample_size: int | None = None,
-    seed: int = 42,
     vector: str = "vector",
 ) -> DataFrame:
-    """Distance of every point to its k-th nearest, itself counted first, smallest first.
+    """I11 for several (eps, min_samples) at once: ``(t, key, label)``, ``t`` the place of the setting.
 
-    With a sample the points and their neighbours both come from it, and it travels to every task.
-    Without one all pairs of blocks are visited, each giving at most ``k`` candidates per point.
+    Blocks meet twice, whatever the number of settings: once to count neighbours, once to link core points.
     """
-    points = df.select(F.col(key).alias("pid"), F.col(vector).alias("vector"))
-    if sample_size is not None:
-        points = random_sample(points, sample_size, "pid", seed)
-        others = points.sparkSession.sparkContext.broadcast(
-            np.array([r["vector"] for r in points.select("vector").collect()], dtype=float)
-        )
+    radii = sorted({e for e, _ in settings})
+    data = df.select(key, F.col(vector).alias("vector"))
+    merged = materialised(data.groupBy("vector").agg(F.min(key).alias("pid"), F.count(F.lit(1)).alias("w")))
+    points = materialised(_with_cells(merged, radii[-1], metric, p))
+    weights = _neighbour_weights(_block_pairs(_blocks(points, "w")), radii, metric, p)
+    enough = F.array(*[F.coalesce(F.col("weight")[radii.index(e)] >= m, F.lit(False)) for e, m in settings])
+    marked = materialised(points.join(weights, "pid", "left").select("pid", "vector", "cell", "w", enough.alias("core")))
+    links = materialised(_local_links(_block_pairs(_blocks(marked, "core")), [e for e, _ in settings], metric, p))
+    linked = connected_components(links.filter("core").select("t", "u", "v"), ["t"])
+    per_trial = marked.select("pid", "w", F.posexplode("core").alias("t", "core"))
+    core = materialised(
+        per_trial.filter("core").join(linked, ["t", "pid"], "left").select("t", "pid", "w", F.coalesce("root", "pid").alias("root"))
+    )
+    touched = links.filter("not core").select("t", F.col("u").alias("of"), F.col("v").alias("pid"))
+    touched = touched.join(core.select("t", "pid", "root"), ["t", "pid"]).groupBy("t", F.col("of").alias("pid")).agg(F.min("root").alias("root"))
+    border = per_trial.filter("not core").join(touched, ["t", "pid"], "left").select("t", "pid", "w", "root")
+    placed = materialised(core.unionByName(border))
+    sizes = placed.filter(F.col("root").isNotNull()).groupBy("t", "root").agg(F.sum("w").alias("size"))
+    # Position by (size, root): a count of larger clusters, found without sorting them in one task.
+    order = F.struct((-F.col("size")).alias("s"), "root")
+    numbered = ranks.running_counts(
+        sizes.select("t", order.alias("value"), "root", F.lit(1).cast("long").alias("n")), ["t"]
+    ).select("t", "root", F.col("below").alias("label"))
+    labelled = placed.join(numbered, ["t", "root"], "left").select("t", "pid", F.coalesce("label", F.lit(-1)).cast("int").alias("label"))
+    return data.join(merged.select("vector", "pid"), "vector").join(labelled, "pid").select("t", key, "label")
 
-        @F.pandas_udf("double")
-        def kth(vectors: pd.Series) -> pd.Series:
-            x, all_points = np.array(vectors.tolist(), dtype=float), others.value
-            if len(all_points) < k:
-                return pd.Series([np.nan] * len(x), index=vectors.index)
-            d = pairwise(x, all_points, metric, p)
-            return pd.Series(np.partition(d, k - 1, axis=1)[:, k - 1], index=vectors.index)
 
-        return points.repartition("pid").select(F.col("pid").alias(key), kth("vector").alias("distance")).orderBy("distance", key)
+def nearest_distances(
+    df: DataFrame, key: str, ks: Sequence[int], metric: str = "euclidean", p: float = 2.0, vector: str = "vector"
+) -> DataFrame:
+    """I12 for several k at once: ``(key, distances)``, the k-th nearest distance per entry of ``ks``, itself counted.
 
-    n_blocks = max(1, -(-points.count() // BLOCK))
+    All pairs of blocks are visited once, each giving at most the largest k candidates per point.
+    """
+    points = df.select(F.col(key).alias("pid"), F.col(vector).alias("vector"))
+    most, n_blocks = max(ks), max(1, -(-points.count() // BLOCK))
     blocks = materialised(
         points.groupBy(F.pmod(F.xxhash64("pid"), F.lit(n_blocks)).alias("part")).agg(
             F.collect_list(F.struct("pid", "vector")).alias("block")
         )
     )
-    partner = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
-    pairs = blocks.select(F.col("block").alias("left"), partner.alias("part")).join(
+    # Every two blocks meet once and serve both ways.
+    partner = F.explode(F.sequence(F.col("part"), F.lit(n_blocks - 1).cast("long")))
+    pairs = blocks.select(F.col("part").alias("own"), F.col("block").alias("left"), partner.alias("part")).join(
         blocks.select("part", F.col("block").alias("right")), "part"
     )
+    kind = points.schema["pid"].dataType.simpleString()
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for left, right in zip(b["left"], b["right"]):
+            for left, right, same in zip(b["left"], b["right"], b["own"] == b["part"], strict=True):
                 l, r = _side(left), _side(right)
-                d = np.sort(pairwise(l["vector"], r["vector"], metric, p), axis=1)[:, :k]
-                yield pd.DataFrame({"pid": np.repeat(l["pid"], d.shape[1]), "distance": d.ravel()})
+                d = pairwise(l["vector"], r["vector"], metric, p)
+                for pid, rows in [(l["pid"], d)] if same else [(l["pid"], d), (r["pid"], d.T)]:
+                    yield pd.DataFrame({"pid": pid, "near": list(np.sort(rows, axis=1)[:, :most])})
 
-    w = Window.partitionBy("pid").orderBy("distance")
-    near = pairs.select("left", "right").mapInPandas(nearest, "pid bigint, distance double")
-    return (
-        near.withColumn("i", F.row_number().over(w))
-        .filter(F.col("i") <= k)
-        .groupBy("pid")
-        .agg(F.max(F.when(F.col("i") == k, F.col("distance"))).alias("distance"))
-        .select(F.col("pid").alias(key), "distance")
-        .orderBy("distance", key)
-    )
+    met = pairs.select("left", "right", "own", "part").mapInPandas(nearest, f"pid {kind}, near array<double>")
+    flat = met.select("pid", F.explode("near").alias("d"))
+    place = F.row_number().over(Window.partitionBy("pid").orderBy("d"))
+    kept = flat.withColumn("i", place).filter(F.col("i") <= most)
+    at = [F.max(F.when(F.col("i") == k, F.col("d"))) for k in ks]
+    return kept.groupBy("pid").agg(F.array(*at).alias("distances")).select(F.col("pid").alias(key), "distances")
+
+
+def k_distances(
+    df: DataFrame,
+    key: str,
+    k: int,
+    metric: str = "euclidean",
+    p: float = 2.0,
+    sample_size: int | None = None,
+    seed: int = 42,
+    vector: str = "vector",
+) -> DataFrame:
+    """Distance of every point to its k-th nearest, itself counted first, smallest first.
+
+    With a sample the points and their neighbours both come from it.
+    """
+    points = df.select(key, vector)
+    if sample_size is not None:
+        points = random_sample(points, sample_size, key, seed)
+    found = nearest_distances(points, key, [k], metric, p, vector)
+    return found.select(key, F.col("distances")[0].alias("distance")).orderBy("distance", key)
 
 
 # The published sweep.
@@ -295,6 +309,11 @@ SWEEP_MIN_SAMPLES = (15, 30, 60)
 SWEEP_QUANTILES = (0.02, 0.05, 0.10, 0.15)
 SMALLEST_EPS = {"cosine": 1e-3, "euclidean": 1e-6}
 
+TRIALS = (
+    "metric string, min_samples int, eps double, clusters bigint, noise_pct double, largest_pct double,"
+    " silhouette double, accepted boolean, best boolean"
+)
+
 
 def dbscan_sweep(
     df: DataFrame,
@@ -307,40 +326,48 @@ def dbscan_sweep(
 ) -> DataFrame:
     """One row per trial with its scores and whether it is acceptable; ``best`` marks the choice.
 
-    eps comes from low quantiles of the positive k-distances.  A trial is acceptable with at least two
-    clusters, under 60% noise and under 70% of the labelled points in one cluster.  Without any, the
+    eps comes from low quantiles of the positive k-distances (of a sample, if asked for).  A trial is acceptable with at
+    least two clusters, under 60% noise and under 70% of the labelled points in one cluster.  Without any, the
     row marked best is a cautious cosine setting.
-    """
-    from basketry.operators.cluster_metrics import silhouette
 
-    spark, trials = df.sparkSession, []
-    names = {f"q{i}": q for i, q in enumerate(fractions)}
-
-    def proposals(metric: str, k: int, wanted: dict[str, float]) -> list[float]:
-        d = k_distances(df, key, k, metric, vector=vector, sample_size=sample_size)
-        positive = ranks.quantile_values(d.filter(F.col("distance") > 0), "distance", wanted)
-        if None in positive.values():
-            positive = ranks.quantile_values(d, "distance", wanted)
-        return [max(v or 0.0, SMALLEST_EPS.get(metric, 1e-6)) for v in positive.values()]
+    Per metric, all trials share one table of neighbour distances and one clustering run; all labellings are scored
+    by one pass over the block pairs.
+    """
+    spark, trials, labellings = df.sparkSession, [], []
+    data = df.select(key, vector)
+    pool = data if sample_size is None else random_sample(data, sample_size, key, 42)
+
+    def proposals(metric: str, wanted: Sequence[int], qs: Sequence[float]) -> dict[int, list[float]]:
+        found = materialised(nearest_distances(pool, key, wanted, metric, vector=vector))
+        long = found.select(F.posexplode("distances").alias("i", "value")).filter(F.col("value").isNotNull())
+        out = {}
+        names = {f"q{i}": q for i, q in enumerate(qs)}
+        tables = [ranks.quantiles(x, names, ["i"]).collect() for x in (long, long.filter(F.col("value") > 0))]
+        for rows in tables:  # positive distances where there are any
+            for r in rows:
+                out[wanted[r["i"]]] = [max(r[n], SMALLEST_EPS.get(metric, 1e-6)) for n in names]
+        return out
 
     for metric in metrics:
-        for m in min_samples:
-            for eps in proposals(metric, m, names):
-                labels = materialised(dbscan(df, key, eps, m, metric, vector=vector))
-                s = label_summary(labels, "label").first()
-                score = None
-                if s["clusters"] >= 2:
-                    real = df.select(key, vector).join(labels.filter(F.col("label") >= 0), key)
-                    score = silhouette(real, key, "label", vector, sample_size)
-                ok = s["clusters"] >= 2 and s["noise_pct"] < 60 and s["largest_pct"] < 70 and score is not None
-                trials.append([metric, m, float(eps), s["clusters"], s["noise_pct"], s["largest_pct"], score, ok, False])
+        found = proposals(metric, min_samples, fractions)
+        settings = [(eps, m) for m in min_samples for eps in found.get(m, [])]
+        if settings:
+            labels = dbscan_trials(data, key, settings, metric, vector=vector)
+            labellings.append(labels.select((F.col("t") + len(trials)).cast("int").alias("t"), key, "label"))
+            trials += [[metric, m, eps] for eps, m in settings]
+    if trials:
+        labels = materialised(functools.reduce(DataFrame.unionByName, labellings))
+        summary = {r["t"]: r for r in label_summary(labels, "label", by=["t"]).collect()}
+        scores = {r["t"]: r["silhouette"] for r in silhouettes(data, labels.filter(F.col("label") >= 0), key, "label", "t", vector).collect()}
+        for t, trial in enumerate(trials):
+            s = summary[t]
+            score = scores.get(t) if s["clusters"] >= 2 else None
+            ok = s["clusters"] >= 2 and s["noise_pct"] < 60 and s["largest_pct"] < 70 and score is not None
+            trial += [s["clusters"], s["noise_pct"], s["largest_pct"], score, ok, False]
     good = [t for t in trials if t[7]]
     if good:
-        max(good, key=lambda t: t[6])[8] = True
+        max(good, key=lambda t: round(t[6], 9))[8] = True  # the first of equal trials
     else:
-        trials.append(["cosine", 30, proposals("cosine", 30, {"q": 0.05})[0], None, None, None, None, False, True])
-    return spark.createDataFrame(
-        [tuple(t) for t in trials],
-        "metric string, min_samples int, eps double, clusters bigint, noise_pct double, largest_pct double,"
-        " silhouette double, accepted boolean, best boolean",
-    )
+        cautious = proposals("cosine", [30], [0.05]).get(30, [SMALLEST_EPS["cosine"]])[0]
+        trials.append(["cosine", 30, cautious, None, None, None, None, False, True])
+    return spark.createDataFrame([tuple(t) for t in trials], TRIALS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ REQUIRED = {
     "transactions": ["t_dat", "customer_id", "article_id", "price"],
     "articles": ["article_id", "product_group_name", "colour_group_name", "garment_group_name"],
 }
+#: Attributes whose spread makes a customer's profile.
+PROFILE_KINDS = {"group": "product_group_name", "colour": "colour_group_name", "garment": "garment_group_name"}
 FEATURES = [
     "recency",
     "frequency",
@@ -68,18 +72,17 @@ def price_sensitivity(transactions: DataFrame) -> DataFrame:
     )
 
 
-def category_profile(transactions: DataFrame, articles: DataFrame, kinds: dict[str, str]) -> DataFrame:
-    """Entropy (base 2) and number of categories per customer for several attributes at once.
+def category_counts(transactions: DataFrame, articles: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """``(customer_id, kind, category, n)``: purchases per category of several attributes at once.
 
     ``kinds`` maps an output prefix to an attribute.  Facts shrink to (customer, article) counts
     before the lookup, so neither a popular article nor a busy customer travels row by row.
-    With N purchases, H = log2 N - sum(n log2 n) / N.
     """
     pairs = transactions.groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("n"))
     cells = F.array(
         *[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("category")) for k, c in kinds.items()]
     )
-    counts = (
+    return (
         attach_attributes(pairs, articles, list(kinds.values()))
         .select("customer_id", "n", F.explode(cells).alias("cell"))
         .filter(F.col("cell.category").isNotNull())
@@ -87,6 +90,13 @@ def category_profile(transactions: DataFrame, articles: DataFrame, kinds: dict[s
         .agg(F.sum("n").alias("n"))
     )
 
+
+def profile_of(counts: DataFrame, kinds: Sequence[str]) -> DataFrame:
+    """Entropy (base 2) and number of categories per customer and kind, from ``category_counts``.
+
+    With N purchases, H = log2 N - sum(n log2 n) / N.
+    """
+
     def per_kind(kind: str) -> list[Column]:
         here = F.col("kind") == kind
         total = F.sum(F.when(here, F.col("n")))
@@ -99,12 +109,27 @@ def category_profile(transactions: DataFrame, articles: DataFrame, kinds: dict[s
     return counts.groupBy("customer_id").agg(*[c for k in kinds for c in per_kind(k)])
 
 
+def category_profile(transactions: DataFrame, articles: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Entropy and number of categories per customer for several attributes at once."""
+    return profile_of(category_counts(transactions, articles, kinds), list(kinds))
+
+
 def consistency(entropy: Column, categories: Column) -> Column:
     """1 - H / log2(categories), one category counts as fully consistent, clipped to [0, 1]."""
     raw = F.when(categories == 1, F.lit(1.0)).otherwise(1 - F.try_divide(entropy, F.log2(categories)))
     return F.greatest(F.least(raw, F.lit(1.0)), F.lit(0.0))
 
 
+def behaviour_of(profile: DataFrame) -> DataFrame:
+    """The scores of a profile over ``PROFILE_KINDS``."""
+    return profile.select(
+        "customer_id",
+        F.col("group_entropy").alias("purchase_diversity_score"),
+        F.col("colour_entropy").alias("colour_preference_entropy"),
+        consistency(F.col("garment_entropy"), F.col("garment_categories")).alias("style_consistency_score"),
+    )
+
+
 def customer_features(
     transactions: DataFrame,
     customers: DataFrame,
@@ -114,17 +139,7 @@ def customer_features(
     """One row per customer; customers without purchases get the documented defaults."""
     for name, frame in (("customers", customers), ("transactions", transactions), ("articles", articles)):
         require_columns(frame, REQUIRED[name], name)
-    profile = category_profile(
-        transactions,
-        articles,
-        {"group": "product_group_name", "colour": "colour_group_name", "garment": "garment_group_name"},
-    )
-    behaviour = profile.select(
-        "customer_id",
-        F.col("group_entropy").alias("purchase_diversity_score"),
-        F.col("colour_entropy").alias("colour_preference_entropy"),
-        consistency(F.col("garment_entropy"), F.col("garment_categories")).alias("style_consistency_score"),
-    )
+    behaviour = behaviour_of(category_profile(transactions, articles, PROFILE_KINDS))
     reference = F.date_add(_last_day(transactions), 1)
     no_purchase_recency = (F.datediff(reference, transactions.agg(F.min("t_dat")).scalar()) + 1).cast("long")
     wide = (

@@ -300,11 +300,11 @@ def attach_labels(df: DataFrame, labels: Sequence[DataFrame], key: str) -> DataF
     return df
 
 
-def label_summary(df: DataFrame, label: str, noise: int = -1) -> DataFrame:
-    """Rows, clusters, noise share and share of the largest cluster among labelled rows."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+def label_summary(df: DataFrame, label: str, noise: int = -1, by: Sequence[str] = ()) -> DataFrame:
+    """Rows, clusters, noise share and share of the largest cluster among labelled rows, per group if asked."""
+    counts = df.groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
     real = F.col(label) != noise
-    return counts.agg(
+    return counts.groupBy(*by).agg(
         F.sum("n").alias("n_rows"),
         F.count_if(real).alias("clusters"),
         pct(F.coalesce(F.sum(F.when(~real, F.col("n"))), F.lit(0)), F.sum("n")).alias("noise_pct"),

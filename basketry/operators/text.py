@@ -6,6 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
@@ -86,10 +88,67 @@ def tfidf_defaults(n_docs: int) -> dict[str, float]:
     return {"min_df": min_df, "max_df": 0.8, "max_features": 50_000 if n_docs >= 100_000 else 20_000}
 
 
-def term_counts(docs: DataFrame, key: str, text: str, low: int = 1, high: int = 2) -> DataFrame:
-    """``(key, term, tf)``; a document's words are counted where the document is read."""
-    terms = ngrams(clean_tokens(F.col(text)), low, high)
-    return docs.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+#: Characters of the texts whose terms are counted at a time.
+CHUNK_CHARS = 16 << 20
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about CHUNK_CHARS of text; a longer text has a chunk of its own."""
+    for batch in batches:
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, before + CHUNK_CHARS, side="right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _counted(texts: pa.Array, low: int, high: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct n-grams of cleaned texts, and per text and n-gram: text, place of the n-gram, count."""
+    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    flat, doc = lists.flatten(), np.asarray(pc.list_parent_indices(lists), dtype=np.int64)
+    keep = np.asarray(pc.greater_equal(pc.utf8_length(flat), 2))
+    words = flat.filter(pa.array(keep)).dictionary_encode()
+    doc, word = doc[keep], np.asarray(words.indices, dtype=np.int64)
+    single = words.dictionary
+    names, code, first = single, word, np.arange(len(word))
+    found, offset = [], 0
+    for n in range(1, high + 1):
+        if n > 1:
+            # A longer gram is a shorter one and the word after it, in the same text.
+            last = first + n - 1
+            inside = last < len(word)
+            inside[inside] = doc[first[inside]] == doc[last[inside]]
+            first, last, code = first[inside], last[inside], code[inside]
+            pairs, code = np.unique(code * len(single) + word[last], return_inverse=True)
+            before, after = (np.divmod(pairs, len(single))) if len(single) else (pairs, pairs)
+            names = pc.binary_join_element_wise(names.take(pa.array(before)), single.take(pa.array(after)), " ")
+        if n >= low:
+            found.append((names, code + offset, doc[first]))
+            offset += len(names)
+    names = pa.concat_arrays([x for x, _, _ in found])
+    code, doc = (np.concatenate(x) for x in list(zip(*found, strict=True))[1:])
+    keys, count = np.unique(doc * max(len(names), 1) + code, return_counts=True)
+    doc, code = np.divmod(keys, max(len(names), 1))
+    return names, doc, code, count
+
+
+def term_totals(docs: DataFrame, text: str, low: int = 1, high: int = 2) -> DataFrame:
+    """``(term, df, tf)`` over all documents.
+
+    A document's terms are counted where it is read, and the documents of a chunk are added up before anything travels,
+    so a frequent term costs one row per chunk.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in _chunks(batches, 0):
+            names, _, code, n = _counted(chunk.column(0), low, high)
+            df, tf = np.bincount(code, minlength=len(names)), np.bincount(code, n, len(names)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([names, pa.array(df, pa.int64()), pa.array(tf, pa.int64())], ["term", "df", "tf"])
+
+    partial = docs.select(text).mapInArrow(count, "term string, df bigint, tf bigint")
+    return partial.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tf").alias("tf"))
 
 
 def vocabulary(
@@ -104,11 +163,9 @@ def vocabulary(
     high: int = 2,
 ) -> DataFrame:
     """H4: ``(term, df, tf, term_id)``: terms within the document-frequency bounds, the most frequent
-    ``max_features`` of them (ties by term), numbered alphabetically."""
+    ``max_features`` of them (ties by term), numbered alphabetically; ``docs`` has one row per document."""
     kept = (
-        term_counts(docs, key, text, low, high)
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
+        term_totals(docs, text, low, high)
         .filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
         .orderBy(F.col("tf").desc(), "term")
         .limit(max_features)
@@ -119,17 +176,27 @@ def vocabulary(
 def tfidf(docs: DataFrame, key: str, text: str, vocab: DataFrame, n_docs: int, low: int = 1, high: int = 2) -> DataFrame:
     """H6, H7: ``(key, term_id, weight)`` with smoothed idf, unit length per document.
 
-    For new documents pass the fitted vocabulary and its document count; unknown terms drop out.
+    For new documents pass the fitted vocabulary and its document count; unknown terms drop out.  Weights are made
+    where the document is read, and nothing is shuffled: the vocabulary, at most ``max_features`` terms, goes to the tasks.
     """
-    idf = F.log(F.lit(1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0
-    raw = (
-        term_counts(docs, key, text, low, high)
-        .withColumnRenamed("tf", "count")
-        .join(vocab.select("term", "term_id", "df"), "term")
-        .select(key, "term_id", (F.col("count") * idf).alias("w"))
-    )
-    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
-    return raw.select(key, "term_id", (F.col("w") / length).alias("weight"))
+    rows = vocab.select("term", "term_id", "df").collect()
+    idf = np.array([np.log((1.0 + n_docs) / (1.0 + r["df"])) + 1.0 for r in rows])
+    shared = docs.sparkSession.sparkContext.broadcast(([r["term"] for r in rows], np.array([r["term_id"] for r in rows], np.int64), idf))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, ids, scale = shared.value
+        known = pa.array(terms, pa.string())
+        for chunk in _chunks(batches, 1):
+            names, doc, code, n = _counted(chunk.column(1), low, high)
+            place = np.asarray(pc.fill_null(pc.index_in(names, value_set=known), -1), dtype=np.int64)[code]
+            doc, n, place = doc[place >= 0], n[place >= 0], place[place >= 0]
+            weight = n * scale[place] if len(place) else np.zeros(0)
+            length = np.sqrt(np.bincount(doc, weight * weight, chunk.num_rows))
+            columns = [chunk.column(0).take(pa.array(doc)), pa.array(ids[place] if len(place) else [], pa.int64()), pa.array(weight / length[doc])]
+            yield pa.RecordBatch.from_arrays(columns, [key, "term_id", "weight"])
+
+    schema = f"{key} {docs.schema[key].dataType.simpleString()}, term_id bigint, weight double"
+    return docs.select(key, text).mapInArrow(weigh, schema)
 
 
 def tfidf_vectors(

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import accumulate
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from basketry.functions import ranks
 from basketry.operators.text import unit_length
+from basketry.session import materialised
 
 
 def pca(df: DataFrame, key: str, k: int, vector: str = "vector", normalise: bool = False) -> tuple[DataFrame, list[float]]:
@@ -117,3 +123,65 @@ def cluster_spread(df: DataFrame, cluster: str, vector: str = "vector") -> DataF
     return per_dim.groupBy(cluster).agg(
         F.max("n").alias("size"), F.avg("m").alias("mean"), F.avg("s").alias("compactness")
     )
+
+def gram(df: DataFrame, vector: str = "vector") -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of rows, mean and centred Gram matrix (scatter) of the vectors.
+
+    Each task returns one d x d matrix, the matrices of groups of tasks are added by further tasks; the driver holds d x d.
+    """
+    first = df.select(vector).first()
+    if first is None:
+        raise ValueError("no vectors")
+    d = len(first[0])
+    # Around the first vector, so that a far-off mean costs no digits.
+    middle = np.array(first[0], dtype=float)
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total, square = 0, np.zeros(d), np.zeros((d, d))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(0).to_pylist(), dtype=float) - middle
+                n, total, square = n + len(x), total + x.sum(0), square + x.T @ x
+        slot = TaskContext.get().partitionId() % slots
+        sums = np.concatenate([[n], total, square.ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([slot], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["slot", "sums"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(b, np.float64) for b in group.column("sums").to_pylist())
+        return pa.table({"slot": group.column("slot").slice(0, 1), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    rows = df.select(vector)
+    slots = max(1, int(rows.rdd.getNumPartitions() ** 0.5))
+    parts = rows.mapInArrow(local, "slot int, sums binary").groupBy("slot").applyInArrow(add, "slot int, sums binary").collect()
+    sums = sum(np.frombuffer(r["sums"], np.float64) for r in parts)
+    n, total, square = int(sums[0]), sums[1 : d + 1], sums[d + 1 :].reshape(d, d)
+    return n, middle + total / n, square - np.outer(total, total) / n
+
+
+def reconstruction_errors(df: DataFrame, key: str, k: int, vector: str = "vector") -> tuple[DataFrame, np.ndarray]:
+    """``(key, energy, residual)`` and the variances of all components, largest first.
+
+    ``energy`` is the squared distance from the mean, ``residual`` what the first ``k`` principal components leave of it.
+    """
+    n, mean, scatter = gram(df, vector)
+    variance, axes = np.linalg.eigh(scatter)
+    basis = axes[:, ::-1][:, :k]
+    kind = df.schema[key].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.array(batch.column(1).to_pylist(), dtype=float) - mean
+                rest = x - (x @ basis) @ basis.T
+                columns = [batch.column(0).cast(to_arrow_type(kind)), pa.array((x * x).sum(1)), pa.array((rest * rest).sum(1))]
+                yield pa.RecordBatch.from_arrays(columns, [key, "energy", "residual"])
+
+    out = df.select(key, vector).mapInArrow(run, f"{key} {kind.simpleString()}, energy double, residual double")
+    return out, np.maximum(variance[::-1], 0) / n
+
+
+def reconstruction_outliers(df: DataFrame, key: str, k: int, share: float = 0.01, vector: str = "vector") -> DataFrame:
+    """``(key, energy, residual, outlier)``: rows whose residual is above the ``1 - share`` quantile of all residuals."""
+    errors = materialised(reconstruction_errors(df, key, k, vector)[0])
+    limit = ranks.exact_quantiles(errors, ["residual"], {"limit": 1 - share})["residual"]["limit"]
+    return errors.withColumn("outlier", F.col("residual") > F.lit(limit))

@@ -1,12 +1,14 @@
 """Registered queries: each couples a Spark plan with its independent SQL statement."""
 
 from basketry.plans import (  # noqa: F401  (each import registers its queries)
+    q_behaviour,
     q_charts,
     q_cleaning,
     q_cluster,
     q_encode,
     q_features,
     q_profiling,
+    q_relations,
     q_sales,
     q_segments,
     q_sequences,

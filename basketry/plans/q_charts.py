@@ -1,8 +1,13 @@
 """Tables behind charts."""
 
+import functools
+from itertools import combinations
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import charts
+from basketry.plans.q_profiling import LINE_COLUMNS, OUTLIER_CTES
 from basketry.plans.registry import query
 from basketry.sources import views
 from basketry.sources.views import with_views
@@ -84,8 +89,6 @@ LINES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def pairs_sql(source, columns):
-    from itertools import combinations
-
     return " UNION ALL ".join(
         f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM {source}" for a, b in combinations(columns, 2)
     )
@@ -153,21 +156,50 @@ def e02(spark, d):
     return rounded(out, ["price", "rolling_mean", "rolling_std", "upper", "lower"], 2)
 
 
-@query(
-    "k09_eda_bundle",
-    with_views(
-        "tx",
-        """SELECT 'time_series' AS report, count(DISTINCT t_dat) AS n_rows FROM tx
-UNION ALL SELECT 'histogram_price', (SELECT count(*) FROM h) UNION ALL SELECT 'outliers', 1
-UNION ALL SELECT 'profile', 5 * 3 + 3 + 4 * 7""",
-        f"h AS ({histogram_sql(50)})",
-    ),
-)
-def k09(spark, d):
-    bundle = charts.eda_bundle(views.transactions(spark, d), "t_dat", "price")
-    rows = [t.agg(F.lit(n).alias("report"), F.count(F.lit(1)).alias("n_rows")) for n, t in bundle.items()]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+def _unpivot(report, item, table, metrics):
+    return [f"SELECT '{report}' AS report, {item}::VARCHAR AS item, '{name}' AS metric, round(({expression})::DOUBLE, 4) AS value FROM {table}" for name, expression in metrics.items()]
+
+
+def bundle_sql():
+    """All reports of the bundle over the order lines as (report, item, metric, value)."""
+    outliers = ["outliers_iqr", "outliers_zscore", "outliers_modified", "outliers_percentile"]
+    parts = _unpivot("outliers", '"column"', "summary", {m: m for m in [*outliers, "mean", "median", "mad"]})
+    for c in LINE_COLUMNS:
+        ends = f"SELECT min({c}) AS lo, (max({c}) - min({c})) / 50 AS w FROM lineitem"
+        table = f"(SELECT least(floor(({c} - lo) / w), 49)::BIGINT AS bin, count(*) AS n FROM lineitem, ({ends}) GROUP BY 1)"
+        parts += _unpivot(f"histogram_{c}", "bin", table, {"n": "n"})
+        profile = {"nulls": f"count(*) - count({c})", "distinct_values": f"count(DISTINCT {c})", "mean": f"avg({c})", "std": f"stddev_samp({c})", "median": f"median({c})"}
+        parts += _unpivot("profile", f"'{c}'", "lineitem GROUP BY ALL", profile)
+        parts += _unpivot("segmentation", f"'{c}'", "lineitem GROUP BY ALL", {"clusters": "max(5)", "size": "count(*)", "mean": f"avg({c})", "share_pct": "max(100)"})
+    for a, b in combinations(LINE_COLUMNS, 2):
+        parts += _unpivot("correlation", f"'{a}|{b}'", "lineitem GROUP BY ALL", {"r": f"corr({a}, {b})"})
+    days = "(SELECT CAST(l_shipdate AS DATE) AS d, sum(l_extendedprice) AS s FROM lineitem GROUP BY 1)"
+    parts += _unpivot("time_series", "strftime(d, '%Y-%m-%d')", days, {"value": "s"})
+    return f"WITH {OUTLIER_CTES} " + " UNION ALL ".join(parts)
 
+
+@query("k09_eda_bundle", bundle_sql())
+def k09(spark, d):
+    lines = views.table(spark, d, "lineitem").select("l_shipdate", *LINE_COLUMNS)
+    bundle = charts.eda_bundle(lines, "l_shipdate", "l_extendedprice")
+
+    def long(report, table, item, metrics):
+        cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.round(F.col(m).cast("double"), 4).alias("value")) for m in metrics])
+        return table.select(F.lit(report).alias("report"), item.cast("string").alias("item"), F.explode(cells).alias("c")).select("report", "item", "c.*")
+
+    named = F.col("column")
+    outliers = ["outliers_iqr", "outliers_zscore", "outliers_modified", "outliers_percentile"]
+    parts = [long("outliers", bundle["outliers"], named, [*outliers, "mean", "median", "mad"])]
+    profile = bundle["profile"].filter(F.col("column").isin(LINE_COLUMNS) & F.col("metric").isin("nulls", "distinct_values", "mean", "std", "median"))
+    parts.append(profile.select(F.lit("profile").alias("report"), named.alias("item"), "metric", F.round(F.col("value").cast("double"), 4).alias("value")))
+    parts += [long(r, t, F.col("bin"), ["n"]) for r, t in bundle.items() if r.startswith("histogram")]
+    # Clusters differ between implementations, what they add up to does not.
+    total = F.sum("size")
+    whole = bundle["segmentation"].groupBy("column").agg(
+        F.count(F.lit(1)).alias("clusters"), total.alias("size"), (F.sum(F.col("size") * F.col("mean")) / total).alias("mean"), F.sum("share_pct").alias("share_pct")
+    )
+    parts.append(long("segmentation", whole, named, ["clusters", "size", "mean", "share_pct"]))
+    parts.append(long("correlation", bundle["correlation"], F.concat_ws("|", "a", "b"), ["r"]))
+    series = bundle["time_series"].withColumnRenamed("l_extendedprice", "value")
+    parts.append(long("time_series", series, F.col("period"), ["value"]))
+    return functools.reduce(DataFrame.unionByName, parts)

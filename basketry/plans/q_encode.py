@@ -101,7 +101,11 @@ def c02(spark, d):
     return encode.join_on_key(wide_embeddings(spark, d), codes, "article_id")
 
 
-_SCALED = [f"svd_{i + 1:03d}" for i in range(64)] + ["product_group_name_encoded"] + [f"garment_group_name_{t}" for t in TYPES[1:]]
+COLOURS = ["blue", "cold", "hot", "large", "new", "old", "red", "small"]
+KINDS = ["anvil", "bolt", "gear", "gizmo", "plate", "ring", "rod", "widget"]
+#: One-hot columns of all attributes with few values, the first value of each dropped.
+_HOT = [("garment_group_name", t) for t in TYPES[1:]] + [("colour_group_name", t) for t in COLOURS[1:]] + [("product_type_name", t) for t in KINDS[1:]]
+_SCALED = [f"svd_{i + 1:03d}" for i in range(64)] + ["product_group_name_encoded"] + [f"{c}_{t}" for c, t in _HOT]
 
 
 @query(
@@ -115,17 +119,21 @@ _SCALED = [f"svd_{i + 1:03d}" for i in range(64)] + ["product_group_name_encoded
         + " FROM j",
         f"""j AS (SELECT article_id, {WIDE}, e.* EXCLUDE (article_id) FROM embeddings
  JOIN (SELECT article_id, (dense_rank() OVER (ORDER BY product_group_name) - 1)::DOUBLE AS product_group_name_encoded, """
-        + ", ".join(f"""(garment_group_name = '{t}')::INT::DOUBLE AS "garment_group_name_{t}\"""" for t in TYPES[1:])
+        + ", ".join(f"""({c} = '{t}')::INT::DOUBLE AS "{c}_{t}\"""" for c, t in _HOT)
         + " FROM ar) e ON article_id = vec_id)",
     ),
 )
 def h14(spark, d):
-    arts = views.articles(spark, d).select("article_id", "product_group_name", "garment_group_name")
-    out, names = encode.combined_features(wide_embeddings(spark, d), arts)
+    out, names = encode.combined_features(wide_embeddings(spark, d), views.articles(spark, d))
     return rounded(out, names)
 
 
-@query("h15_combined_feature_names")
+# Embedding columns, then the one-hot columns by attribute and value, then the label codes.
+_NAMES = [f"svd_{i + 1:03d}" for i in range(64)]
+_NAMES += [f"{c}_{t}" for c in ("product_type_name", "colour_group_name", "garment_group_name") for a, t in _HOT if a == c] + ["product_group_name_encoded"]
+
+
+@query("h15_combined_feature_names", f"SELECT (i - 1)::INT AS position, ({_NAMES})[i] AS feature FROM range(1, {len(_NAMES) + 1}) r(i)")
 def h15(spark, d):
     _, names = encode.combined_features(wide_embeddings(spark, d), views.articles(spark, d))
     return encode.feature_names(views.articles(spark, d), names)
@@ -143,7 +151,10 @@ def h16(spark, d):
     return encode.with_metadata(wide_embeddings(spark, d), views.articles(spark, d))
 
 
-@query("h17_categorical_svd")
+# A row has one 1 per attribute, so the squared singular values of all components add up to rows times attributes.
+@query("h17_categorical_svd", with_views("ar", f"SELECT article_id, true AS unit_length, count(*) OVER () * {len(CANDIDATES)} AS energy FROM ar"))
 def h17(spark, d):
-    out, _ = encode.categorical_svd(views.articles(spark, d), "article_id", CANDIDATES)
-    return out
+    out, singular = encode.categorical_svd(views.articles(spark, d), "article_id", CANDIDATES)
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    unit = F.abs(norm - 1) < 1e-9
+    return out.select("article_id", unit.alias("unit_length"), F.lit(int(round(float((singular**2).sum())))).cast("bigint").alias("energy"))

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from basketry.functions import ranks
 from basketry.operators import outliers, profiling
 from basketry.plans.registry import query
+from basketry.session import materialised
 from basketry.sources import views
 from basketry.sources.views import with_views
 
@@ -290,3 +292,34 @@ FROM s""",
 )
 def d29(spark, d):
     return outliers.outlier_recommendations(outliers.outlier_summary(line_numbers(spark, d)))
+
+
+# One sketch per column and return flag, merged; its quartiles must lie within twice the stated rank error.
+@query(
+    "p01_sketched_quartiles",
+    " UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS n, true AS q1_within, true AS q3_within, true AS fences_hold FROM lineitem""" for c in LINE_COLUMNS),
+)
+def p01(spark, d):
+    lines = views.table(spark, d, "lineitem").select("l_returnflag", *LINE_COLUMNS)
+    parts = outliers.quantile_sketches(lines, LINE_COLUMNS, ["l_returnflag"])
+    bounds = materialised(outliers.sketch_bounds(outliers.merged_sketches(parts)))
+    rows = {r["column"]: r for r in bounds.collect()}
+    counts = []
+    for i, c in enumerate(LINE_COLUMNS):
+        for name in ("q1", "q3"):
+            x = F.col(c).cast("double")
+            counts += [F.count_if(x < rows[c][name]).alias(f"{name}_below{i}"), F.count_if(x <= rows[c][name]).alias(f"{name}_upto{i}")]
+    found = lines.agg(*counts).first()
+    slack = 2 * ranks.sketch_error(400)
+
+    def within(name, q, i, n):
+        return found[f"{name}_below{i}"] <= (q + slack) * n and found[f"{name}_upto{i}"] >= (q - slack) * n
+
+    flagged = outliers.flagged(lines, bounds)
+    table = []
+    for i, c in enumerate(LINE_COLUMNS):
+        n = rows[c]["n"]
+        spread = 1.5 * (rows[c]["q3"] - rows[c]["q1"])
+        exact = F.count_if((F.col(c) < rows[c]["q1"] - spread) | (F.col(c) > rows[c]["q3"] + spread)) == F.count_if(f"{c}_outlier")
+        table.append((c, n, within("q1", 0.25, i, n), within("q3", 0.75, i, n), flagged.agg(exact).first()[0]))
+    return spark.createDataFrame(table, '`column` string, n bigint, q1_within boolean, q3_within boolean, fences_hold boolean')

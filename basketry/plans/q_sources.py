@@ -1,8 +1,12 @@
 """Scans, sinks and schema handling."""
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.operators import cleaning
+from basketry.plans.q_cleaning import ARTICLE_STEPS, CUSTOMER_STEPS, TRANSACTION_STEPS
 from basketry.plans.registry import query
 from basketry.session import shared_folder
 from basketry.sources import tables, views
@@ -75,9 +79,13 @@ def a09(spark, d):
     return df.select(*tables.categorical_columns(df, exclude=["article_id"]))
 
 
-@query("a10_file_information")
+@query("a10_file_information", "SELECT 'orders.parquet' AS file_name, 'parquet' AS file_type, true AS has_bytes, true AS dated FROM orders LIMIT 1")
 def a10(spark, d):
-    return tables.file_information(views.table(spark, d, "orders"))
+    found = tables.file_information(views.table(spark, d, "orders"))
+    dated = F.col("file_modification_time") <= F.current_timestamp()
+    # A table may also be a folder of part files.
+    name = F.when(F.col("file_name").startswith("part-"), "orders.parquet").otherwise(F.col("file_name"))
+    return found.groupBy(name.alias("file_name"), "file_type").agg(F.every(F.col("file_size") > 0).alias("has_bytes"), F.every(dated).alias("dated"))
 
 
 @query("a12_random_sample", "SELECT c_custkey, c_acctbal FROM customer ORDER BY md5(c_custkey || ':42'), c_custkey LIMIT 100")
@@ -97,24 +105,43 @@ def a13(spark, d):
     return tables.unpack_vector(tables.pack_vector(wide, "vec_id", "svd_"), "vec_id", "svd_", 64)
 
 
+def _column_values(source, columns):
+    """Filled cells per column, and the sum of the numbers or flags in it."""
+    return " UNION ALL ".join(
+        f"""SELECT '{source}' AS name, '{c}' AS "column", count({c}) AS filled, round({f"sum({c}::DOUBLE)" if numeric else "NULL::DOUBLE"}, 2) AS total FROM {source}"""
+        for c, numeric in columns.items()
+    )
+
+
+_TRANSACTIONS = dict(t_dat=0, customer_id=1, article_id=1, price=1, sales_channel_id=1, price_outlier_capped=1, sales_channel_corrected=1, price_percentile_calibrated=1)
+_CUSTOMERS = dict(customer_id=1, FN=1, Active=1, club_member_status=0, fashion_news_frequency=0, age=1, postal_code=0)
+_CUSTOMERS |= {f"{c}_imputed": 1 for c in list(_CUSTOMERS)[1:]} | dict(age_corrected=1)
+_ARTICLES = dict(article_id=1, product_code=1, prod_name=0, detail_desc=0, product_type_no=1, graphical_appearance_no=1, product_type_name=0, colour_group_name=0)
+_ARTICLES |= dict(product_type_no_negative_fixed=1, graphical_appearance_no_negative_fixed=1, product_code_invalid=1)
+_CLEANED = {"transactions": ("rtx", TRANSACTION_STEPS, _TRANSACTIONS), "customers": ("rcu", CUSTOMER_STEPS, _CUSTOMERS), "articles": ("rar", ARTICLE_STEPS, _ARTICLES)}
+
+
 @query(
     "a14_write_cleaned_tables",
-    with_views(
-        "rcu rar",
-        """SELECT 'customers' AS name, count(DISTINCT rcu) AS n_rows FROM rcu
-UNION ALL SELECT 'articles', count(DISTINCT rar) FROM rar""",
-    ),
+    "WITH "
+    + ", ".join(f"{n} AS ({with_views(view, 'SELECT * FROM cleaned', steps)})" for n, (view, steps, _) in _CLEANED.items())
+    + " "
+    + " UNION ALL ".join(_column_values(n, columns) for n, (_, _, columns) in _CLEANED.items())
+    + """ UNION ALL SELECT 'cleaning_report', 'customers_rows_before', 1, (SELECT count(*) FROM customer) + (SELECT count(*) FROM customer WHERE c_custkey % 10 = 0)""",
 )
 def a14(spark, d):
-    paths = tables.write_cleaned(
-        {
-            "customers": cleaning.clean_customers(views.raw_customers(spark, d)),
-            "articles": cleaning.clean_articles(views.raw_articles(spark, d)),
-        },
-        shared_folder(spark, "cleaned"),
+    paths = cleaning.clean_all(
+        views.raw_transactions(spark, d), views.raw_customers(spark, d), views.raw_articles(spark, d), shared_folder(spark, "cleaned"), write_csv_too=True
     )
-    counts = [
-        tables.read_table(spark, p).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n_rows"))
-        for n, p in paths.items()
-    ]
-    return counts[0].unionByName(counts[1])
+    parts = []
+    for name, (_, _, columns) in _CLEANED.items():
+        # The text copies must say the same as the columnar ones.
+        table = tables.read_table(spark, paths[f"{name}_{'csv' if name == 'customers' else 'parquet'}"])
+        cells = [
+            F.struct(F.lit(c).alias("column"), F.count(c).alias("filled"), (F.round(F.sum(F.col(c).cast("double")), 2) if numeric else F.lit(None).cast("double")).alias("total"))
+            for c, numeric in columns.items()
+        ]
+        parts.append(table.agg(F.array(*cells).alias("cells")).select(F.lit(name).alias("name"), F.explode("cells").alias("c")).select("name", "c.*"))
+    report = spark.read.json(paths["cleaning_report"]).filter("dataset = 'customers' AND category = 'rows' AND column = 'before'")
+    parts.append(report.select(F.lit("cleaning_report").alias("name"), F.lit("customers_rows_before").alias("column"), F.lit(1).cast("long").alias("filled"), F.col("count").cast("double").alias("total")))
+    return functools.reduce(DataFrame.unionByName, parts)

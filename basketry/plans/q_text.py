@@ -1,6 +1,7 @@
 """Texts (G6, G7, H1-H11, K8, D43, D46)."""
 
 from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from basketry.functions.text import embedding_text
@@ -76,23 +77,24 @@ def h03(spark, d):
     return out.select("article_id", F.array_join("words", " ").alias("words"))
 
 
-SETTINGS = {"min_df": 3, "max_df": 0.8, "max_features": 2000}
 GRAMS = r"""w1 AS (SELECT article_id, unnest(x) AS w, unnest(range(len(x))) AS i FROM
  (SELECT article_id, list_filter(string_split(detail_desc, ' '), lambda t: length(t) >= 2) AS x FROM clean)),
 grams AS (SELECT article_id, w AS term FROM w1 UNION ALL SELECT a.article_id, a.w || ' ' || b.w FROM w1 a
  JOIN w1 b ON a.article_id = b.article_id AND b.i = a.i + 1),
 tc AS (SELECT article_id, term, count(*) AS tf FROM grams GROUP BY ALL),
-top AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf FROM tc GROUP BY term
- HAVING count(*) >= 3 AND count(*) <= 0.8 * (SELECT count(*) FROM clean) ORDER BY 3 DESC, term LIMIT 2000),
+size AS (SELECT CASE WHEN n < 5000 THEN greatest(1, round_even(0.002 * n, 0)) ELSE greatest(5, round_even(0.001 * n, 0)) END AS least,
+ 0.8 * n AS most, CASE WHEN n >= 100000 THEN 50000 ELSE 20000 END AS kept FROM (SELECT count(*) AS n FROM clean)),
+top AS (SELECT term, df, tf FROM (SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, row_number() OVER (ORDER BY sum(tf) DESC, term) AS place
+ FROM tc GROUP BY term HAVING count(*) >= (SELECT least FROM size) AND count(*) <= (SELECT most FROM size)) WHERE place <= (SELECT kept FROM size)),
 vocab AS (SELECT *, row_number() OVER (ORDER BY term) - 1 AS term_id FROM top)"""
 TEXT_CTES = f"{VALID}, {CLEAN}, {GRAMS}"
 
 
-def fitted(spark, d, settings=None):
-    """Texts, their number and the vocabulary; ``settings`` chooses its bounds by that number."""
+def fitted(spark, d):
+    """Texts, their number and the vocabulary, whose bounds follow that number."""
     docs = materialised(text.light_clean(filters.valid_texts(views.raw_texts(spark, d)), "detail_desc"))
     n = docs.count()
-    return docs, n, text.vocabulary(docs, "article_id", "detail_desc", n, **(settings(n) if settings else SETTINGS))
+    return docs, n, text.vocabulary(docs, "article_id", "detail_desc", n, **text.tfidf_defaults(n))
 
 
 @query("h04_vocabulary", with_views("rtext", "SELECT * FROM vocab", TEXT_CTES))
@@ -164,12 +166,19 @@ def h07(spark, d):
     return rounded(text.tfidf(new, "article_id", "detail_desc", vocab, n), ["weight"], 6)
 
 
-@query("h08_svd_of_tfidf")
+# Unit rows for every text, singular values that fall, and no more of the matrix than there is: each row has length one.
+@query(
+    "h08_svd_of_tfidf",
+    with_views("rtext", "SELECT article_id, true AS unit_length, true AS falling, true AS bounded FROM clean", TEXT_CTES),
+)
 def h08(spark, d):
-    docs, n, vocab = fitted(spark, d, text.tfidf_defaults)
+    docs, n, vocab = fitted(spark, d)
     matrix = text.tfidf_vectors(docs, "article_id", "detail_desc", vocab, n)
-    out, _, _ = text.svd(matrix, "article_id", 20)
-    return out
+    out, singular, _ = text.svd(matrix, "article_id", 20)
+    falling = all(a >= b for a, b in zip(singular, singular[1:], strict=False))
+    norm = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    unit = (F.abs(norm - 1) < 1e-9) | (norm == 0)
+    return out.select("article_id", unit.alias("unit_length"), F.lit(falling).alias("falling"), F.lit(bool((singular**2).sum() <= n)).alias("bounded"))
 
 
 EMBEDDING_TEXT = r"""et AS (SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(trim(regexp_replace("text", '\s+', ' ', 'g')),
@@ -203,16 +212,68 @@ def embedding_vectors(spark, d):
     )
 
 
-@query("h11_pca")
+E_ENERGY = """c AS (SELECT vec_id, unnest(range(64))::INT AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings),
+e AS (SELECT vec_id, sum((v - m) ** 2) AS energy FROM (SELECT *, avg(v) OVER (PARTITION BY dim) AS m FROM c) GROUP BY vec_id)"""
+
+
+# All components together keep every point's distance from the mean.
+@query("h11_pca", f"WITH {E_ENERGY} SELECT vec_id, round(energy, 6) AS energy, true AS unit_length FROM e")
 def h11(spark, d):
-    out, _ = vectors.pca(embedding_vectors(spark, d), "vec_id", 20, normalise=True)
-    return out
+    data = materialised(embedding_vectors(spark, d))
+    out, _ = vectors.pca(data, "vec_id", 64)
+    energy = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x)
+    unit = F.aggregate(text.unit_length(F.col("vector")), F.lit(0.0), lambda s, x: s + x * x)
+    return out.select("vec_id", F.round(energy, 6).alias("energy"), (F.abs(unit - 1) < 1e-9).alias("unit_length"))
 
 
-@query("k08_explained_variance")
+# The variances of all components add up to that of all dimensions; each ratio is one component's share of it.
+@query(
+    "k08_explained_variance",
+    f"""WITH {E_ENERGY} SELECT i::INT AS component, true AS falling, true AS runs_up, round((SELECT sum(energy) / count(*) FROM e), 6) AS total_variance,
+ i = 64 AS is_whole FROM range(1, 65) r(i)""",
+)
 def k08(spark, d):
-    _, ratios = vectors.pca(embedding_vectors(spark, d), "vec_id", 20)
-    return vectors.explained_variance(spark, ratios)
+    data = materialised(embedding_vectors(spark, d))
+    _, ratios = vectors.pca(data, "vec_id", 64)
+    table = vectors.explained_variance(spark, ratios)
+    order = Window.orderBy("component")
+    errors, variances = vectors.reconstruction_errors(data, "vec_id", 1)
+    total = errors.agg(F.avg("energy")).first()[0]
+    share = F.element_at(F.array(*[F.lit(float(v)) for v in variances]), F.col("component"))
+    return table.select(
+        "component",
+        F.coalesce(F.col("ratio") <= F.lag("ratio").over(order) + 1e-12, F.lit(True)).alias("falling"),
+        (F.abs(F.col("cumulative") - F.sum("ratio").over(order)) < 1e-9).alias("runs_up"),
+        F.round(F.lit(total) * F.col("ratio") / (share / F.lit(float(variances.sum()))), 6).alias("total_variance"),
+        (F.col("cumulative") > 1 - 1e-9).alias("is_whole"),
+    )
+
+
+# What the first components leave, and what there was: distances from the mean, and the variance of all dimensions.
+@query("p02_reconstruction_errors", f"WITH {E_ENERGY} SELECT vec_id, round(energy, 6) AS energy, true AS left_over FROM e")
+def p02(spark, d):
+    out, _ = vectors.reconstruction_errors(embedding_vectors(spark, d), "vec_id", 8)
+    left = F.col("residual").between(0, F.col("energy") + 1e-9)
+    return out.select("vec_id", F.round("energy", 6).alias("energy"), left.alias("left_over"))
+
+
+@query(
+    "p02_reconstruction_outliers",
+    f"""WITH {E_ENERGY} SELECT count(*) AS points, round(sum(energy), 6) AS energy, round(sum(energy), 6) AS from_components, true AS residual_adds_up,
+ count(*) - 1 - floor(0.99 * (count(*) - 1))::BIGINT AS outliers FROM e""",
+)
+def p02_outliers(spark, d):
+    data = materialised(embedding_vectors(spark, d))
+    flagged = materialised(vectors.reconstruction_outliers(data, "vec_id", 8))
+    _, variances = vectors.reconstruction_errors(data, "vec_id", 8)
+    n = F.count(F.lit(1))
+    return flagged.agg(
+        n.alias("points"),
+        F.round(F.sum("energy"), 6).alias("energy"),
+        F.round(n * F.lit(float(variances.sum())), 6).alias("from_components"),
+        (F.abs(F.sum("residual") - n * F.lit(float(variances[8:].sum()))) < 1e-6).alias("residual_adds_up"),
+        F.count_if("outlier").alias("outliers"),
+    )
 
 
 E_CELLS = "cells AS (SELECT label, unnest(range(64))::INT AS dim, unnest(embedding)::DOUBLE AS v FROM embeddings)"
