@@ -21,7 +21,7 @@ WEIGHTS = (1, 2, 3)
 #: A document is used at most so often.
 MOST_PASSES = 3
 #: Rows of a range on average, ranges that are summed at a time.
-RANGE_ROWS, RANGES_AT_ONCE = 65_536, 1024
+RANGE_ROWS, RANGES_AT_ONCE = 8192, 1024
 
 
 def words(text: Column) -> Column:
