@@ -92,7 +92,8 @@ def gaussian_mixtures(
 ) -> dict[int, tuple[mixture.Mixture, list[float]]]:
     """I14 for several sizes at once, each started from k-means: mixture and log-likelihood of every round."""
     rows = materialised(df.select(key, vector))
-    starts = {k: kmeans(rows, key, k, seed, vector=vector)[0] for k in ks}
+    one = rows.select(key, F.lit(0).alias("cluster"))
+    starts = {k: kmeans(rows, key, k, seed, vector=vector)[0] if k > 1 else one for k in ks}
     return mixture.fit_mixtures(rows, key, starts, vector)
 
 

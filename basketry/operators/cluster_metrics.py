@@ -120,9 +120,9 @@ def silhouette_points(points: DataFrame, labels: DataFrame, key: str, cluster: s
     sizes, names = np.array([r["n"] for r in clusters], float), [r[cluster] for r in clusters]
     run_of = np.array([runs.index(r[by]) for r in clusters])
     coded = spark.createDataFrame(
-        [(r[by], r[cluster], i, int(run_of[i])) for i, r in enumerate(clusters)], f"{by} {kinds[by]}, {cluster} {kinds[cluster]}, code int, run int"
+        [(r[by], r[cluster], i, int(run_of[i])) for i, r in enumerate(clusters)], f"{by} {kinds[by]}, {cluster} {kinds[cluster]}, code__ int, run__ int"
     )
-    of_run = F.map_from_entries(F.collect_list(F.struct("run", "code")))
+    of_run = F.map_from_entries(F.collect_list(F.struct("run__", "code__")))
     codes = labels.join(coded, [by, cluster]).groupBy(key).agg(of_run.alias("of_run"))
     in_order = F.transform(F.sequence(F.lit(0), F.lit(len(runs) - 1)), lambda i: F.coalesce(F.col("of_run")[i], F.lit(-1)))
     labelled = materialised(points.select(key, vector).join(codes.select(key, in_order.alias("codes")), key))

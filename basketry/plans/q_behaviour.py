@@ -58,7 +58,7 @@ def p05(spark, d):
         "tx ar",
         """SELECT customer_id, round(weekend_ratio, 6) AS weekend_ratio, (SELECT min(q) FROM qs WHERE qs.customer_id = c.customer_id AND qs.n = qs.best) AS peak_quarter,
  (SELECT min(m) FROM ms WHERE ms.customer_id = c.customer_id AND ms.n = ms.best) AS peak_month, round(items_per_day, 6) AS items_per_day, most_items,
- round(spend_per_day, 4) AS spend_per_day, round(cross_category_ratio, 6) AS cross_category_ratio FROM c JOIN b USING (customer_id)""",
+ round(spend_per_day, 8) AS spend_per_day, round(cross_category_ratio, 6) AS cross_category_ratio FROM c JOIN b USING (customer_id)""",
         """t AS (SELECT tx.*, product_group_name FROM tx LEFT JOIN ar USING (article_id)),
 c AS (SELECT customer_id, count(*) FILTER (dayofweek(t_dat) IN (0, 6)) / count(*) AS weekend_ratio FROM t GROUP BY customer_id),
 day AS (SELECT customer_id, t_dat, count(*) AS n, sum(price) AS spend, count(DISTINCT product_group_name) AS k FROM t GROUP BY ALL),
@@ -71,7 +71,7 @@ ms AS (SELECT *, max(n) OVER (PARTITION BY customer_id) AS best FROM (SELECT cus
 def p06(spark, d):
     out = behaviour.basket_features(views.transactions(spark, d), views.articles(spark, d))
     out = rounded(out, ["weekend_ratio", "items_per_day", "cross_category_ratio"])
-    return rounded(out, ["spend_per_day"], 4)
+    return rounded(out, ["spend_per_day"], 8)
 
 
 @query(
