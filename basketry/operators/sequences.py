@@ -80,16 +80,29 @@ def price_bands(df: DataFrame, n_bins: int = 10, by_distinct: bool = False, pric
     """E5: band of every row by dense rank of its price over the number of rows.
 
     As published the divisor is the row count, so repeated prices crowd into the low bands;
-    ``by_distinct`` divides by the number of distinct prices.
+    ``by_distinct`` divides by the number of distinct prices.  Bands rise with the price, so the lowest price of each,
+    at most ``n_bins`` numbers, tells the band of every row where it is read.
     """
     size = F.col("n_distinct") if by_distinct else df.agg(F.count(price)).scalar()
     band = F.floor(F.greatest(F.least(F.col("dense_rank") / size * n_bins, F.lit(n_bins - 1.0)), F.lit(0.0)))
-    bands = ranks.dense_ranks(df, price).select(F.col("value").alias(price), band.cast("int").alias("price_bin"))
-    return df.join(bands, price, "left")
+    starts = ranks.dense_ranks(df, price).groupBy(band.cast("int").alias("band")).agg(F.min("value").alias("start")).collect()
+    x = F.col(price).cast("double")
+    here = F.when(F.isnan(x), F.lit(None).cast("int"))
+    for r in sorted(starts, key=lambda r: -r["band"]):
+        here = here.when(x >= F.lit(r["start"]), F.lit(r["band"]))
+    return df.withColumn("price_bin", here)
 
 
 def fill_prices(df: DataFrame, key: str = "customer_id", day: str = "t_dat", value: str = "price") -> DataFrame:
-    """Forward, then backward fill within the customer, ordered by day, article, channel and price."""
+    """Forward, then backward fill within the customer, ordered by day, article, channel and price.
+
+    Only customers with a missing price are ordered at all.
+    """
+    rows = df
+    # Written, so that the joins know its size.
+    holes = materialised(rows.filter(F.col(value).isNull()).select(F.col(key).alias("hole")).distinct())
+    mine = F.col(key).eqNullSafe(F.col("hole"))
+    complete, df = rows.join(holes, mine, "left_anti"), rows.join(holes, mine, "left_semi")
     order = [F.col("article_id"), F.col("sales_channel_id"), F.col(value).asc_nulls_first()]
     known = F.col(value).isNotNull()
     position = F.struct("article_id", "sales_channel_id", value)
@@ -108,7 +121,7 @@ def fill_prices(df: DataFrame, key: str = "customer_id", day: str = "t_dat", val
     forward = F.last(value, True).over(same_day.rowsBetween(Window.unboundedPreceding, 0))
     backward = F.first(value, True).over(same_day.rowsBetween(0, Window.unboundedFollowing))
     filled = df.withColumns({"f": forward, "b": backward}).join(carried, [key, day], "left")
-    return filled.withColumn(value, F.coalesce("f", "before", "b", "after")).select(*df.columns)
+    return complete.unionByName(filled.withColumn(value, F.coalesce("f", "before", "b", "after")).select(*rows.columns))
 
 
 def customer_bands(df: DataFrame, n_bins: int = 10) -> DataFrame:

@@ -35,9 +35,12 @@ def light_clean(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn(text, letters_only(F.col(text)))
 
 
-def words(text: Column, extra_stop_words: Sequence[str] = ()) -> Column:
-    """H2: lower-case alphabetic words of two letters or more that are not stop words, in order."""
-    stop = F.array(*[F.lit(w) for w in (*STOP_WORDS, SENTINEL, *[w.lower() for w in extra_stop_words])])
+def words(text: Column, extra_stop_words: Sequence[str] = (), stop_words: Sequence[str] = STOP_WORDS) -> Column:
+    """H2: lower-case alphabetic words of two letters or more that are not stop words, in order.
+
+    ``stop_words`` takes the place of the English list; the sentinel of missing texts is always left out.
+    """
+    stop = F.array(*[F.lit(w.lower()) for w in (*stop_words, SENTINEL, *extra_stop_words)])
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{M}]+)"), 1)
     return F.filter(found, lambda w: (F.length(w) >= 2) & ~F.array_contains(stop, w))
 

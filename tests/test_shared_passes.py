@@ -207,3 +207,9 @@ def test_terms_are_counted_in_chunks(spark, monkeypatch):
     weights = text.tfidf(df, "id", "t", vocab, 64).groupBy("id").agg(F.sum(F.col("weight") * F.col("weight")).alias("n")).collect()
     assert weights and all(r["n"] == pytest.approx(1) for r in weights)
     assert text.tfidf(df, "id", "t", vocab.limit(0), 64).count() == 0
+
+
+def test_a_callers_stop_words_replace_the_list(spark):
+    df = spark.createDataFrame([("The red Shirt and no_description a",)], "t string")
+    rows = df.select(text.words(F.col("t")).alias("a"), text.words(F.col("t"), (), ["RED"]).alias("b"), text.words(F.col("t"), ["shirt"]).alias("c")).first()
+    assert rows["a"] == ["red", "shirt", "description"] and rows["b"] == ["the", "shirt", "and", "no", "description"] and rows["c"] == ["red", "description"]
