@@ -2,9 +2,9 @@
 
 Only the histogram of piece lengths (one count per length up to the capacity) reaches the driver. There the program
 "cover all pieces with as few patterns as possible" is solved by multiplicative weights: a length's price falls as it
-gets covered, and a knapsack over the capacity prices the next pattern. The fractional solution is scaled back to what
-there is and rounded down; what rounding leaves is filled best-fit, in counts too. Tasks then give each piece its slot
-by its rank among the pieces of its length.
+gets covered, and a knapsack over the capacity prices the next patterns. The fractional solution is rounded to whole
+copies and the program solved anew for what is left; when rounding places nothing more, the rest is filled best-fit, in
+counts too. Tasks then give each piece its slot by its rank among the pieces of its length.
 """
 
 from __future__ import annotations
@@ -157,8 +157,8 @@ def _pieces(path: str, capacity: int, with_ids: bool):
     return step
 
 
-def best_pattern(value: np.ndarray) -> np.ndarray:
-    """Lengths (each any number of times) of the greatest total value within the capacity, by dynamic programming."""
+def knapsack(value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every room up to the capacity the greatest total value of lengths, and the length to take first."""
     capacity = len(value) - 1
     best = np.zeros(capacity + 1)
     choice = np.zeros(capacity + 1, np.int64)
@@ -169,58 +169,100 @@ def best_pattern(value: np.ndarray) -> np.ndarray:
             best[c], choice[c] = total[k], k + 1
         else:
             best[c] = best[c - 1]
-    picked, c = [], capacity
-    while c > 0:
-        if choice[c]:
-            picked.append(choice[c])
-            c -= choice[c]
+    return best, choice
+
+
+def filling(choice: np.ndarray, room: int) -> list[int]:
+    """The lengths the knapsack takes for a room."""
+    picked = []
+    while room > 0:
+        if choice[room]:
+            picked.append(int(choice[room]))
+            room -= picked[-1]
         else:
-            c -= 1
-    return np.bincount(picked, minlength=capacity + 1) if picked else np.zeros(capacity + 1, np.int64)
+            room -= 1
+    return picked
 
 
-def fractional(counts: np.ndarray, rounds: int, step: float = 0.25, sharp: float = 3.0) -> list[tuple[np.ndarray, float]]:
-    """Patterns and fractional copies of the configuration program, by multiplicative weights."""
-    have = counts > 0
-    covered = np.zeros(len(counts))
-    found: dict[bytes, list] = {}
-    sizes = np.arange(len(counts))
-    for _ in range(rounds):
-        share = np.where(have, covered / np.maximum(counts, 1), 0)
-        if not have.any() or share[have].min() >= 1:
-            break
-        # A length is worth its tokens, and less the more of it is covered.
-        pattern = best_pattern(np.where(have, sizes * np.exp(-sharp * share), 0))
-        used = pattern > 0
-        if not used.any():
-            break
-        amount = step * (counts[used] / pattern[used]).min()
-        covered += pattern * amount
-        entry = found.setdefault(pattern.astype(np.int32).tobytes(), [pattern, 0.0])
-        entry[1] += amount
-    return [(p, x) for p, x in found.values()]
+def best_pattern(value: np.ndarray) -> np.ndarray:
+    """Lengths (each any number of times) of the greatest total value within the capacity, by dynamic programming."""
+    return np.bincount(filling(knapsack(value)[1], len(value) - 1), minlength=len(value))
 
 
-def plan(counts: np.ndarray, rounds: int = 300) -> list[tuple[np.ndarray, int]]:
-    """Patterns (copies of each length) and how often each is used; together they hold exactly ``counts``."""
+#: A pattern as its lengths and how often it holds each.
+Pattern = tuple[tuple[int, ...], tuple[int, ...]]
+
+
+def fractional(counts: np.ndarray, rounds: int, step: float = 0.25, sharp: float = 1.0, bulk: float = 0.5) -> dict[Pattern, float]:
+    """Patterns and fractional copies of the configuration program, by multiplicative weights.
+
+    A length's price starts near its tokens (the dual prices of a program that meets the token bound; long pieces, which
+    fit with less, a little above) and falls by a factor with the share of it that is covered. One knapsack prices the
+    best pattern *around every length* at once, so a round raises each length at most once, and most of them. It ends
+    when every length is covered, or after ``rounds``.
+    """
+    capacity = len(counts) - 1
+    have = np.flatnonzero(counts)
+    # Prices differ in the fifth digit, so that equal fills give mixed patterns in place of the shortest length's.
+    start = np.zeros(capacity + 1)
+    start[have] = have * (1 + bulk * have / capacity) * (1 + 1e-4 * np.random.default_rng(0).random(capacity + 1)[have])
+    share = np.zeros(capacity + 1)
+    found: dict[Pattern, float] = {}
+    for _ in range(rounds):
+        uncovered = have[share[have] < 1 - 1e-9]
+        if not len(uncovered):
+            break
+        price = start * np.exp(-sharp * share)
+        best, choice = knapsack(price)
+        worth = price[uncovered] + best[capacity - uncovered]
+        raised = np.zeros(capacity + 1, bool)
+        for length in uncovered[np.argsort(-worth, kind="stable")].tolist():
+            pieces = [] if raised[length] else [length, *filling(choice, capacity - length)]
+            if not pieces or raised[pieces].any():
+                continue
+            lengths, times = np.unique(pieces, return_counts=True)
+            times = np.minimum(times, counts[lengths])
+            amount = step * float((counts[lengths] / times).min())
+            raised[lengths] = True
+            share[lengths] += times * amount / counts[lengths]
+            key = (tuple(lengths.tolist()), tuple(times.tolist()))
+            found[key] = found.get(key, 0.0) + amount
+    return found
+
+
+def programmed(counts: np.ndarray, rounds: int) -> tuple[list[tuple[np.ndarray, int]], np.ndarray]:
+    """What the program places, and the counts it leaves.
+
+    A solution is rounded to whole copies, full patterns only, as far as there are pieces; the program is then solved
+    anew for the rest, until rounding places nothing more.
+    """
     left = counts.astype(np.int64).copy()
     capacity = len(counts) - 1
     result: list[tuple[np.ndarray, int]] = []
-    if left[capacity]:
-        full = np.zeros(capacity + 1, np.int64)
-        full[capacity] = 1
-        result.append((full, int(left[capacity])))
-        left[capacity] = 0
-    solution = fractional(left, rounds)
-    load = sum((p * x for p, x in solution), np.zeros(capacity + 1))
-    fit = np.where(load > left, left / np.maximum(load, 1e-12), 1.0)
-    for pattern, x in solution:
-        copies = int(x * fit[pattern > 0].min())
-        if copies:
-            result.append((pattern, copies))
-            left = left - pattern * copies
+    placed = True
+    while placed and left.any():
+        placed = False
+        solution = fractional(left, rounds).items()
+        # Long pieces first, which few patterns can take; then what the program uses most.
+        for (lengths, times), amount in sorted(solution, key=lambda e: (-e[0][0][-1], -e[1], e[0])):
+            at, n = np.array(lengths), np.array(times)
+            copies = min(max(1, round(amount)), int((left[at] // n).min()))
+            if copies and (at * n).sum() == capacity:
+                pattern = np.zeros(capacity + 1, np.int32)
+                pattern[at] = n
+                result.append((pattern, copies))
+                left[at] -= n * copies
+                placed = True
+    return result, left
+
+
+def best_fit(counts: np.ndarray) -> list[tuple[np.ndarray, int]]:
+    """Patterns that place all pieces, each sequence taking the longest that fits again and again."""
+    left = counts.copy()
+    capacity = len(counts) - 1
+    result: list[tuple[np.ndarray, int]] = []
     while left.any():
-        pattern = np.zeros(capacity + 1, np.int64)
+        pattern = np.zeros(capacity + 1, np.int32)
         gap = capacity
         while True:
             fits = np.flatnonzero((left[: gap + 1] - pattern[: gap + 1]) > 0)
@@ -231,10 +273,16 @@ def plan(counts: np.ndarray, rounds: int = 300) -> list[tuple[np.ndarray, int]]:
         used = pattern > 0
         copies = int((left[used] // pattern[used]).min())
         result.append((pattern, copies))
-        left = left - pattern * copies
+        left[used] -= pattern[used].astype(np.int64) * copies
     return result
 
 
+def plan(counts: np.ndarray, rounds: int = 80) -> list[tuple[np.ndarray, int]]:
+    """Patterns (copies of each length) and how often each is used; together they hold exactly ``counts``."""
+    patterns, left = programmed(counts, rounds)
+    return patterns + best_fit(left)
+
+
 def slots(patterns: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, ...]:
     """For each length its runs of slots: length, first rank, first sequence and offset, sorted by length and rank."""
     rows = []

@@ -39,6 +39,22 @@ def test_plan_of_three_awkward_lengths():
     assert sum(n for _, n in packing.plan(np.bincount(lengths, minlength=2049))) <= 1.05 * 1006
 
 
+def test_program_places_most_pieces():
+    """Some thousand pieces of over a thousand lengths: the program, not the best fit after it, places nine in ten."""
+    rng = np.random.default_rng(7)
+    counts = np.bincount(np.clip(rng.gamma(2.0, 320, 10_000).astype(int), 20, 2047), minlength=2049)
+    patterns, left = packing.programmed(counts, rounds=80)
+    held = sum((p.astype(np.int64) * n for p, n in patterns), np.zeros(2049, np.int64))
+    assert (held + left == counts).all() and left.sum() < 0.1 * counts.sum()
+    assert sum(n for _, n in packing.plan(counts)) <= -(-int((counts * np.arange(2049)).sum()) // 2048) + 2
+
+
+def test_every_length_gets_covered():
+    counts = np.bincount([900] * 40 + [1148] * 40 + [300] * 7 + [1748] * 7 + [13], minlength=2049)
+    cover = sum((np.bincount(np.repeat(u, t), minlength=2049) * x for (u, t), x in packing.fractional(counts, 200).items()), np.zeros(2049))
+    assert (cover[counts > 0] >= counts[counts > 0] * (1 - 1e-9)).all()
+
+
 def test_knapsack_is_optimal():
     value = np.zeros(51)
     value[[7, 11, 13]] = [7.5, 11.2, 14.1]
