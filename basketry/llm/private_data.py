@@ -2,8 +2,8 @@
 
 Strict patterns find the seeds: mail addresses, IP addresses, card and phone numbers. Every token with a digit or an @
 is a candidate, and so is every row of digit groups joined by single spaces and every seed that spans spaces; what stands
-around it (the words before, the word behind, a label inside) are its patterns. Spark scores the graph of patterns and candidate values in rounds: a pattern is trusted by the share of its values that are
-known, a value by the patterns it stands in. Values of a fitting form in trusted patterns are found to be of the
+around it (the words before, the word behind, a label inside) are its patterns. Spark scores the graph of patterns and
+candidate values in rounds: a pattern is trusted by the share of its values that are known, a value by the patterns it stands in. Values of a fitting form in trusted patterns are found to be of the
 seeds' kind and join the known ones for the next round.
 """
 
@@ -33,6 +33,8 @@ FIRST, INNER, LAST = rf"^{LEAD}[\"'(<\[]*\+?{GROUP}$", rf"^{GROUP}$", rf"^{GROUP
 # Digits of a card or phone number: other groups are not joined.
 LEAST_DIGITS, MOST_DIGITS = 8, 19
 SPAN = "array<struct<kind:string,rank:int,start:int,stop:int,base:boolean>>"
+#: Elements of an array that are worked on together: what a step costs within a text.
+BLOCK = 256
 CANDIDATE = "array<struct<value:string,start:int,stop:int,patterns:array<string>,joined:boolean>>"
 SEED = "array<struct<kind:string,rank:int,start:int,stop:int,base:boolean,value:string,patterns:array<string>>>"
 
@@ -63,32 +65,60 @@ def holds(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def placed(text: Column, pattern: str, make) -> Column:
-    """``make(before, match, after, start)`` of every leftmost non-overlapping match; null results are left out.
+def blocks(values: Column, use) -> Column:
+    """``use(block, b)`` of consecutive blocks of an array; its results, one array for each block, in a row."""
+    count = F.greatest(F.ceil(F.size(values) / BLOCK).cast("int"), F.lit(1))
+    return F.flatten(F.transform(F.sequence(F.lit(0), count - 1), lambda b: use(F.slice(values, b * BLOCK + 1, BLOCK), b)))
+
+
+def running(values: Column, add) -> Column:
+    """For each element of an array of numbers the fold, from 0, of those before it.
+
+    Blocks are folded first, so an element costs half a block and a block the blocks before it; no array grows.
+    """
+    zero = F.lit(0)
+
+    def folded(values: Column) -> Column:
+        def inner(totals: Column) -> Column:
+            def of_block(block: Column, b: Column) -> Column:
+                earlier = F.aggregate(F.slice(totals, 1, b), zero, add)
+                return let(earlier, lambda first: F.transform(block, lambda _, k: F.aggregate(F.slice(block, 1, k), first, add)))
+
+            return blocks(values, of_block)
+
+        return let(blocks(values, lambda block, b: F.array(F.aggregate(block, zero, add))), inner)
+
+    return let(values, folded)
+
+
+def matched(text: Column, pattern: str, use) -> Column:
+    """``use(pieces, matches, starts)`` of the leftmost non-overlapping matches, the texts around them and their places.
 
     The texts between matches give the positions (code points), so a text is scanned twice and never by position.
     """
-    kind = make(F.lit(""), F.lit(""), F.lit(""), F.lit(0))
 
-    def walk(pieces: Column) -> Column:
-        def inner(matches: Column) -> Column:
-            start = F.struct(F.lit(0).alias("at"), F.filter(F.array(kind), lambda x: F.lit(False)).alias("out"))
+    def with_pieces(pieces: Column) -> Column:
+        def with_matches(matches: Column) -> Column:
+            steps = F.transform(matches, lambda m, i: F.length(F.get(pieces, i)) + F.length(m))
 
-            def add(acc: Column, i: Column) -> Column:
-                here = acc["at"] + F.length(F.get(pieces, i))
-                found = make(F.get(pieces, i), F.get(matches, i), F.get(pieces, i + 1), here)
-                return F.struct(
-                    (here + F.length(F.get(matches, i))).alias("at"),
-                    F.concat(acc["out"], F.filter(F.array(found), lambda x: x.isNotNull())).alias("out"),
-                )
+            def with_ends(before: Column) -> Column:
+                starts = F.transform(before, lambda at, i: at + F.length(F.get(pieces, i)))
+                return let(starts, lambda starts: use(pieces, matches, starts))
+
+            return let(running(steps, lambda x, y: x + y), with_ends)
 
-            return F.when(F.size(matches) == 0, F.filter(F.array(kind), lambda x: F.lit(False))).otherwise(
-                F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, add, lambda acc: acc["out"])
-            )
+        return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), with_matches)
 
-        return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), inner)
+    return let(F.split(text, pattern, -1), with_pieces)
 
-    return let(F.split(text, pattern, -1), walk)
+
+def placed(text: Column, pattern: str, make) -> Column:
+    """``make(before, match, after, start)`` of every leftmost non-overlapping match; null results are left out."""
+
+    def use(pieces: Column, matches: Column, starts: Column) -> Column:
+        return F.transform(matches, lambda m, i: make(F.get(pieces, i), m, F.get(pieces, i + 1), F.get(starts, i)))
+
+    return F.filter(matched(text, pattern, use), lambda x: x.isNotNull())
 
 
 def around(before: Column, lead: Column, after: Column) -> Column:
@@ -189,33 +219,19 @@ def candidates(text: Column) -> Column:
         rows = F.when(follows(F.lit(1)) & match.rlike(FIRST), rows).otherwise(none)
         return F.filter(F.concat(rows, single), lambda x: x.isNotNull())
 
-    def walk(pieces: Column) -> Column:
-        def marked(found: Column, reach: Column) -> Column:
-            return F.transform(found, lambda c, k: c.withField("whole", (k == 0) & (c["stop"] > reach)))
-
-        def inner(matches: Column) -> Column:
-            none = marked(F.array().cast(CANDIDATE), F.lit(0))
-            start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("reach"), none.alias("out"))
-
-            def add(acc: Column, i: Column) -> Column:
-                here = acc["at"] + F.length(F.get(pieces, i))
-
-                def extended(found: Column) -> Column:
-                    return F.struct(
-                        (here + F.length(F.get(matches, i))).alias("at"),
-                        F.greatest(acc["reach"], F.coalesce(F.get(found, F.lit(0))["stop"], F.lit(0))).alias("reach"),
-                        F.concat(acc["out"], marked(found, acc["reach"])).alias("out"),
-                    )
+    def use(pieces: Column, matches: Column, starts: Column) -> Column:
+        def marked(found: Column) -> Column:
+            def whole(here: Column, i: Column) -> Column:
+                # A row of groups ends within this many tokens: no earlier one reaches further.
+                near = F.slice(found, F.greatest(i - MOST_DIGITS, F.lit(0)) + 1, F.least(i, F.lit(MOST_DIGITS)))
+                reach = F.coalesce(F.array_max(F.transform(near, lambda f: F.get(f, F.lit(0))["stop"])), F.lit(0))
+                return let(reach, lambda r: F.transform(here, lambda c, k: c.withField("whole", (k == 0) & (c["stop"] > r))))
 
-                return let(at_token(pieces, matches, i, here), extended)
+            return F.flatten(F.transform(found, whole))
 
-            return F.when(F.size(matches) == 0, none).otherwise(
-                F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, add, lambda acc: acc["out"])
-            )
+        return let(F.transform(matches, lambda m, i: at_token(pieces, matches, i, F.get(starts, i))), marked)
 
-        return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), inner)
-
-    return let(F.split(text, TOKEN, -1), walk)
+    return matched(text, TOKEN, use)
 
 
 def fits(kind: str, value: Column) -> Column:
@@ -290,7 +306,7 @@ def find_private(docs: DataFrame, keep: list[str] | None = None, rounds: int = 3
     )
 
     # A seed that spans spaces is one candidate in place of its tokens; no row of groups crosses a seed.
-    def against_seeds(t: Column) -> Column:
+    def against_seeds(t: Column, near: Column) -> Column:
         def kept(over: Column) -> Column:
             known = F.get(over, F.lit(0))["kind"]
             return F.struct(
@@ -298,14 +314,21 @@ def find_private(docs: DataFrame, keep: list[str] | None = None, rounds: int = 3
                 ((F.size(over) == 0) | ~(t["joined"] | F.exists(over, lambda s: s["value"].isNotNull()))).alias("stays"),
             )
 
-        return let(F.filter("seeds", lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"])), kept)
+        return let(F.filter(near, lambda s: (s["start"] < t["stop"]) & (s["stop"] > t["start"])), kept)
+
+    def of_block(block: Column, _: Column) -> Column:
+        """Tokens of a block look only at the seeds that touch the block."""
+        first, last = F.array_min(F.transform(block, lambda t: t["start"])), F.array_max(F.transform(block, lambda t: t["stop"]))
+        ends = F.struct(first.alias("first"), last.alias("last"))
+        near = let(ends, lambda e: F.filter("seeds", lambda s: (s["start"] < e["last"]) & (s["stop"] > e["first"])))
+        return let(near, lambda near: F.transform(block, lambda t: against_seeds(t, near)))
 
     def as_candidate(s: Column) -> Column:
         true = F.lit(True)
         return F.struct(*[s[c].alias(c) for c in ("value", "start", "stop", "patterns")], true.alias("whole"), s["kind"].alias("known"), true.alias("stays"))
 
     spaced = F.transform(F.filter("seeds", lambda s: s["value"].isNotNull()), as_candidate)
-    tokens = rows.select("place", F.explode(F.concat(F.transform("tokens", against_seeds), spaced)).alias("t")).select("place", "t.*").where("stays")
+    tokens = rows.select("place", F.explode(F.concat(blocks(F.col("tokens"), of_block), spaced)).alias("t")).select("place", "t.*").where("stays")
     new = discovered(tokens.select("value", "known", "whole", "patterns"), rounds, trust, support)
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     # Of found values one within another the longest is kept.
@@ -326,16 +349,27 @@ def find_private(docs: DataFrame, keep: list[str] | None = None, rounds: int = 3
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; overlapping spans become one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def add(acc: Column, s: Column) -> Column:
-        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(acc["at"], s["stop"]).alias("at"), F.when(s["start"] >= acc["at"], piece).otherwise(acc["out"]).alias("out"))
+    def use(reach: Column) -> Column:
+        ends = F.transform(spans, lambda s, i: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), F.get(reach, i).alias("reach")))
+
+        def of_block(block: Column, _: Column) -> Column:
+            first, last = F.get(block, F.lit(0))["reach"], F.get(block, F.size(block) - 1)["start"]
+
+            # Positions are found in the block's part of the text, not in all of it.
+            def cut(part: Column) -> Column:
+                def one(s: Column) -> Column:
+                    clear = F.substring(part, s["reach"] - first + 1, s["start"] - s["reach"])
+                    return F.when(s["start"] >= s["reach"], F.concat(clear, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
+
+                return F.transform(block, one)
+
+            return let(F.substring(text, first + 1, F.greatest(last - first, F.lit(0))), cut)
+
+        tail = F.substring(text, F.array_max(F.transform(spans, lambda s: s["stop"])) + 1, F.length(text))
+        return F.concat(F.concat_ws("", let(ends, lambda e: blocks(e, of_block))), tail)
 
-    return F.when(
-        F.size(spans) > 0,
-        F.aggregate(spans, start, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))),
-    ).otherwise(text)
+    return F.when(F.size(spans) > 0, let(running(F.transform(spans, lambda s: s["stop"]), lambda x, y: F.greatest(x, y)), use)).otherwise(text)
 
 
 def op7_private_data(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -221,6 +222,38 @@ def test_private_seeds(spark, docs, rows, empty):
     assert find_private(docs).count() == len(rows) and find_private(empty).count() == 0
 
 
+def test_private_data_in_a_text_of_many_numbers(spark):
+    """100,000 number tokens in one text, an address or phone number among each hundred: time follows the tokens."""
+    words = [f"{i * 7919 % 100003:05d}" for i in range(100_000)]
+    for i in range(0, 100_000, 100):
+        words[i] = f"call +1 (017) 555-{i // 100:04d}" if i % 200 else f"u{i}@example.org"
+    text = "\n".join(words)
+    frame = spark.createDataFrame([(1, text), (2, "é " * 300 + "a@b.org")], "doc_id bigint, text string")
+    began = time.monotonic()
+    out = {r.doc_id: r for r in find_private(frame).select("row.doc_id", spelled(F.col("spans")).alias("s"), redacted(F.col("row.text"), F.col("spans")).alias("t")).collect()}
+    assert time.monotonic() - began < 60
+    assert out[1].s == seeds(text) and out[2].s == "email:600:607" and out[2].t == "é " * 300 + "[EMAIL]"
+    plain, at = [], 0
+    for span in out[1].s.split(","):
+        kind, start, stop = span.split(":")
+        plain += [text[at : int(start)], f"[{kind.upper()}]"]
+        at = int(stop)
+    assert out[1].t == "".join(plain) + text[at:]
+
+
+def test_redaction_of_overlapping_spans(spark):
+    """More spans than a block, some inside others, against one pass over the text."""
+    text = "".join(chr(97 + i % 26) for i in range(4000))
+    spans = sorted((i * 5, i * 5 + (23 if i % 40 == 0 else 3), "card" if i % 3 else "ip") for i in range(700))
+    wanted, at = "", 0
+    for start, stop, kind in spans:
+        if start >= at:
+            wanted += text[at:start] + f"[{kind.upper()}]"
+        at = max(at, stop)
+    frame = spark.createDataFrame([(text, [(k, a, b) for a, b, k in spans])], "t string, spans array<struct<kind:string,start:int,stop:int>>")
+    assert frame.select(redacted(F.col("t"), F.col("spans"))).first()[0] == wanted + text[at:]
+
+
 def test_private_contexts(spark):
     """Card numbers with a typing error stand where proper ones do; numbers in other places stay."""
     cards = ["4111111111111111", "4242424242424242", "5555555555554444", "378282246310005", "6011111111111117", "30569309025904"]
