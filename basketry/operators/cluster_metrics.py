@@ -20,6 +20,8 @@ from basketry.sources.tables import random_sample
 #: Points in a block; every block meets every other, so each vector travels once per BLOCK points. With many clusters
 #: a block has fewer points, so that its table of points by clusters has BLOCK_FIELDS fields at most.
 BLOCK, BLOCK_FIELDS = 8192, 1 << 22
+#: Points of a line scored in one task.
+RANGE = 1 << 16
 
 
 def pairwise(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", p: float = 2.0) -> np.ndarray:
@@ -100,12 +102,67 @@ def silhouettes(
     return values.groupBy(by).agg(F.avg("silhouette").alias("silhouette"))
 
 
+def _line_scores(rows: DataFrame, n_points: int, sizes: np.ndarray, run_of: np.ndarray) -> DataFrame:
+    """``rows`` (``x__``, a number, and the ``codes`` of the point's clusters) with ``scores``, a silhouette per run.
+
+    On a line the distances to a cluster follow from counts and sums of what lies below a point.  Points equal in
+    number and clusters are scored once; ranges of numbers are scored apart, knowing what each cluster has below them.
+    """
+    width, runs = len(sizes), int(run_of.max()) + 1
+    merged = materialised(rows.groupBy("x__", "codes").agg(F.count(F.lit(1)).alias("w__")))
+    n_ranges = -(-n_points // RANGE)
+    cuts = merged.approxQuantile("x__", [i / n_ranges for i in range(1, n_ranges)], 0.1 / n_ranges) if n_ranges > 1 else []
+    cuts = sorted(set(cuts))
+    at = F.size(F.filter(F.lit(cuts), lambda cut: cut <= F.col("x__"))) if cuts else F.lit(0)
+    cells = merged.select("x__", "w__", at.alias("range"), F.explode("codes").alias("code")).filter("code >= 0")
+    # Sums run from the least number of each cluster, so that they keep their digits.
+    ends = {r["code"]: r for r in cells.groupBy("code").agg(F.min("x__").alias("low"), F.max("x__").alias("high")).collect()}
+    usable = np.array([bool(np.isfinite([ends[c]["low"], ends[c]["high"]]).all()) for c in range(width)])
+    low = np.array([ends[c]["low"] if usable[c] else 0.0 for c in range(width)])
+    gap = F.when(F.isnan("x__"), 0.0).otherwise(F.col("x__") - F.lit(low.tolist())[F.col("code")])
+    counts, sums = np.zeros((len(cuts) + 2, width)), np.zeros((len(cuts) + 2, width))
+    for r in cells.groupBy("range", "code").agg(F.sum("w__").alias("n"), F.sum(F.col("w__") * gap).alias("s")).collect():
+        counts[r["range"] + 1, r["code"]], sums[r["range"] + 1, r["code"]] = r["n"], r["s"]
+    shared = rows.sparkSession.sparkContext.broadcast((counts.cumsum(0), sums.cumsum(0)))
+
+    def score(group: pa.Table) -> pa.Table:
+        below, total = (t[group.column("range")[0].as_py()] for t in shared.value)
+        all_sums = shared.value[1][-1]
+        x, w = (np.asarray(group.column(c).combine_chunks()) for c in ("x__", "w__"))
+        codes = np.asarray(group.column("codes").combine_chunks().flatten()).reshape(-1, runs)
+        order = np.argsort(x, kind="stable")
+        value = np.full((len(x), runs), np.nan)
+        for t in range(runs):
+            mine, own = np.flatnonzero(run_of == t), codes[:, t]
+            if len(mine) < 2:
+                continue
+            inner, outer = np.zeros(len(x)), np.full(len(x), np.inf)
+            for c in mine:
+                held = order[own[order] == c]
+                place = np.searchsorted(x[held], x, side="right")
+                n = below[c] + np.concatenate([[0], np.cumsum(w[held])])[place]
+                s = total[c] + np.concatenate([[0.0], np.cumsum(w[held] * (x[held] - low[c]))])[place]
+                far = np.maximum((x - low[c]) * (2 * n - sizes[c]) + all_sums[c] - 2 * s, 0) if usable[c] else np.full(len(x), np.nan)
+                inner = np.where(own == c, far / max(sizes[c] - 1, 1), inner)
+                outer = np.where(own == c, outer, np.minimum(outer, far / sizes[c]))
+            score = (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300)
+            value[:, t] = np.where(sizes[own] > 1, score, 0.0)
+        several = np.bincount(run_of, minlength=runs) > 1
+        scores = pa.array(value.ravel(), pa.float64(), mask=~np.tile(several, len(x)))
+        offsets = np.arange(0, len(x) * runs + 1, runs, dtype=np.int32)
+        return pa.table({"x__": group.column("x__"), "codes": group.column("codes"), "scores": pa.ListArray.from_arrays(offsets, scores)})
+
+    scored = merged.withColumn("range", at).groupBy("range").applyInArrow(score, "x__ double, codes array<int>, scores array<double>")
+    return rows.join(scored, ["x__", "codes"])
+
+
 def silhouette_points(points: DataFrame, labels: DataFrame, key: str, cluster: str, by: str, vector: str = "vector") -> DataFrame:
     """``(by, key, cluster, silhouette)`` of every point under several labellings ``(by, key, cluster)`` at once.
 
     Blocks of packed vectors meet once per pair, whatever the number of labellings, and give each block one table of
     distance sums (points by clusters); the tables of a block are added up as they stream by.  A vector travels
-    once per BLOCK points.  The clusters of all labellings, with their sizes, are known to every task.
+    once per BLOCK points.  The clusters of all labellings, with their sizes, are known to every task.  Vectors of one
+    number are scored from running counts and sums, without pairs.
     """
     spark = points.sparkSession
     labels = labels.filter(F.col(cluster).isNotNull())
@@ -126,7 +183,15 @@ def silhouette_points(points: DataFrame, labels: DataFrame, key: str, cluster: s
     codes = labels.join(coded, [by, cluster]).groupBy(key).agg(of_run.alias("of_run"))
     in_order = F.transform(F.sequence(F.lit(0), F.lit(len(runs) - 1)), lambda i: F.coalesce(F.col("of_run")[i], F.lit(-1)))
     labelled = materialised(points.select(key, vector).join(codes.select(key, in_order.alias("codes")), key))
-    width, n_points = len(clusters), labelled.count()
+    width = len(clusters)
+    n_points, low, high = labelled.agg(F.count(F.lit(1)), F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if low == high == 1:
+        placed = labelled.withColumn("x__", F.coalesce(F.col(vector)[0].cast("double"), F.lit(float("nan"))))
+        found = _line_scores(placed.select(key, "x__", "codes"), n_points, sizes, run_of).select(
+            key, F.posexplode(F.arrays_zip("codes", "scores")).alias("run__", "cell")
+        )
+        found = found.select(key, "run__", F.col("cell.codes").alias("code__"), F.col("cell.scores").alias("silhouette"))
+        return found.join(coded, ["run__", "code__"]).select(by, key, cluster, "silhouette")
     n_blocks = max(1, -(-n_points // min(BLOCK, max(256, BLOCK_FIELDS // width))))
 
     def pack(rows):

@@ -107,6 +107,33 @@ def test_silhouettes_of_several_labellings(spark, monkeypatch, block):
         assert got[k] == (None if s is None else pytest.approx(s, abs=1e-9))
 
 
+def test_silhouettes_on_a_line_need_no_pairs(spark, monkeypatch):
+    """Vectors of one number meet no blocks; equal and distant numbers, several ranges and a missing number are scored alike."""
+    monkeypatch.setattr(cluster_metrics, "RANGE", 50)
+    monkeypatch.setattr(cluster_metrics, "pairwise", None)
+    rng = random.Random(8)
+    x = [[rng.choice([5.0, rng.gauss(0, 3), 1e6 + rng.random()])] for _ in range(300)]
+    labellings = {
+        "a": [rng.randrange(3) for _ in x],
+        "b": [int(v[0] > 4) + 2 * int(v[0] > 1e5) for v in x],
+        "same": [int(i % 2) if v[0] == 5.0 else None for i, v in enumerate(x)],
+        "alone": [7 if i == 0 else 1 for i in range(len(x))],
+        "one": [4 for _ in x],
+        "noise": [None if i % 4 else i % 3 for i in range(len(x))],
+    }
+    points = spark.createDataFrame([(f"p{i}", v) for i, v in enumerate(x)], "id string, vector array<double>")
+    labels = spark.createDataFrame([(t, f"p{i}", c) for t, cs in labellings.items() for i, c in enumerate(cs)], "run string, id string, c int")
+    got = {(r["run"], r["id"]): r["silhouette"] for r in cluster_metrics.silhouette_points(points, labels, "id", "c", "run").collect()}
+    assert all(s == 0 for (t, _), s in got.items() if t == "same")
+    want = {(t, f"p{i}"): s for t, cs in labellings.items() if t != "same" for i, s in brute_silhouette(x, cs).items()}
+    assert set(want) == {k for k in got if k[0] != "same"}
+    for k, s in want.items():
+        assert got[k] == (None if s is None else pytest.approx(s, abs=1e-9))
+    gaps = spark.createDataFrame([(1, [None], 0), (2, [1.0], 0), (3, [2.0], 1), (4, [2.5], 1), (5, [9.0], 2)], "id int, vector array<double>, c int")
+    got = {r["id"]: r["silhouette"] for r in cluster_metrics.silhouette_values(gaps, "id", "c").collect()}
+    assert got[5] == 0 and all(math.isnan(got[i]) for i in (1, 2, 3, 4))
+
+
 def test_trials_share_a_pass_and_keys_may_be_text(spark, monkeypatch):
     monkeypatch.setattr(density, "BLOCK", 16)
     rng = random.Random(3)
