@@ -1,6 +1,6 @@
 """Density clustering and neighbour distances on blocks of vectors.
 
-Points meet as blocks: at most a few hundred vectors stacked in one row.  Block pairs are the unit of
+Points meet as blocks: up to some thousand vectors packed in one row.  Block pairs are the unit of
 work, so a crowded region becomes many equal tasks, and a pair of blocks returns counts or a spanning
 forest, never its point pairs; several settings are counted and linked in the same visit.  Which blocks can hold neighbours follows from the triangle inequality:
 two points within eps differ by at most eps in their distance to any fixed pivot, so they lie in the
@@ -15,7 +15,8 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import ranks
@@ -24,8 +25,11 @@ from basketry.operators.segments import label_summary
 from basketry.session import materialised
 from basketry.sources.tables import random_sample, seeded_key
 
-BLOCK = 256
+#: Points in a block, at most and at least (small inputs); distances of two blocks are made STRIP rows at a time.
+BLOCK, SMALLEST, STRIP = 8192, 256, 256
 PIVOTS = 2
+#: Columns packed beside the vectors.
+COLUMNS = {"w": np.int64, "core": np.bool_}
 
 
 def _pivots(points: DataFrame) -> np.ndarray:
@@ -58,60 +62,103 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def _block_size(n: int) -> int:
+    """Points of a block: few blocks, as every vector travels once per block it meets, but enough to keep all tasks busy."""
+    return min(BLOCK, max(SMALLEST, -(-n // 32)))
+
+
+def _packed(points: DataFrame, by: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
+    """One row per group of ``by``: ids as an array, vectors and the named whole-number or boolean columns as bytes."""
+    kinds = {c: points.schema[c].dataType.simpleString() for c in (*by, "pid")}
+
+    def pack(rows: pa.Table) -> pa.Table:
+        packed = {c: np.array(rows.column(c).to_pylist(), dtype=kind).tobytes() for c, kind in (("vector", float), *[(c, COLUMNS[c]) for c in columns])}
+        return pa.table(
+            {c: rows.column(c).slice(0, 1) for c in by}
+            | {"pids": pa.array([rows.column("pid").to_pylist()], pa.list_(rows.schema.field("pid").type))}
+            | {c: pa.array([data], pa.binary()) for c, data in packed.items()}
+        )
+
+    fields = [f"{c} {kinds[c]}" for c in by] + [f"pids array<{kinds['pid']}>"] + [f"{c} binary" for c in ("vector", *columns)]
+    return materialised(points.select(*by, "pid", "vector", *columns).groupBy(*by).applyInArrow(pack, ", ".join(fields)))
+
+
 def _blocks(points: DataFrame, *columns: str) -> DataFrame:
-    """Stack points of a cell into blocks of about BLOCK, whatever the size of the cell."""
-    sizes = points.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
+    """Stack points of a cell into blocks of about equal size, whatever the size of the cell."""
+    size = _block_size(points.count())
+    sizes = points.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
     part = F.pmod(F.xxhash64("pid"), F.col("parts"))
-    return (
-        points.join(sizes, "cell")
-        .groupBy("cell", part.alias("part"))
-        .agg(F.collect_list(F.struct("pid", "vector", *columns)).alias("block"))
-    )
+    return _packed(points.join(sizes, "cell").withColumn("part", part), ["cell", "part"], columns)
+
+
+def _met(pairs: DataFrame, blocks: DataFrame, at: Sequence[str]) -> DataFrame:
+    """Blocks of each pair (``l_`` and ``r_`` columns that name them) side by side."""
+    for side in ("l_", "r_"):
+        pairs = pairs.join(blocks.select([F.col(c).alias(side + c) for c in blocks.columns]), [side + c for c in at])
+    return pairs
 
 
 def _block_pairs(blocks: DataFrame) -> DataFrame:
     """Pairs of blocks in the same or adjacent cells, each once, a block with itself included."""
     shifts = F.array(*[F.array(*[F.lit(s).cast("long") for s in step]) for step in product((-1, 0, 1), repeat=PIVOTS)])
-    moved = F.transform(shifts, lambda s: F.zip_with("cell", s, lambda a, b: a + b))
-    left = blocks.select(
-        F.col("cell").alias("lcell"), F.col("part").alias("lpart"), F.col("block").alias("left"), F.explode(moved).alias("cell")
-    )
-    right = blocks.select("cell", F.col("part").alias("rpart"), F.col("block").alias("right"))
-    ordered = F.struct("lcell", "lpart") <= F.struct(F.col("cell").alias("lcell"), F.col("rpart").alias("lpart"))
-    same = (F.col("lcell") == F.col("cell")) & (F.col("lpart") == F.col("rpart"))
-    return left.join(right, "cell").filter(ordered).select("left", "right", same.alias("same"))
+    moved = F.transform(shifts, lambda s: F.zip_with("l_cell", s, lambda a, b: a + b))
+    left = blocks.select(F.col("cell").alias("l_cell"), F.col("part").alias("l_part")).withColumn("r_cell", F.explode(moved))
+    pairs = left.join(blocks.select(F.col("cell").alias("r_cell"), F.col("part").alias("r_part")), "r_cell")
+    ordered = F.struct(F.col("l_cell").alias("cell"), F.col("l_part").alias("part")) <= F.struct(F.col("r_cell").alias("cell"), F.col("r_part").alias("part"))
+    same = (F.col("l_cell") == F.col("r_cell")) & (F.col("l_part") == F.col("r_part"))
+    # Written, so that the joins know that the names of the pairs are few.
+    return _met(materialised(pairs.filter(ordered).withColumn("same", same)), blocks, ["cell", "part"])
+
+
+def _sides(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[dict, dict, bool]]:
+    """Both blocks of every row and whether they are one; arrays lie in the batch itself."""
+
+    def side(i: int, name: str) -> dict:
+        pids = batch.column(f"{name}_pids")[i].values
+        out = {"pid": pids}
+        for c, kind in (("vector", float), *[(c, COLUMNS[c]) for c in columns]):
+            out[c] = np.frombuffer(batch.column(f"{name}_{c}")[i].as_buffer(), kind).reshape(len(pids), -1)
+        return out
+
+    for i in range(batch.num_rows):
+        yield side(i, "l"), side(i, "r"), batch.column("same")[i].as_py()
 
 
-def _side(block, *columns: str) -> dict[str, np.ndarray]:
-    out = {"pid": np.array([r["pid"] for r in block]), "vector": np.array([r["vector"] for r in block], dtype=float)}
-    for c in columns:
-        out[c] = np.array([r[c] for r in block])
-    return out
+def _strips(l: dict, r: dict, metric: str, p: float) -> Iterator[tuple[slice, np.ndarray]]:
+    """Distances of two blocks, some rows of the left one at a time."""
+    for at in range(0, len(l["pid"]), STRIP):
+        rows = slice(at, at + STRIP)
+        yield rows, pairwise(l["vector"][rows], r["vector"], metric, p)
 
 
-def _codes(*pids: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def _codes(*pids: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """Sorted distinct ids of any type that can be ordered, and the place of each given id among them."""
-    names, code = np.unique(np.concatenate(pids), return_inverse=True)
-    return names, np.split(code, np.cumsum([len(p) for p in pids])[:-1])
+    values = [np.array(x.to_pylist()) for x in pids]
+    names, code = np.unique(np.concatenate(values), return_inverse=True)
+    return names, np.split(code, np.cumsum([len(v) for v in values])[:-1])
 
 
 def _neighbour_weights(pairs: DataFrame, eps: Sequence[float], metric: str, p: float) -> DataFrame:
     """Weight of the points within every eps of every point, itself included: ``(pid, weight)``, an array."""
-    kind = pairs.schema["left"].dataType.elementType["pid"].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for left, right, same in zip(b["left"], b["right"], b["same"], strict=True):
-                l, r = _side(left, "w"), _side(right, "w")
-                distance = pairwise(l["vector"], r["vector"], metric, p)
-                near = [distance <= e for e in eps]
-                weight, pid = np.stack([n @ r["w"] for n in near], axis=1), l["pid"]
-                if not same:
-                    weight = np.concatenate([weight, np.stack([l["w"] @ n for n in near], axis=1)])
-                    pid = np.concatenate([pid, r["pid"]])
-                yield pd.DataFrame({"pid": pid, "weight": list(weight.astype(np.int64))})
-
-    met = pairs.mapInPandas(run, f"pid {kind}, weight array<bigint>")
+    kind = pairs.schema["l_pids"].dataType.elementType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for l, r, same in _sides(batch, "w"):
+                lw, rw = (s["w"][:, 0].astype(float) for s in (l, r))
+                weight = [np.zeros((len(l["pid"]), len(eps))), np.zeros((len(r["pid"]), len(eps)))]
+                for rows, distance in _strips(l, r, metric, p):
+                    for t, e in enumerate(eps):
+                        near = (distance <= e).astype(float)
+                        weight[0][rows, t] = near @ rw
+                        if not same:
+                            weight[1][:, t] += lw[rows] @ near
+                for s, w in [(l, weight[0])] if same else [(l, weight[0]), (r, weight[1])]:
+                    offsets = np.arange(0, w.size + 1, len(eps), dtype=np.int32)
+                    lists = pa.ListArray.from_arrays(offsets, pa.array(w.ravel().astype(np.int64)))
+                    yield pa.RecordBatch.from_arrays([s["pid"], lists], ["pid", "weight"])
+
+    met = pairs.mapInArrow(run, f"pid {kind}, weight array<bigint>")
     sums = [F.sum(F.col("weight")[i]) for i in range(len(eps))]
     return met.groupBy("pid").agg(F.array(*sums).alias("weight"))
 
@@ -119,45 +166,62 @@ def _neighbour_weights(pairs: DataFrame, eps: Sequence[float], metric: str, p: f
 def _local_links(pairs: DataFrame, eps: Sequence[float], metric: str, p: float) -> DataFrame:
     """What each block pair tells about each trial ``t``: a spanning forest of its core points as edges u > v
     (``core``), and for every other point the forest roots it touches."""
-    kind = pairs.schema["left"].dataType.elementType["pid"].dataType.simpleString()
-
-    def links(l, r, names, near, t, same):
-        lcore, rcore = (np.array([c[t] for c in s["core"]], dtype=bool) for s in (l, r))
-        both = near & lcore[:, None] & rcore[None, :]
-        # Labels run over the distinct ids of both blocks; smaller ones spread until nothing changes.
-        label = np.arange(len(names))
-        i, j = np.nonzero(both)
-        u, v = l["at"][i], r["at"][j]
+    kind = pairs.schema["l_pids"].dataType.elementType.simpleString()
+
+    def joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Labels run over the distinct ids of both blocks; smaller ones spread until nothing changes."""
+        u, v = label[u], label[v]
+        root = np.arange(len(label))
         while len(u):
-            low = np.minimum(label[u], label[v])
-            before = label.copy()
-            np.minimum.at(label, u, low)
-            np.minimum.at(label, v, low)
-            label = label[label]
-            if (label == before).all():
+            low = np.minimum(root[u], root[v])
+            before = root.copy()
+            np.minimum.at(root, u, low)
+            np.minimum.at(root, v, low)
+            root = root[root]
+            if (root == before).all():
                 break
-        core = np.unique(np.concatenate([l["at"][lcore], r["at"][rcore]]))
-        child = core[label[core] < core]
-        found = [(child, label[child], np.ones(len(child), bool))]
-        sides = [(l, r, lcore, rcore, near)] if same else [(l, r, lcore, rcore, near), (r, l, rcore, lcore, near.T)]
-        for a, c, acore, ccore, n in sides:
-            i, j = np.nonzero(n & ~acore[:, None] & ccore[None, :])
-            touch = np.unique(np.stack([a["at"][i], label[c["at"][j]]]), axis=1)
-            found.append((touch[0], touch[1], np.zeros(touch.shape[1], bool)))
-        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for left, right, same in zip(b["left"], b["right"], b["same"], strict=True):
-                l, r = _side(left, "core"), _side(right, "core")
-                names, (l["at"], r["at"]) = _codes(l["pid"], r["pid"])
-                distance = pairwise(l["vector"], r["vector"], metric, p)
-                for t, e in enumerate(eps):
-                    u, v, core = links(l, r, names, distance <= e, t, same)
+        return root[label]
+
+    def touches(at: np.ndarray, near: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Distinct (point, label) of rows near columns of these labels."""
+        order = np.argsort(label, kind="stable")
+        first = np.flatnonzero(np.diff(label[order], prepend=-1))
+        if not len(at) or not len(first):
+            return np.zeros((2, 0), np.int64)
+        i, j = np.nonzero(np.logical_or.reduceat(near[:, order], first, axis=1))
+        return np.stack([at[i], label[order][first][j]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for l, r, same in _sides(batch, "core"):
+                names, (lat, rat) = _codes(l["pid"], r["pid"])
+                labels = [np.arange(len(names)) for _ in eps]
+                touched: list[list[np.ndarray]] = [[] for _ in eps]
+                for rows, distance in _strips(l, r, metric, p):
+                    for t, e in enumerate(eps):
+                        near, at = distance <= e, lat[rows]
+                        lcore, rcore = l["core"][rows, t], r["core"][:, t]
+                        lin, rin = np.flatnonzero(lcore), np.flatnonzero(rcore)
+                        among = near[np.ix_(lin, rin)]
+                        among = among & (labels[t][at[lin]][:, None] != labels[t][rat[rin]][None, :])
+                        i, j = np.nonzero(among)
+                        if len(i):
+                            labels[t] = joined(labels[t], at[lin[i]], rat[rin[j]])
+                        lout, rout = np.flatnonzero(~lcore), np.flatnonzero(~rcore)
+                        touched[t].append(touches(at[lout], near[np.ix_(lout, rin)], labels[t][rat[rin]]))
+                        if not same:
+                            touched[t].append(touches(rat[rout], near[np.ix_(lin, rout)].T, labels[t][at[lin]]))
+                for t, label in enumerate(labels):
+                    core = np.unique(np.concatenate([lat[l["core"][:, t]], rat[r["core"][:, t]]]))
+                    child = core[label[core] < core]
+                    touch = np.concatenate(touched[t], axis=1)
+                    touch = np.unique(np.stack([touch[0], label[touch[1]]]), axis=1)
+                    u, v = np.concatenate([child, touch[0]]), np.concatenate([label[child], touch[1]])
                     if len(u):
-                        yield pd.DataFrame({"t": t, "u": names[u], "v": names[v], "core": core})
+                        columns = [pa.array([t] * len(u), pa.int32()), pa.array(names[u].tolist(), l["pid"].type), pa.array(names[v].tolist(), l["pid"].type)]
+                        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(len(u)) < len(child))], ["t", "u", "v", "core"])
 
-    return pairs.mapInPandas(run, f"t int, u {kind}, v {kind}, core boolean").distinct()
+    return pairs.mapInArrow(run, f"t int, u {kind}, v {kind}, core boolean").distinct()
 
 
 def connected_components(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -250,36 +314,63 @@ def nearest_distances(
 ) -> DataFrame:
     """I12 for several k at once: ``(key, distances)``, the k-th nearest distance per entry of ``ks``, itself counted.
 
-    All pairs of blocks are visited once, each giving at most the largest k candidates per point.
+    All pairs of blocks are visited once, each giving a table of the largest k candidates per point; the tables of a
+    block are merged as they stream by.
     """
-    points = df.select(F.col(key).alias("pid"), F.col(vector).alias("vector"))
-    most, n_blocks = max(ks), max(1, -(-points.count() // BLOCK))
-    blocks = materialised(
-        points.groupBy(F.pmod(F.xxhash64("pid"), F.lit(n_blocks)).alias("part")).agg(
-            F.collect_list(F.struct("pid", "vector")).alias("block")
-        )
-    )
+    points = materialised(df.select(F.col(key).alias("pid"), F.col(vector).alias("vector")))
+    n, kind = points.count(), points.schema["pid"].dataType.simpleString()
+    most, n_blocks = max(ks), max(1, -(-n // _block_size(n)))
+    blocks = _packed(points.withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(n_blocks))), ["part"])
     # Every two blocks meet once and serve both ways.
-    partner = F.explode(F.sequence(F.col("part"), F.lit(n_blocks - 1).cast("long")))
-    pairs = blocks.select(F.col("part").alias("own"), F.col("block").alias("left"), partner.alias("part")).join(
-        blocks.select("part", F.col("block").alias("right")), "part"
-    )
-    kind = points.schema["pid"].dataType.simpleString()
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for left, right, same in zip(b["left"], b["right"], b["own"] == b["part"], strict=True):
-                l, r = _side(left), _side(right)
-                d = pairwise(l["vector"], r["vector"], metric, p)
-                for pid, rows in [(l["pid"], d)] if same else [(l["pid"], d), (r["pid"], d.T)]:
-                    yield pd.DataFrame({"pid": pid, "near": list(np.sort(rows, axis=1)[:, :most])})
-
-    met = pairs.select("left", "right", "own", "part").mapInPandas(nearest, f"pid {kind}, near array<double>")
-    flat = met.select("pid", F.explode("near").alias("d"))
-    place = F.row_number().over(Window.partitionBy("pid").orderBy("d"))
-    kept = flat.withColumn("i", place).filter(F.col("i") <= most)
-    at = [F.max(F.when(F.col("i") == k, F.col("d"))) for k in ks]
-    return kept.groupBy("pid").agg(F.array(*at).alias("distances")).select(F.col("pid").alias(key), "distances")
+    pairs = blocks.select(F.col("part").alias("l_part"), F.explode(F.sequence(F.col("part"), F.lit(n_blocks - 1).cast("long"))).alias("r_part"))
+    pairs = _met(materialised(pairs.withColumn("same", F.col("l_part") == F.col("r_part"))), blocks, ["part"])
+
+    def least(found: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """The smallest ``most`` numbers of each row of both."""
+        both = np.concatenate([found, more], axis=1)
+        return np.partition(both, most - 1, axis=1)[:, :most] if both.shape[1] > most else both
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, (l, r, same) in enumerate(_sides(batch)):
+                right = np.zeros((len(r["pid"]), 0))
+                left = []
+                for _, distance in _strips(l, r, metric, p):
+                    left.append(least(np.zeros((len(distance), 0)), distance))
+                    if not same:
+                        right = least(right, distance.T)
+                done = [(batch.column("l_part")[k].as_py(), np.concatenate(left))] + ([] if same else [(batch.column("r_part")[k].as_py(), right)])
+                parts, tables = pa.array([b for b, _ in done], pa.int64()), pa.array([x.tobytes() for _, x in done], pa.binary())
+                yield pa.RecordBatch.from_arrays([parts, tables], ["part", "near"])
+
+    met = pairs.mapInArrow(nearest, "part bigint, near binary")
+    stream = blocks.select("part", "pids").unionByName(met, allowMissingColumns=True).repartition("part")
+
+    def listed(pids: pa.Array, found: np.ndarray) -> pa.RecordBatch:
+        offsets = np.arange(0, found.size + 1, max(found.shape[1], 1), dtype=np.int32)
+        return pa.RecordBatch.from_arrays([pids, pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], ["pid", "near"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The tables of a block follow its ids and are merged as they stream by."""
+        pids, found = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column("pids")[i].is_valid:
+                    if pids is not None:
+                        yield listed(pids, found)
+                    # A copy of the ids alone, so that the batch can go.
+                    pids = pa.array(batch.column("pids")[i].as_py(), batch.schema.field("pids").type.value_type)
+                    found = np.zeros((len(pids), 0))
+                else:
+                    found = least(found, np.frombuffer(batch.column("near")[i].as_buffer(), float).reshape(len(pids), -1))
+        if pids is not None:
+            yield listed(pids, found)
+
+    ordered = stream.sortWithinPartitions("part", F.col("pids").isNull()).select("pids", "near")
+    # Rows with one key share their candidates.
+    lists = ordered.mapInArrow(merged, f"pid {kind}, near array<double>").groupBy("pid").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
+    distances = F.array(*[F.get("near", F.lit(k - 1)) for k in ks])
+    return lists.select(F.col("pid").alias(key), distances.alias("distances"))
 
 
 def k_distances(

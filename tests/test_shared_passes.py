@@ -174,6 +174,30 @@ def test_nearest_distances_for_several_k(spark, monkeypatch):
         assert got[i][:2] == pytest.approx([d[0], d[4]], abs=1e-7) and got[i][2] is None
 
 
+def test_blocks_in_strips_and_shared_keys(spark, monkeypatch):
+    """Crowded and empty regions, blocks cut into strips; candidates are merged as tables, without a window over all of them."""
+    monkeypatch.setattr(density, "BLOCK", 40)
+    monkeypatch.setattr(density, "STRIP", 7)
+    rng = random.Random(4)
+    x = [[rng.gauss(0, 0.3), rng.gauss(0, 0.3)] for _ in range(90)] + [[rng.uniform(-5, 5), rng.uniform(-5, 5)] for _ in range(60)]
+    df = spark.createDataFrame([(f"k{i:03}", v) for i, v in enumerate(x)], "id string, vector array<double>")
+    near = [[j for j, y in enumerate(x) if math.dist(x[i], y) <= 0.4] for i in range(len(x))]
+    core = {i for i, js in enumerate(near) if len(js) >= 5}
+    root = {i: i for i in core}
+    while (low := {i: min(root[j] for j in near[i] if j in core) for i in core}) != root:
+        root = low
+    root |= {i: min(root[j] for j in near[i] if j in core) for i in range(len(x)) if i not in core and core.intersection(near[i])}
+    order = sorted(set(root.values()), key=lambda r: (-list(root.values()).count(r), r))
+    got = {r["id"]: r["label"] for r in density.dbscan(df, "id", 0.4, 5).collect()}
+    assert got == {f"k{i:03}": order.index(root[i]) if i in root else -1 for i in range(len(x))}
+    found = density.nearest_distances(df, "id", [3])
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["id"]: r["distances"][0] for r in found.collect()}
+    assert got == {f"k{i:03}": pytest.approx(sorted(math.dist(v, y) for y in x)[2], abs=1e-9) for i, v in enumerate(x)}
+    twice = density.nearest_distances(df.unionAll(df), "id", [1, 3])
+    assert twice.count() == len(x) and all(r["distances"][0] == 0 for r in twice.collect())
+
+
 def test_mixture_of_fewer_points_than_parameters(spark):
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(0, 1, (12, 10)), rng.normal(6, 1, (9, 10)), np.zeros((4, 10))])
