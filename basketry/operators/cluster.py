@@ -39,7 +39,8 @@ def prepare_features(df: DataFrame, approach: str, key: str = "customer_id") ->
     if approach not in FEATURE_SETS:
         raise ValueError(f"unknown approach {approach!r}")
     columns = list(FEATURE_SETS[approach])
-    data = df.select(key, *columns, *(ENCODED if approach == "behavioural" else []))
+    # Written: codes, means and the result each read the features, which may be long to make.
+    data = materialised(df.select(key, *columns, *(ENCODED if approach == "behavioural" else [])))
     if approach == "behavioural":
         data = label_encode(data, ENCODED)
         columns += [f"{c}_encoded" for c in ENCODED]
@@ -210,7 +211,8 @@ def enriched_customers(
 
 def segment_on(df: DataFrame, key: str, columns: Sequence[str], k: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Clusters on the given columns (nulls count as 0), and size, mean and median per cluster."""
-    filled = df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    # Written: the scaling, the fit and the summary each read the columns.
+    filled = materialised(df.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns]))
     scaled = standardise(filled, list(columns)).select(key, F.array(*columns).alias("vector"))
     labels, _ = kmeans(scaled, key, k, seed)
     return labels, segment_summary(filled.join(labels, key), "cluster", columns)

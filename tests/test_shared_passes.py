@@ -264,3 +264,20 @@ def test_a_callers_stop_words_replace_the_list(spark):
     df = spark.createDataFrame([("The red Shirt and no_description a",)], "t string")
     rows = df.select(text.words(F.col("t")).alias("a"), text.words(F.col("t"), (), ["RED"]).alias("b"), text.words(F.col("t"), ["shirt"]).alias("c")).first()
     assert rows["a"] == ["red", "shirt", "description"] and rows["b"] == ["the", "shirt", "and", "no", "description"] and rows["c"] == ["red", "description"]
+
+
+def test_features_are_made_once(spark):
+    """Scaling reads its input several times; what makes the features runs once."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def costly(x):
+        made.add(1)
+        return float(x)
+
+    rows = [(i, *[float(i * j % 7) for j in range(7)]) for i in range(30)]
+    df = spark.createDataFrame(rows, "customer_id bigint, " + ", ".join(f"{c} double" for c in cluster.FEATURE_SETS["hybrid"]))
+    prepared = cluster.prepare_features(df.withColumn("recency", costly("recency")), "hybrid")
+    assert prepared.count() == 30 and prepared.agg(F.abs(F.sum(F.col("vector")[0])) < 1e-9).first()[0] and made.value == 30
+    _, summary = cluster.segment_on(df.withColumn("recency", costly("recency")), "customer_id", ["recency", "monetary"], 2)
+    assert summary.agg(F.sum("size")).first()[0] == 60 and made.value == 60
