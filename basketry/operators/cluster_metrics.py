@@ -20,6 +20,8 @@ from basketry.sources.tables import random_sample
 #: Points in a block; every block meets every other, so each vector travels once per BLOCK points. With many clusters
 #: a block has fewer points, so that its table of points by clusters has BLOCK_FIELDS fields at most.
 BLOCK, BLOCK_FIELDS = 8192, 1 << 22
+#: Rows of a block whose distances to another block are held at once.
+STRIP = 128
 #: Points of a line scored in one task.
 RANGE = 1 << 16
 
@@ -213,7 +215,7 @@ def silhouette_points(points: DataFrame, labels: DataFrame, key: str, cluster: s
     left = blocks.select(F.col("part").alias("own"), F.col("x").alias("lx"), F.col("codes").alias("lcodes"), partner.alias("part"))
     pairs = left.join(blocks.select("part", F.col("x").alias("rx"), F.col("codes").alias("rcodes")), "part")
 
-    def table(codes: bytes) -> np.ndarray:
+    def table(codes: bytes | pa.Buffer) -> np.ndarray:
         return np.frombuffer(codes, np.int32).reshape(-1, len(runs))
 
     def member(codes: np.ndarray) -> np.ndarray:
@@ -224,17 +226,20 @@ def silhouette_points(points: DataFrame, labels: DataFrame, key: str, cluster: s
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                sides = [table(row["lcodes"]), table(row["rcodes"])]
-                x, y = (np.frombuffer(row[c], np.float64).reshape(len(s), -1) for c, s in zip(("lx", "rx"), sides, strict=True))
-                ones, same = [member(s) for s in sides], row["own"] == row["part"]
+            for k in range(batch.num_rows):
+                # Blocks are read where they lie in the batch, never copied.
+                own, part, *held = (batch.column(c)[k] for c in ("own", "part", "lcodes", "rcodes", "lx", "rx"))
+                sides = [table(c.as_buffer()) for c in held[:2]]
+                x, y = (np.frombuffer(c.as_buffer(), np.float64).reshape(len(s), -1) for c, s in zip(held[2:], sides, strict=True))
+                own, part = own.as_py(), part.as_py()
+                ones, same = [member(s) for s in sides], own == part
                 total = [np.zeros_like(o) for o in ones]
-                for at in range(0, len(x), 512):
-                    near = pairwise(x[at : at + 512], y)
-                    total[0][at : at + 512] = near @ ones[1]
+                for at in range(0, len(x), STRIP):
+                    near = pairwise(x[at : at + STRIP], y)
+                    total[0][at : at + STRIP] = near @ ones[1]
                     if not same:
-                        total[1] += near.T @ ones[0][at : at + 512]
-                done = [(row["own"], total[0])] + ([] if same else [(row["part"], total[1])])
+                        total[1] += near.T @ ones[0][at : at + STRIP]
+                done = [(own, total[0])] + ([] if same else [(part, total[1])])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([p for p, _ in done], pa.int64()), pa.array([t.tobytes() for _, t in done], pa.binary())], ["part", "total"]
                 )
@@ -264,14 +269,15 @@ def silhouette_points(points: DataFrame, labels: DataFrame, key: str, cluster: s
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["keys"] is not None:
+            for k in range(batch.num_rows):
+                keys, codes, total = (batch.column(c)[k] for c in ("keys", "codes", "total"))
+                if keys.is_valid:
                     if held:
                         yield from scores(*held)
-                    codes = table(row["codes"])
-                    held = (row["keys"], codes, np.zeros((len(codes), width)))
+                    codes = table(codes.as_py())
+                    held = (keys.as_py(), codes, np.zeros((len(codes), width)))
                 else:
-                    held[2][...] += np.frombuffer(row["total"], np.float64).reshape(-1, width)
+                    held[2][...] += np.frombuffer(total.as_buffer(), np.float64).reshape(-1, width)
         if held:
             yield from scores(*held)
 

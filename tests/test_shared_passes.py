@@ -107,6 +107,21 @@ def test_silhouettes_of_several_labellings(spark, monkeypatch, block):
         assert got[k] == (None if s is None else pytest.approx(s, abs=1e-9))
 
 
+def test_silhouettes_hold_few_rows_of_distances(spark, monkeypatch):
+    whole = cluster_metrics.pairwise
+
+    def few(a, b):
+        assert len(a) <= 128
+        return whole(a, b)
+
+    monkeypatch.setattr(cluster_metrics, "pairwise", few)
+    rng = random.Random(6)
+    x = [[rng.gauss(4 * (i % 3), 1), rng.random()] for i in range(300)]
+    df = spark.createDataFrame([(i, v, i % 3) for i, v in enumerate(x)], "id bigint, vector array<double>, c int").repartition(3)
+    got = {r["id"]: r["silhouette"] for r in cluster_metrics.silhouette_values(df, "id", "c").collect()}
+    assert got == {i: pytest.approx(s, abs=1e-9) for i, s in brute_silhouette(x, [i % 3 for i in range(300)]).items()}
+
+
 def test_silhouettes_on_a_line_need_no_pairs(spark, monkeypatch):
     """Vectors of one number meet no blocks; equal and distant numbers, several ranges and a missing number are scored alike."""
     monkeypatch.setattr(cluster_metrics, "RANGE", 50)
