@@ -304,3 +304,29 @@ def test_baskets_and_channels_and_loyalty(tables):
         assert loyalty[c]["family_loyalty"] == pytest.approx((len(families) - len(set(families))) / len(families))
         assert loyalty[c]["explored"] == len(set(families))
         assert loyalty[c]["popular_alignment"] == pytest.approx(sum(r[2] in best for r in rows) / len(rows))
+
+
+def test_links_are_counted_where_they_are_found(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "CHUNK", 40)
+    sets = term_sets(150, 5)
+    long = spark.createDataFrame([(i, t, 1 + i % 3) for i, s in sets.items() for t in s], "id bigint, term string, n bigint")
+    weights = similarity.tfidf_terms(long, "id", len(sets))
+    for join, counts, rows in ((similarity.jaccard_join, similarity.jaccard_counts, long), (similarity.cosine_join, similarity.cosine_counts, weights)):
+        assert rows_of(counts(rows, "id", 0.5)) == rows_of(similarity.link_counts(*join(rows, "id", 0.5), "id"))
+    # Chunks are few bytes and much work: they meet in all parts.
+    pairs, _, _ = similarity._jaccard(long, "id", 0.5)
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("dense", [-1.0, 0.1, 2.0])
+def test_products_of_sparse_rows(monkeypatch, dense):
+    monkeypatch.setattr(similarity, "DENSE", dense)
+    rng = np.random.default_rng(3)
+    sides, whole = [], []
+    for n in (30, 17):
+        x = rng.random((n, 12)) * (rng.random((n, 12)) < 0.3)
+        row, code = np.nonzero(x)
+        sides.append(similarity._Side((x > 0).sum(1), row, code, x[row, code], np.ones(len(row), bool)))
+        whole.append(x)
+    assert similarity._products(*sides, 12) == pytest.approx(whole[0] @ whole[1].T)
+    assert similarity._products(sides[0].cut(10, 20), sides[1], 12) == pytest.approx(whole[0][10:20] @ whole[1].T)
