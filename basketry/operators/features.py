@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from basketry.session import parts
 from basketry.sources.tables import require_columns
 
 REQUIRED = {
@@ -76,14 +77,19 @@ def category_counts(transactions: DataFrame, articles: DataFrame, kinds: dict[st
     """``(customer_id, kind, category, n)``: purchases per category of several attributes at once.
 
     ``kinds`` maps an output prefix to an attribute.  Facts shrink to (customer, article) counts
-    before the lookup, so neither a popular article nor a busy customer travels row by row.
+    before the lookup, so a busy customer brings each article once.  Both counts are made in as many parts as there
+    are shuffle partitions: their tables hold a part, not what one reader's bytes unfold to.
     """
-    pairs = transactions.groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("n"))
+    n_parts = parts(transactions.sparkSession)
+    facts = transactions.select("customer_id", "article_id").repartition(n_parts, "customer_id", "article_id")
+    pairs = facts.groupBy("customer_id", "article_id").agg(F.count(F.lit(1)).alias("n"))
     cells = F.array(
         *[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("category")) for k, c in kinds.items()]
     )
     return (
         attach_attributes(pairs, articles, list(kinds.values()))
+        .drop("article_id")
+        .repartition(n_parts, "customer_id")
         .select("customer_id", "n", F.explode(cells).alias("cell"))
         .filter(F.col("cell.category").isNotNull())
         .groupBy("customer_id", F.col("cell.kind").alias("kind"), F.col("cell.category").alias("category"))

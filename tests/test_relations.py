@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from basketry.operators import behaviour, incremental, recommend, similarity
-from basketry.operators.features import customer_features
+from basketry.operators.features import PROFILE_KINDS, category_counts, customer_features
 
 FACTS = "t_dat date, customer_id bigint, article_id bigint, price double, sales_channel_id int"
 DAY = dt.date(2024, 1, 1)
@@ -330,3 +330,44 @@ def test_products_of_sparse_rows(monkeypatch, dense):
         whole.append(x)
     assert similarity._products(*sides, 12) == pytest.approx(whole[0] @ whole[1].T)
     assert similarity._products(sides[0].cut(10, 20), sides[1], 12) == pytest.approx(whole[0][10:20] @ whole[1].T)
+
+
+def test_best_items_equal_sorted_products(monkeypatch):
+    monkeypatch.setattr(recommend, "STRIP", 7)
+    rng = np.random.default_rng(8)
+    users, items = rng.normal(size=(50, 4)).astype(np.float32), rng.normal(size=(40, 4)).astype(np.float32)
+    items[30:] = items[:10]
+    items = items[np.argsort(-np.linalg.norm(items, axis=1), kind="stable")]
+    for k in (3, 45):
+        best = recommend._Best(np.arange(50), users, k)
+        for at in range(0, 40, 9):
+            part = items[at : at + 9]
+            best.offer(np.arange(at, at + len(part)), part, float(np.linalg.norm(part, axis=1).max()))
+        rows = next(best.rows()).to_pydict()
+        assert len(rows["user"]) == 50 * min(k, 40)
+        scores = users @ items.T
+        for u in range(50):
+            want = sorted(scores[u], reverse=True)[:k]
+            assert [s for s, x in zip(rows["score"], rows["user"], strict=True) if x == u] == pytest.approx(want, abs=1e-5)
+
+
+def test_recommendations_are_the_best_products(spark):
+    rng = random.Random(4)
+    bought = spark.createDataFrame([(u, i, 1 + (u + i) % 3) for u in range(60) for i in rng.sample(range(25), 5)], "u bigint, i bigint, n bigint")
+    model = recommend.factorise(bought, "u", "i", rank=3, rounds=2)
+    got = recommend.recommendations(model, 4, "u", "i").orderBy("u", "rank").collect()
+    users = {r["id"]: np.array(r["features"]) for r in model.userFactors.collect()}
+    items = {r["id"]: np.array(r["features"]) for r in model.itemFactors.collect()}
+    for u, v in users.items():
+        mine = [r for r in got if r["u"] == u]
+        assert [r["rank"] for r in mine] == [1, 2, 3, 4] and len({r["i"] for r in mine}) == 4
+        assert [r["score"] for r in mine] == pytest.approx(sorted((float(v @ w) for w in items.values()), reverse=True)[:4], abs=1e-5)
+        assert all(abs(r["score"] - float(v @ items[r["i"]])) < 1e-5 for r in mine)
+
+
+def test_counts_of_categories_and_mean_vectors_are_made_in_all_parts(spark, tables):
+    tx, _, articles = tables
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "article_id bigint, vector array<double>")
+    assert category_counts(tx, articles, PROFILE_KINDS).rdd.getNumPartitions() == wanted
+    assert similarity.mean_vectors(tx, vectors, "article_id").rdd.getNumPartitions() == wanted
