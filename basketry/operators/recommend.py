@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.session import materialised
+from basketry.session import materialised, parts
+
+#: Users of a block, at most, and users whose products with a block of items are made at a time.
+USERS, STRIP = 65_536, 256
 
 
 def baskets(rows: DataFrame, by: Sequence[str | Column], item: str) -> DataFrame:
@@ -65,9 +69,97 @@ def factorise(counts: DataFrame, user: str, item: str, n: str = "n", rank: int =
 
 
 def recommendations(model: ALSModel, k: int, user: str, item: str) -> DataFrame:
-    """``(user, rank, item, score)``: the k best items of every user, scored block by block of factors."""
-    best = model.recommendForAllUsers(k).select(user, F.posexplode("recommendations").alias("place", "best"))
-    return best.select(user, (F.col("place") + 1).alias("rank"), F.col(f"best.{item}").alias(item), F.col("best.rating").cast("double").alias("score"))
+    """``(user, rank, item, score)``: the k best items of every user, ties by item.
+
+    Blocks of users read all blocks of items, longest factors first, some users at a time. No product exceeds the
+    lengths of its factors, so a user leaves when the items to come are too short to be among its best.
+    """
+    spark = model.userFactors.sparkSession
+    n_users = model.userFactors.count()
+    n_blocks = max(-(-n_users // USERS), min(32, -(-n_users // 1024)), 1)
+
+    def flat(rows: pa.Table | pa.RecordBatch) -> bytes:
+        return np.asarray(rows.column("features").to_pylist(), np.float32).tobytes()
+
+    def users(rows: pa.Table) -> pa.Table:
+        ids = np.asarray(rows.column("id").to_numpy(), np.int64).tobytes()
+        return pa.table({"block": rows.column("block").slice(0, 1), "place": pa.array([-1]), "ids": pa.array([ids], pa.binary()), "vectors": pa.array([flat(rows)], pa.binary())})
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            if rows.num_rows:
+                ids, longest = np.asarray(rows.column("id").to_numpy(), np.int64), max(rows.column("length").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([-longest]), pa.array([ids.tobytes()], pa.binary()), pa.array([flat(rows)], pa.binary())], ["longest", "ids", "vectors"])
+
+    fields = "ids binary, vectors binary"
+    dealt = model.userFactors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
+    asked = materialised(dealt.groupBy("block").applyInArrow(users, f"block bigint, place bigint, {fields}"))
+    squares = F.aggregate("features", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    ranged = model.itemFactors.withColumn("length", F.sqrt(squares)).repartitionByRange(F.col("length").desc())
+    offered = materialised(ranged.sortWithinPartitions(F.col("length").desc()).mapInArrow(items, f"longest double, {fields}"))
+    met = asked.select("block").crossJoin(offered).unionByName(asked.select("block", F.lit(float("-inf")).alias("longest"), "ids", "vectors"))
+    rank = model.rank
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, best = None, None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), np.int64)
+                vectors = np.frombuffer(batch.column("vectors")[i].as_buffer(), np.float32).reshape(-1, rank)
+                if batch.column("block")[i].as_py() != block:
+                    if best:
+                        yield from best.rows()
+                    # The users of a block come before any item.
+                    block, best = batch.column("block")[i].as_py(), _Best(ids.copy(), vectors.copy(), k)
+                else:
+                    best.offer(ids, vectors, -batch.column("longest")[i].as_py())
+        if best:
+            yield from best.rows()
+
+    ordered = met.repartition(parts(spark), "block").sortWithinPartitions("block", "longest")
+    found = ordered.mapInArrow(run, "user bigint, rank int, item bigint, score double")
+    return found.select(F.col("user").cast("int").alias(user), "rank", F.col("item").cast("int").alias(item), "score")
+
+
+class _Best:
+    """The best items so far of a block of users."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> None:
+        self.ids, self.vectors, self.k = ids, vectors, k
+        # A little more than the length, for what single precision rounds.
+        self.length = np.linalg.norm(vectors.astype(float), axis=1) * (1 + 1e-5)
+        self.score = np.full((len(ids), k), -np.inf, np.float32)
+        self.item = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def offer(self, ids: np.ndarray, vectors: np.ndarray, longest: float) -> None:
+        """Items of at most this length, longer ones first."""
+        open_ = np.flatnonzero(self.length * longest + 1e-12 >= self.score[:, -1])
+        for at in range(0, len(open_), STRIP):
+            rows = open_[at : at + STRIP]
+            products = self.vectors[rows] @ vectors.T
+            least = self.score[rows, -1]
+            if len(ids) > self.k:
+                # What a row's k-th best product leaves behind cannot stay; needed once, while the list fills.
+                unfilled = np.flatnonzero(least == -np.inf)
+                if len(unfilled):
+                    least[unfilled] = np.partition(products[unfilled], len(ids) - self.k, axis=1)[:, len(ids) - self.k]
+            row, column = np.nonzero(products >= least[:, None])
+            touched = np.unique(row)
+            if not len(touched):
+                continue
+            score = np.concatenate([self.score[rows[touched]].ravel(), products[row, column]])
+            item = np.concatenate([self.item[rows[touched]].ravel(), ids[column]])
+            owner = np.concatenate([np.repeat(np.arange(len(touched)), self.k), np.searchsorted(touched, row)])
+            order = np.lexsort((item, -score, owner))
+            place = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+            order, place = order[place < self.k], place[place < self.k]
+            self.score[rows[touched][owner[order]], place] = score[order]
+            self.item[rows[touched][owner[order]], place] = item[order]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        row, place = np.nonzero(self.score > -np.inf)
+        columns = [self.ids[row], (place + 1).astype(np.int32), self.item[row, place], self.score[row, place].astype(float)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["user", "rank", "item", "score"])
 
 
 def scored(model: ALSModel, pairs: DataFrame, user: str, item: str) -> DataFrame:
