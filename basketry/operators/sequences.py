@@ -379,7 +379,7 @@ def leave_last_out(transactions: DataFrame) -> tuple[DataFrame, DataFrame]:
         .filter(F.col("context").isNotNull())
     )
     # The held-out purchase and its copies on the same day leave the training rows.
-    train = transactions.join(
+    train = transactions.hint("merge").join(
         last_two.select("customer_id", F.col("truth").alias("article_id"), F.col("truth_day").alias("t_dat")),
         ["customer_id", "article_id", "t_dat"],
         "left_anti",
@@ -388,8 +388,11 @@ def leave_last_out(transactions: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def top_predictions(scores: DataFrame, cases: DataFrame, k: int) -> DataFrame:
-    """Candidates of every case by its context item, with the correct one marked."""
-    return cases.join(scores.filter(F.col("rank") <= k), F.col("context") == F.col("item")).select(
+    """Candidates of every case by its context item, with the correct one marked.
+
+    Cases are few bytes in a file and many in a hash table, so they meet sorted and never pass the driver.
+    """
+    return cases.hint("merge").join(scores.filter(F.col("rank") <= k), F.col("context") == F.col("item")).select(
         "customer_id", "truth", "candidate", "score", "rank", (F.col("candidate") == F.col("truth")).alias("correct")
     )
 
@@ -403,9 +406,9 @@ def rank_top(scored: DataFrame, k: int) -> DataFrame:
 def ranking_metrics(ranked: DataFrame, truth: DataFrame, ks: Sequence[int]) -> DataFrame:
     """Recall@K and NDCG@K with one relevant item; no case gives 0.
 
-    ``ranked`` is (customer_id, item, rank), ``truth`` is (customer_id, item).
+    ``ranked`` is (customer_id, item, rank), ``truth`` is (customer_id, item), which meet sorted as in ``top_predictions``.
     """
-    hits = truth.join(ranked.select("customer_id", "item", "rank"), ["customer_id", "item"], "left")
+    hits = truth.hint("merge").join(ranked.select("customer_id", "item", "rank"), ["customer_id", "item"], "left")
     cells = F.array(
         *[
             F.struct(

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from basketry.operators import behaviour, incremental, recommend, similarity
+from basketry.operators import behaviour, incremental, recommend, sequences, similarity
 from basketry.operators.features import PROFILE_KINDS, category_counts, customer_features
 
 FACTS = "t_dat date, customer_id bigint, article_id bigint, price double, sales_channel_id int"
@@ -371,3 +371,13 @@ def test_counts_of_categories_and_mean_vectors_are_made_in_all_parts(spark, tabl
     vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "article_id bigint, vector array<double>")
     assert category_counts(tx, articles, PROFILE_KINDS).rdd.getNumPartitions() == wanted
     assert similarity.mean_vectors(tx, vectors, "article_id").rdd.getNumPartitions() == wanted
+
+
+def test_cases_are_never_broadcast(spark):
+    cases = spark.createDataFrame([(c, c % 3, c % 2) for c in range(9)], "customer_id bigint, truth bigint, context bigint")
+    scores = spark.createDataFrame([(i, x, 1.0 / (1 + x), x + 1) for i in range(2) for x in range(3)], "item bigint, candidate bigint, score double, rank int")
+    ranked = sequences.top_predictions(scores, cases, 3).withColumnRenamed("candidate", "item")
+    hits = sequences.ranking_metrics(ranked, cases.select("customer_id", F.col("truth").alias("item")), [1, 3])
+    assert [(r["k"], r["cases"], r["recall"]) for r in hits.orderBy("k").collect()] == [(1, 9, pytest.approx(1 / 3)), (3, 9, 1.0)]
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=merge") == 2
