@@ -67,8 +67,9 @@ GROUP BY article_id""",
     ),
 )
 def h03(spark, d):
-    tokens = valid(spark, d).select("article_id", text.words(F.col("detail_desc"), ["DE"]).alias("words"))
-    surface = tokens.select(F.explode("words").alias("surface")).distinct()
+    # Words are taken from the texts once, and the distinct ones found once, for both sides of the dictionary.
+    tokens = materialised(valid(spark, d).select("article_id", text.words(F.col("detail_desc"), ["DE"]).alias("words")))
+    surface = materialised(tokens.select(F.explode("words").alias("surface")).distinct())
     dictionary = surface.join(
         surface.select(F.concat("surface", F.lit("s")).alias("plural"), F.col("surface").alias("lemma")),
         F.col("surface") == F.col("plural"),

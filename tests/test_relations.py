@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from basketry.operators import behaviour, incremental, recommend, sequences, similarity
 from basketry.operators.features import PROFILE_KINDS, category_counts, customer_features
+from basketry.plans import q_text
 
 FACTS = "t_dat date, customer_id bigint, article_id bigint, price double, sales_channel_id int"
 DAY = dt.date(2024, 1, 1)
@@ -381,3 +382,12 @@ def test_cases_are_never_broadcast(spark):
     assert [(r["k"], r["cases"], r["recall"]) for r in hits.orderBy("k").collect()] == [(1, 9, pytest.approx(1 / 3)), (3, 9, 1.0)]
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("strategy=merge") == 2
+
+
+def test_words_are_taken_from_the_texts_once(spark, tmp_path):
+    texts = [(1, "Two cats, one cat"), (2, "dogs and birds"), (3, "a bird"), (4, None)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    out = q_text.h03(spark, str(tmp_path))
+    assert not [f for f in out.inputFiles() if str(tmp_path) in f]
+    got = {r["article_id"]: r["words"].split() for r in out.collect()}
+    assert set(got) == {1, 2, 3} and got[1].count("cat") == 2 and "bird" in got[2] and "dogs" in got[2]
