@@ -346,21 +346,30 @@ def transition_scores(transactions: DataFrame, k: int) -> DataFrame:
         counts.withColumn("i", F.row_number().over(best))
         .filter(F.col("i") <= k)
         .join(totals, "item")
-        .select("item", F.col("next_item").alias("candidate"), (1 + F.col("n") / F.col("total")).alias("score"))
+        .groupBy("item")
+        .agg(
+            F.collect_list(F.struct((-(1 + F.col("n") / F.col("total"))).alias("cost"), F.col("next_item").alias("candidate"))).alias("own"),
+            F.collect_list("next_item").alias("followed"),
+        )
     )
     popularity = transactions.groupBy("article_id").agg(F.count(F.lit(1)).alias("n"))
     total = transactions.agg(F.count(F.lit(1))).scalar()
     popular = (
         popularity.orderBy(F.col("n").desc(), "article_id")
         .limit(k)
-        .agg(F.collect_list(F.struct(F.col("article_id").alias("candidate"), (F.col("n") / total).alias("score"))).alias("l"))
+        .agg(F.collect_list(F.struct((-(F.col("n") / total)).alias("cost"), F.col("article_id").alias("candidate"))).alias("l"))
+    )
+    # Followers score above 1 and the rest at most 1, so each item sorts its few candidates by itself; unfolded before a
+    # grouping, they would fill a table of k rows per item in whatever few tasks read the items.
+    items = transactions.select(F.col("article_id").alias("item")).distinct().join(followers, "item", "left")
+    rest = F.filter("popular", lambda c: ~F.coalesce(F.array_contains("followed", c["candidate"]), F.lit(False)))
+    ranked = (
+        items.withColumn("popular", popular.scalar())
+        .withColumn("own", F.coalesce("own", F.slice("popular", 1, 0)))
+        .withColumn("best", F.slice(F.sort_array(F.concat("own", rest)), 1, k))
+        .select("item", F.posexplode("best").alias("at", "c"))
     )
-    backoff = transactions.select(F.col("article_id").alias("item")).distinct().select(
-        "item", F.explode(popular.scalar()).alias("c")
-    ).select("item", "c.candidate", "c.score")
-    merged = followers.unionByName(backoff).groupBy("item", "candidate").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("item").orderBy(F.col("score").desc(), "candidate")
-    return merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return ranked.select("item", "c.candidate", (-F.col("c.cost")).alias("score"), (F.col("at") + 1).alias("rank"))
 
 
 def leave_last_out(transactions: DataFrame) -> tuple[DataFrame, DataFrame]:
