@@ -91,8 +91,8 @@ def tfidf_defaults(n_docs: int) -> dict[str, float]:
     return {"min_df": min_df, "max_df": 0.8, "max_features": 50_000 if n_docs >= 100_000 else 20_000}
 
 
-#: Characters of the texts whose terms are counted at a time.
-CHUNK_CHARS = 16 << 20
+#: Characters of the texts that are counted at a time; counting takes some 40 bytes for each.
+CHUNK_CHARS = 2 << 20
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
@@ -228,24 +228,30 @@ def unit_length(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(vector, lambda x: x / norm)).otherwise(vector)
 
 
+def _lists(rows: np.ndarray) -> pa.Array:
+    """A matrix as one array of numbers per row."""
+    n, size = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * size), pa.array(rows.reshape(-1)))
+
+
 def project(vectors: DataFrame, key: str, basis: np.ndarray, features: str = "features") -> DataFrame:
-    """Row vectors times a (size x k) basis, as ``(key, vector)`` arrays, in Arrow batches."""
+    """Row vectors times a (size x k) basis, as ``(key, vector)`` arrays, read where they lie in the Arrow batches."""
     shared = vectors.sparkSession.sparkContext.broadcast(basis)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = shared.value
         for b in batches:
-            rows = [
-                np.asarray(val) @ (v if idx is None else v[np.asarray(idx, dtype=int)])
-                for idx, val in zip(b["idx"], b["val"])
-            ]
-            yield pd.DataFrame({key: b[key], "vector": [r.tolist() for r in rows]})
+            out = np.empty((b.num_rows, v.shape[1]))
+            for row, idx, val in zip(out, b.column(1), b.column(2), strict=True):
+                part = v[idx.values.to_numpy()] if idx.is_valid else v
+                np.matmul(val.values.to_numpy(), part, out=row)
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(out)], [key, "vector"])
 
     parts = vectors.select(key, F.unwrap_udt(features).alias("u")).select(
         key, F.col("u.indices").alias("idx"), F.col("u.values").alias("val")
     )
     schema = f"{key} {vectors.schema[key].dataType.simpleString()}, vector array<double>"
-    return parts.mapInPandas(run, schema)
+    return parts.mapInArrow(run, schema)
 
 
 def svd(vectors: DataFrame, key: str, k: int, features: str = "features", normalise: bool = True):
