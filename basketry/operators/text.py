@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import StorageLevel
@@ -91,7 +90,7 @@ def tfidf_defaults(n_docs: int) -> dict[str, float]:
     return {"min_df": min_df, "max_df": 0.8, "max_features": 50_000 if n_docs >= 100_000 else 20_000}
 
 
-#: Characters of the texts that are counted at a time; counting takes some 40 bytes for each.
+#: Characters of the texts that are counted or encoded at a time; counting takes some 40 bytes for each.
 CHUNK_CHARS = 2 << 20
 
 
@@ -277,19 +276,23 @@ Encoder = Callable[[list[str]], np.ndarray]
 
 
 def embed(df: DataFrame, key: str, text: str, load_encoder: Callable[[], Encoder], normalise: bool = True) -> DataFrame:
-    """Embed texts with a caller-supplied encoder, loaded once per Python worker."""
+    """Embed texts with a caller-supplied encoder, loaded once per Python worker.
 
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    A text is encoded once, in chunks of about CHUNK_CHARS.  (A call in a column would be planned a second time under each
+    filter that a later step puts on the vectors, with Python workers of its own.)
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load_encoder()
-        for texts in batches:
-            vectors = np.asarray(encoder(texts.tolist()), dtype=float)
-            if normalise and len(vectors):
+        for chunk in _chunks(batches, 1):
+            vectors = np.array(encoder(chunk.column(1).to_pylist()), dtype=float)
+            if normalise:
                 norms = np.linalg.norm(vectors, axis=1, keepdims=True)
                 vectors = np.divide(vectors, norms, out=vectors, where=norms > 0)
-            yield pd.Series(list(vectors), index=texts.index)
+            yield pa.RecordBatch.from_arrays([chunk.column(0), _lists(vectors)], [key, "vector"])
 
-    return df.select(key, encode(F.col(text)).alias("vector"))
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, vector array<double>"
+    return df.select(key, text).mapInArrow(encode, schema)
 
 
 def hashing_encoder(size: int = 64) -> Callable[[], Encoder]:
