@@ -53,7 +53,7 @@ def token_registry(
     counts = every.groupBy(F.lit(0).alias("g"), F.struct("o", "value", "kind").alias("entry")).agg(
         F.least(F.count(F.lit(1)), F.lit(1)).alias("n")
     )
-    numbered = ranks.running_counts(counts, ["g"], "entry")
+    numbered = ranks.running_counts(counts, ["g"], "entry", few_groups=True)
     key = F.concat(F.col("entry.kind"), F.lit("="), F.col("entry.value").cast("string"))
     return numbered.select(
         "entry.kind",
