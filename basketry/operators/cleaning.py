@@ -70,14 +70,14 @@ def group_median(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def fill_with_group_median(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Null values take the median of their group and stay null where the group has none."""
-    medians = group_median(df, key, value)
-    return (
-        df.join(medians, key, "left")
-        .withColumn(value, F.coalesce(value, "group_median"))
-        .drop("group_median")
-        .select(*df.columns)
-    )
+    """Null values take the median of their group and stay null where the group has none.
+
+    Only the rows with a null meet the medians, and are written once; all others stay where they are read.
+    """
+    missing = F.col(value).isNull()
+    medians = group_median(df, key, value).withColumnRenamed("group_median", value)
+    filled = df.filter(missing).drop(value).join(medians, key, "left").select(*df.columns)
+    return df.filter(~missing).unionByName(materialised(filled))
 
 
 def mode_of(df: DataFrame, column: str) -> Column:
@@ -323,10 +323,13 @@ def drop_duplicate_rows(df: DataFrame) -> DataFrame:
 
 
 def clean_transactions(df: DataFrame, outlier_method: str = "iqr", calibrate: bool = True) -> DataFrame:
-    """B28."""
-    keyed = drop_missing_keys(df)
-    # The calibration reads the filled prices before the final pass does.
-    out = materialised(fill_with_group_median(keyed, "article_id", "price"))
+    """The rows are written once, since medians, modes, calibration and the final pass all read them."""
+    return _clean_transactions(materialised(drop_missing_keys(df)), outlier_method, calibrate)
+
+
+def _clean_transactions(keyed: DataFrame, outlier_method: str = "iqr", calibrate: bool = True) -> DataFrame:
+    """B28 of rows that have their keys and are cheap to read again."""
+    out = fill_with_group_median(keyed, "article_id", "price")
     out = fill_with_mode(out, "sales_channel_id", source=keyed)
     out = treat_price_outliers(out, outlier_method)
     # Clipping keeps every row, so the channel mode needs no price; removal changes the rows.
