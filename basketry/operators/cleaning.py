@@ -413,8 +413,10 @@ def clean_all(
 ) -> dict[str, str]:
     """Clean and write all three tables; returns the path of each as ``<table>_parquet`` (and ``<table>_csv``), and of
     the report of all three as ``cleaning_report``."""
+    # The steps and the report read the transactions several times, whatever joins are behind them.
+    transactions = materialised(transactions)
     raw = {"transactions": transactions, "customers": customers, "articles": articles}
-    cleaned = {"transactions": clean_transactions(transactions), "customers": clean_customers(customers), "articles": clean_articles(articles)}
+    cleaned = {"transactions": _clean_transactions(drop_missing_keys(transactions)), "customers": clean_customers(customers), "articles": clean_articles(articles)}
     paths = write_cleaned(cleaned, output_dir, write_csv_too)
     paths = {name if name.endswith("_csv") else f"{name}_parquet": path for name, path in paths.items()}
     if report:
