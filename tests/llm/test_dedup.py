@@ -35,6 +35,47 @@ def test_byte_repeats(docs, rows, width):
     assert any(w[2] for w in want)
 
 
+@pytest.mark.parametrize("width", [40, 400])
+def test_bytes_an_earlier_document_has(docs, rows, width):
+    check_earlier(docs, rows, width)
+
+
+def test_earlier_documents_with_part_of_a_passage(spark):
+    """Copies of copies: passages cut anywhere, so one stretch has several names, under far, negative, null and repeated ids."""
+    rng = np.random.default_rng(12)
+    prose = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    passages = [prose(300) for _ in range(4)]
+    texts = []
+    for _ in range(60):
+        pieces = []
+        for _ in range(int(rng.integers(1, 4))):
+            p = passages[int(rng.integers(0, 4))]
+            a = int(rng.integers(0, 150))
+            pieces += [p[a : a + int(rng.integers(30, 250))], prose(int(rng.integers(0, 15)))]
+        texts += ["".join(pieces)] * int(rng.integers(1, 4))
+    ids = [int(i) for i in rng.permutation(len(texts)) * 3 - 50]
+    ids[:4] = [None, -(1 << 62), 1 << 62, ids[5]]
+    rows = list(zip(ids, texts, strict=True))
+    check_earlier(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), rows, 40)
+
+
+def check_earlier(docs, rows, width):
+    data = [(r[0], (r[1] or "").encode()) for r in rows]
+    last = 1 << 63
+    first = {}
+    for i, d in data:
+        for p in range(len(d) - width + 1):
+            k = d[p : p + width]
+            first[k] = min(first.get(k, last), last if i is None else i)
+    want = []
+    for i, d in data:
+        own = last if i is None else i
+        want.append((i, len(d), sum(marked(len(d), [p for p in range(len(d) - width + 1) if first[d[p : p + width]] < own], width))))
+    out = remove_repeated_bytes(docs, width, 6, 8 if width == 40 else 32).collect()
+    assert sorted([(r.doc_id, r.n_bytes, r.n_earlier) for r in out], key=str) == sorted(want, key=str)
+    assert 0 < sum(w[2] for w in want) < sum(r.n_removed for r in out)
+
+
 @pytest.mark.parametrize(("width", "rounds"), [(8, 2), (50, 5)])
 def test_word_repeats(docs, rows, width, rounds):
     data = [(r[0], (r[1] or "").encode().split()) for r in rows]
