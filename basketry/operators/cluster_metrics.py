@@ -9,16 +9,17 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type as pa_type
 
+from basketry.operators.blocks import meetings
 from basketry.operators.vectors import cells
 from basketry.session import materialised
 from basketry.sources.tables import random_sample
 
-#: Points in a block; every block meets every other, so each vector travels once per BLOCK points. With many clusters
-#: a block has fewer points, so that its table of points by clusters has BLOCK_FIELDS fields at most.
+#: Points in a block, at most; every block meets every other. With many clusters a block has fewer points, so that its
+#: table of points by clusters has BLOCK_FIELDS fields at most.
 BLOCK, BLOCK_FIELDS = 8192, 1 << 22
 #: Rows of a block whose distances to another block are held at once.
 STRIP = 128
@@ -29,17 +30,22 @@ RANGE = 1 << 16
 def pairwise(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", p: float = 2.0) -> np.ndarray:
     """Distances between the rows of two matrices."""
     if metric == "euclidean":
-        square = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
+        sa, sb = (a * a).sum(1), (b * b).sum(1)
+        out = (-2 * a) @ b.T
+        out += sa[:, None]
+        out += sb
         # Nearly equal rows lose digits in this form: do those again, one by one.
-        close = square < 1e-6 * ((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :])
-        out = np.sqrt(np.maximum(square, 0))
-        i, j = np.nonzero(close)
-        out[i, j] = np.sqrt(((a[i] - b[j]) ** 2).sum(1))
+        rows = np.flatnonzero(~(out.min(1, initial=np.inf) >= 1e-6 * (sa + sb.max(initial=0))))
+        i, j = np.nonzero(out[rows] < 1e-6 * (sa[rows, None] + sb))
+        np.sqrt(np.maximum(out, 0, out=out), out=out)
+        out[rows[i], j] = np.sqrt(((a[rows[i]] - b[j]) ** 2).sum(1))
         return out
     if metric == "cosine":
         na, nb = np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1)
-        scale = np.outer(np.where(na > 0, na, 1), np.where(nb > 0, nb, 1))
-        return np.maximum(1 - (a @ b.T) / scale, 0)
+        out = a @ b.T
+        out /= np.where(na > 0, na, 1)[:, None]
+        out /= np.where(nb > 0, nb, 1)
+        return np.maximum(np.subtract(1, out, out=out), 0, out=out)
     out = np.empty((len(a), len(b)))
     for i, row in enumerate(a):
         gap = np.abs(b - row)
@@ -161,10 +167,9 @@ def _line_scores(rows: DataFrame, n_points: int, sizes: np.ndarray, run_of: np.n
 def silhouette_points(points: DataFrame, labels: DataFrame, key: str, cluster: str, by: str, vector: str = "vector") -> DataFrame:
     """``(by, key, cluster, silhouette)`` of every point under several labellings ``(by, key, cluster)`` at once.
 
-    Blocks of packed vectors meet once per pair, whatever the number of labellings, and give each block one table of
-    distance sums (points by clusters); the tables of a block are added up as they stream by.  A vector travels
-    once per BLOCK points.  The clusters of all labellings, with their sizes, are known to every task.  Vectors of one
-    number are scored from running counts and sums, without pairs.
+    A block of packed vectors meets all others in one task, whatever the number of labellings, and keeps one table of
+    distance sums (points by clusters) meanwhile; no distance or sum travels.  The clusters of all labellings, with
+    their sizes, are known to every task.  Vectors of one number are scored from running counts and sums, without pairs.
     """
     spark = points.sparkSession
     labels = labels.filter(F.col(cluster).isNotNull())
@@ -175,6 +180,13 @@ def silhouette_points(points: DataFrame, labels: DataFrame, key: str, cluster: s
     clusters = labels.groupBy(by, cluster).agg(F.count(F.lit(1)).alias("n")).orderBy(by, cluster).collect()
     if not clusters:
         return spark.createDataFrame([], schema)
+    # Runs of the same labels are scored once.
+    alike: dict[tuple, list] = {}
+    signs = labels.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(key, cluster).cast("decimal(20,0)")).alias("a"), F.sum(F.hash(key, cluster).cast("long")).alias("b"))
+    for r in signs.orderBy(by).collect():
+        alike.setdefault((r["n"], r["a"], r["b"]), []).append(r[by])
+    twins = {same[0]: same for same in alike.values()}
+    clusters = [r for r in clusters if r[by] in twins]
     runs = sorted({r[by] for r in clusters})
     sizes, names = np.array([r["n"] for r in clusters], float), [r[cluster] for r in clusters]
     run_of = np.array([runs.index(r[by]) for r in clusters])
@@ -193,62 +205,47 @@ def silhouette_points(points: DataFrame, labels: DataFrame, key: str, cluster: s
             key, F.posexplode(F.arrays_zip("codes", "scores")).alias("run__", "cell")
         )
         found = found.select(key, "run__", F.col("cell.codes").alias("code__"), F.col("cell.scores").alias("silhouette"))
-        return found.join(coded, ["run__", "code__"]).select(by, key, cluster, "silhouette")
-    n_blocks = max(1, -(-n_points // min(BLOCK, max(256, BLOCK_FIELDS // width))))
+        of_run = spark.createDataFrame([(i, twin) for i, run in enumerate(runs) for twin in twins[run]], f"run__ int, {by} {kinds[by]}")
+        return found.join(coded.drop(by), ["run__", "code__"]).join(of_run, "run__").select(by, key, cluster, "silhouette")
+    n_blocks = max(1, -(-n_points // min(BLOCK, max(256, -(-n_points // 8)))))
+    # Points of a block that a task scores, enough tasks for all.
+    most = min(max(1, BLOCK_FIELDS // width), max(256, -(-n_points // 32)))
+    arrow = {name: pa_type(labels.schema[name].dataType) for name in (by, key, cluster)}
 
     def pack(rows):
         x = np.array(rows.column(vector).to_pylist(), dtype=np.float64)
         code = np.array(rows.column("codes").to_pylist(), dtype=np.int32)
+        # Points of the same clusters lie together.
+        order = np.lexsort(code.T[::-1])
+        keys = rows.column(key).take(pa.array(order)).to_pylist()
         return pa.table(
             {
                 "part": pa.array([rows.column("part")[0].as_py()], pa.int64()),
-                "keys": pa.array([rows.column(key).to_pylist()], pa.list_(rows.schema.field(key).type)),
-                "x": pa.array([x.tobytes()], pa.binary()),
-                "codes": pa.array([code.tobytes()], pa.binary()),
+                "keys": pa.array([keys], pa.list_(rows.schema.field(key).type)),
+                "x": pa.array([x[order].tobytes()], pa.binary()),
+                "codes": pa.array([code[order].tobytes()], pa.binary()),
             }
         )
 
     part = F.pmod(F.xxhash64(key), F.lit(n_blocks)).alias("part")
     blocks = labelled.select(key, vector, "codes", part).groupBy("part")
     blocks = materialised(blocks.applyInArrow(pack, f"part bigint, keys array<{kinds[key]}>, x binary, codes binary"))
-    partner = F.explode(F.sequence(F.col("part"), F.lit(n_blocks - 1).cast("long")))
-    left = blocks.select(F.col("part").alias("own"), F.col("x").alias("lx"), F.col("codes").alias("lcodes"), partner.alias("part"))
-    pairs = left.join(blocks.select("part", F.col("x").alias("rx"), F.col("codes").alias("rcodes")), "part")
-
-    def table(codes: bytes | pa.Buffer) -> np.ndarray:
-        return np.frombuffer(codes, np.int32).reshape(-1, len(runs))
-
-    def member(codes: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(codes), width))
-        i, t = np.nonzero(codes >= 0)
-        out[i, codes[i, t]] = 1
-        return out
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                # Blocks are read where they lie in the batch, never copied.
-                own, part, *held = (batch.column(c)[k] for c in ("own", "part", "lcodes", "rcodes", "lx", "rx"))
-                sides = [table(c.as_buffer()) for c in held[:2]]
-                x, y = (np.frombuffer(c.as_buffer(), np.float64).reshape(len(s), -1) for c, s in zip(held[2:], sides, strict=True))
-                own, part = own.as_py(), part.as_py()
-                ones, same = [member(s) for s in sides], own == part
-                total = [np.zeros_like(o) for o in ones]
-                for at in range(0, len(x), STRIP):
-                    near = pairwise(x[at : at + STRIP], y)
-                    total[0][at : at + STRIP] = near @ ones[1]
-                    if not same:
-                        total[1] += near.T @ ones[0][at : at + STRIP]
-                done = [(own, total[0])] + ([] if same else [(part, total[1])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in done], pa.int64()), pa.array([t.tobytes() for _, t in done], pa.binary())], ["part", "total"]
-                )
-
-    met = pairs.mapInArrow(sums, "part bigint, total binary")
-    stream = blocks.select("part", "keys", "codes").unionByName(met, allowMissingColumns=True).repartition("part")
-    arrow = {name: pa_type(labels.schema[name].dataType) for name in (by, key, cluster)}
 
-    def scores(keys, codes: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def table(codes: pa.Scalar) -> np.ndarray:
+        return np.frombuffer(codes.as_buffer(), np.int32).reshape(-1, len(runs))
+
+    def groups(codes: np.ndarray) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Where points of other clusters begin and, per run, the order of those groups by cluster, where a cluster begins there, and its code."""
+        starts = np.flatnonzero(np.concatenate([[True], (codes[1:] != codes[:-1]).any(1)]))
+        found = []
+        for own in codes[starts].T:
+            order = np.argsort(own, kind="stable")
+            order = order[own[order] >= 0]
+            first = np.flatnonzero(np.diff(own[order], prepend=-1))
+            found.append((order, first, own[order][first]))
+        return starts, found
+
+    def scores(keys: pa.Array, codes: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
         for t, run in enumerate(runs):
             own = codes[:, t]
             rows, mine = np.flatnonzero(own >= 0), np.flatnonzero(run_of == t)
@@ -262,27 +259,38 @@ def silhouette_points(points: DataFrame, labels: DataFrame, key: str, cluster: s
                 mean[at, place] = np.inf
                 outer = mean.min(1)
                 value = np.where(n > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-300), 0.0)
-            columns = ([run] * len(rows), [keys[i] for i in rows], [names[c] for c in own[rows]])
-            columns = [pa.array(c, arrow[name]) for name, c in zip((by, key, cluster), columns, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(value, pa.float64())], [by, key, cluster, "silhouette"])
+            columns = [keys.take(pa.array(rows)).cast(arrow[key]), pa.array([names[c] for c in own[rows]], arrow[cluster]), pa.array(value, pa.float64())]
+            for twin in twins[run]:
+                yield pa.RecordBatch.from_arrays([pa.array([twin] * len(rows), arrow[by]), *columns], [by, key, cluster, "silhouette"])
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
         for batch in batches:
             for k in range(batch.num_rows):
-                keys, codes, total = (batch.column(c)[k] for c in ("keys", "codes", "total"))
-                if keys.is_valid:
-                    if held:
-                        yield from scores(*held)
-                    codes = table(codes.as_py())
-                    held = (keys.as_py(), codes, np.zeros((len(codes), width)))
-                else:
-                    held[2][...] += np.frombuffer(total.as_buffer(), np.float64).reshape(-1, width)
-        if held:
-            yield from scores(*held)
-
-    ordered = stream.sortWithinPartitions("part", F.col("keys").isNull())
-    return ordered.select("keys", "codes", "total").mapInArrow(finish, schema)
+                # Blocks are read where they lie in the batch; of its own block a task keeps keys, codes and sums.
+                own = (batch.column("l_part")[k].as_py(), batch.column("l_piece")[k].as_py())
+                if own not in held:
+                    codes = table(batch.column("l_codes")[k]).copy()
+                    keys = pa.array(batch.column("l_keys")[k].as_py(), batch.schema.field("l_keys").type.value_type)
+                    held[own] = (keys, codes, np.zeros((len(codes), width)))
+                starts, found = groups(table(batch.column("r_codes")[k]))
+                x, y = (np.frombuffer(batch.column(f"{s}_x")[k].as_buffer(), np.float64).reshape(n, -1) for s, n in (("l", len(held[own][1])), ("r", len(table(batch.column("r_codes")[k])))))
+                total = held[own][2]
+                for at in range(0, len(x), STRIP):
+                    near = np.add.reduceat(pairwise(x[at : at + STRIP], y), starts, axis=1)
+                    for order, first, codes in found:
+                        if len(order):
+                            total[at : at + STRIP, codes] += np.add.reduceat(near[:, order], first, axis=1)
+        for block in held.values():
+            yield from scores(*block)
+
+    def cut(c: str) -> Column:
+        entry = F.length(c) / F.size("keys")
+        return F.substring(F.col(c), (F.col("piece") * most * entry + 1).cast("int"), (most * entry).cast("int")).alias(c)
+
+    piece = F.explode(F.sequence(F.lit(0), F.floor((F.size("keys") - 1) / most).cast("int"))).alias("piece")
+    pieces = blocks.select("*", piece).select("part", "piece", F.slice("keys", F.col("piece") * most + 1, F.lit(most)).alias("keys"), cut("x"), cut("codes"))
+    return meetings(pieces, blocks.select("x", "codes"), ["part", "piece"]).mapInArrow(run, schema)
 
 
 def silhouette(df: DataFrame, key: str, cluster: str, vector: str = "vector", sample_size: int | None = None) -> float | None:

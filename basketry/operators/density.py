@@ -1,35 +1,37 @@
 """Density clustering and neighbour distances on blocks of vectors.
 
-Points meet as blocks: up to some thousand vectors packed in one row.  Block pairs are the unit of
-work, so a crowded region becomes many equal tasks, and a pair of blocks returns counts or a spanning
-forest, never its point pairs; several settings are counted and linked in the same visit.  Which blocks can hold neighbours follows from the triangle inequality:
-two points within eps differ by at most eps in their distance to any fixed pivot, so they lie in the
-same or adjacent cells of the pivot grid.  Equal points are merged first.
+Points meet as blocks: up to some thousand vectors packed in one row.  A task holds one block and reads the others one
+after the other, so a crowded region becomes many equal tasks.  What is found about the points of a block stays with it:
+tables of counts or distances, components linked inside the block.  Only edges between components of two blocks, and
+what non-core points touch, are rows, never point pairs; several settings are counted and linked in the same visit.
+Which blocks can hold neighbours follows from the triangle inequality: two points within eps differ by at most eps in
+their distance to any fixed pivot, so they lie in the same or adjacent cells of the pivot grid.  Equal points are merged
+first.
 """
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Iterator, Sequence
-from itertools import product
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions import ranks
+from basketry.operators.blocks import meetings
 from basketry.operators.cluster_metrics import pairwise, silhouettes
 from basketry.operators.segments import label_summary
 from basketry.session import materialised
 from basketry.sources.tables import random_sample, seeded_key
 
 #: Points in a block, at most and at least (small inputs); distances of two blocks are made STRIP rows at a time.
-BLOCK, SMALLEST, STRIP = 8192, 256, 256
+BLOCK, SMALLEST, STRIP = 8192, 256, 128
 PIVOTS = 2
-#: Columns packed beside the vectors.
-COLUMNS = {"w": np.int64, "core": np.bool_}
+#: What blocks hold as bytes; ``core`` and ``component`` have one entry per point and trial.
+COLUMNS = {"vector": np.float64, "w": np.int64, "core": np.bool_, "component": np.int32}
 
 
 def _pivots(points: DataFrame) -> np.ndarray:
@@ -63,165 +65,196 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _block_size(n: int) -> int:
-    """Points of a block: few blocks, as every vector travels once per block it meets, but enough to keep all tasks busy."""
+    """Points of a block: few blocks, as every task reads all blocks, but enough to keep all tasks busy."""
     return min(BLOCK, max(SMALLEST, -(-n // 32)))
 
 
-def _packed(points: DataFrame, by: Sequence[str], columns: Sequence[str] = ()) -> DataFrame:
-    """One row per group of ``by``: ids as an array, vectors and the named whole-number or boolean columns as bytes."""
-    kinds = {c: points.schema[c].dataType.simpleString() for c in (*by, "pid")}
+def _packed(points: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row per ``part``: sorted ids as an array, the named columns as bytes, least and largest cell where there are any."""
+    kind = points.schema["pid"].dataType.simpleString()
+    boxed = "cell" in points.columns
 
     def pack(rows: pa.Table) -> pa.Table:
-        packed = {c: np.array(rows.column(c).to_pylist(), dtype=kind).tobytes() for c, kind in (("vector", float), *[(c, COLUMNS[c]) for c in columns])}
-        return pa.table(
-            {c: rows.column(c).slice(0, 1) for c in by}
-            | {"pids": pa.array([rows.column("pid").to_pylist()], pa.list_(rows.schema.field("pid").type))}
-            | {c: pa.array([data], pa.binary()) for c, data in packed.items()}
-        )
+        rows = rows.sort_by("pid")
+        packed = {c: np.array(rows.column(c).to_pylist(), dtype=COLUMNS[c]).tobytes() for c in columns}
+        out = {"part": rows.column("part").slice(0, 1), "pids": pa.array([rows.column("pid").to_pylist()], pa.list_(rows.schema.field("pid").type))}
+        if boxed:
+            cells = np.array(rows.column("cell").to_pylist(), np.int64)
+            out |= {"low": pa.array([cells.min(0).tolist()]), "high": pa.array([cells.max(0).tolist()])}
+        return pa.table(out | {c: pa.array([data], pa.binary()) for c, data in packed.items()})
 
-    fields = [f"{c} {kinds[c]}" for c in by] + [f"pids array<{kinds['pid']}>"] + [f"{c} binary" for c in ("vector", *columns)]
-    return materialised(points.select(*by, "pid", "vector", *columns).groupBy(*by).applyInArrow(pack, ", ".join(fields)))
+    box = ", low array<bigint>, high array<bigint>" if boxed else ""
+    fields = f"part bigint, pids array<{kind}>{box}" + "".join(f", {c} binary" for c in columns)
+    rows = points.select("part", "pid", *(["cell"] if boxed else []), *columns)
+    return materialised(rows.groupBy("part").applyInArrow(pack, fields))
 
 
 def _blocks(points: DataFrame, *columns: str) -> DataFrame:
-    """Stack points of a cell into blocks of about equal size, whatever the size of the cell."""
+    """Points in the order of their cells, cut into blocks of about equal size, whatever the sizes of the cells."""
     size = _block_size(points.count())
-    sizes = points.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
-    part = F.pmod(F.xxhash64("pid"), F.col("parts"))
-    return _packed(points.join(sizes, "cell").withColumn("part", part), ["cell", "part"], columns)
-
-
-def _met(pairs: DataFrame, blocks: DataFrame, at: Sequence[str]) -> DataFrame:
-    """Blocks of each pair (``l_`` and ``r_`` columns that name them) side by side."""
-    for side in ("l_", "r_"):
-        pairs = pairs.join(blocks.select([F.col(c).alias(side + c) for c in blocks.columns]), [side + c for c in at])
-    return pairs
-
-
-def _block_pairs(blocks: DataFrame) -> DataFrame:
-    """Pairs of blocks in the same or adjacent cells, each once, a block with itself included."""
-    shifts = F.array(*[F.array(*[F.lit(s).cast("long") for s in step]) for step in product((-1, 0, 1), repeat=PIVOTS)])
-    moved = F.transform(shifts, lambda s: F.zip_with("l_cell", s, lambda a, b: a + b))
-    left = blocks.select(F.col("cell").alias("l_cell"), F.col("part").alias("l_part")).withColumn("r_cell", F.explode(moved))
-    pairs = left.join(blocks.select(F.col("cell").alias("r_cell"), F.col("part").alias("r_part")), "r_cell")
-    ordered = F.struct(F.col("l_cell").alias("cell"), F.col("l_part").alias("part")) <= F.struct(F.col("r_cell").alias("cell"), F.col("r_part").alias("part"))
-    same = (F.col("l_cell") == F.col("r_cell")) & (F.col("l_part") == F.col("r_part"))
-    # Written, so that the joins know that the names of the pairs are few.
-    return _met(materialised(pairs.filter(ordered).withColumn("same", same)), blocks, ["cell", "part"])
-
-
-def _sides(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple[dict, dict, bool]]:
-    """Both blocks of every row and whether they are one; arrays lie in the batch itself."""
-
-    def side(i: int, name: str) -> dict:
-        pids = batch.column(f"{name}_pids")[i].values
-        out = {"pid": pids}
-        for c, kind in (("vector", float), *[(c, COLUMNS[c]) for c in columns]):
-            out[c] = np.frombuffer(batch.column(f"{name}_{c}")[i].as_buffer(), kind).reshape(len(pids), -1)
-        return out
+    cells = points.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumn("all", F.lit("all"))
+    placed = ranks.running_counts(cells, ["all"], "cell", few_groups=True).select("cell", "n", "below")
+    part = F.floor((F.col("below") + F.pmod(F.xxhash64("pid"), "n")) / size).cast("long")
+    return _packed(points.join(placed, "cell").withColumn("part", part), columns)
 
-    for i in range(batch.num_rows):
-        yield side(i, "l"), side(i, "r"), batch.column("same")[i].as_py()
 
+def _adjacent() -> Column:
+    """Whether points of the blocks ``l_`` and ``r_`` can lie in the same or adjacent cells."""
+    met = F.lit(True)
+    for i in range(PIVOTS):
+        met = met & (F.col("l_low")[i] <= F.col("r_high")[i] + 1) & (F.col("r_low")[i] <= F.col("l_high")[i] + 1)
+    return met
 
-def _strips(l: dict, r: dict, metric: str, p: float) -> Iterator[tuple[slice, np.ndarray]]:
-    """Distances of two blocks, some rows of the left one at a time."""
-    for at in range(0, len(l["pid"]), STRIP):
-        rows = slice(at, at + STRIP)
-        yield rows, pairwise(l["vector"][rows], r["vector"], metric, p)
 
+def _side(batch: pa.RecordBatch, i: int, name: str) -> dict:
+    """Columns of one block at row ``i``, one row per point; numbers lie in the batch itself."""
+    out = {"part": batch.column(f"{name}_part")[i].as_py()}
+    if f"{name}_pids" in batch.schema.names:
+        out["pids"] = batch.column(f"{name}_pids")[i].values
+    for c, kind in COLUMNS.items():
+        if f"{name}_{c}" in batch.schema.names:
+            out[c] = np.frombuffer(batch.column(f"{name}_{c}")[i].as_buffer(), kind)
+    n = len(next(out[c] for c in ("w", "pids") if c in out))
+    return out | {c: out[c].reshape(n, -1) for c in out if c in COLUMNS}
 
-def _codes(*pids: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted distinct ids of any type that can be ordered, and the place of each given id among them."""
-    values = [np.array(x.to_pylist()) for x in pids]
-    names, code = np.unique(np.concatenate(values), return_inverse=True)
-    return names, np.split(code, np.cumsum([len(v) for v in values])[:-1])
 
+def _kept(side: dict) -> dict:
+    """A copy that outlives the batch."""
+    return {c: v if c == "part" else pa.array(v.to_pylist(), v.type) if c == "pids" else v.copy() for c, v in side.items()}
 
-def _neighbour_weights(pairs: DataFrame, eps: Sequence[float], metric: str, p: float) -> DataFrame:
-    """Weight of the points within every eps of every point, itself included: ``(pid, weight)``, an array."""
-    kind = pairs.schema["l_pids"].dataType.elementType.simpleString()
+
+def _strips(l: np.ndarray, r: np.ndarray, metric: str, p: float) -> Iterator[tuple[slice, np.ndarray]]:
+    """Distances of two blocks, some rows of the left one at a time."""
+    for at in range(0, len(l), STRIP):
+        rows = slice(at, at + STRIP)
+        yield rows, pairwise(l[rows], r, metric, p)
+
+
+def _near(l: np.ndarray, r: np.ndarray, eps: float, metric: str, p: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of two blocks within ``eps``: places in either and distances, some rows of the left one at a time."""
+    for rows, distance in _strips(l, r, metric, p):
+        at = np.flatnonzero((distance <= eps).ravel())
+        i, j = np.divmod(at, len(r))
+        yield rows.start + i, j, distance.ravel()[at]
+
+
+def _joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Labels after the points u and v of each pair are found to be connected; smaller ones spread until nothing changes."""
+    u, v = label[u], label[v]
+    root = np.arange(len(label))
+    while len(u):
+        low = np.minimum(root[u], root[v])
+        before = root.copy()
+        np.minimum.at(root, u, low)
+        np.minimum.at(root, v, low)
+        root = root[root]
+        if (root == before).all():
+            break
+    return root[label]
+
+
+def _cored(blocks: DataFrame, settings: Sequence[tuple[float, int]], metric: str, p: float) -> DataFrame:
+    """The blocks with ``core`` and ``component`` per trial: a core point's component is the place of the first point in its
+    block that core points of the block connect it with, other points have -1."""
+    radii = sorted({e for e, _ in settings})
+    kind = blocks.schema["pids"].dataType.elementType.simpleString()
+
+    def finished(block: dict, within: np.ndarray) -> pa.RecordBatch:
+        core = np.stack([within[:, radii.index(e)] >= m for e, m in settings], axis=1)
+        label = [np.arange(len(core)) for _ in settings]
+        if core.any():
+            for i, j, distance in _near(block["vector"], block["vector"], radii[-1], metric, p):
+                for t, (e, _) in enumerate(settings):
+                    at = np.flatnonzero((distance <= e) & core[i, t] & core[j, t] & (label[t][i] > label[t][j]))
+                    if len(at):
+                        label[t] = _joined(label[t], i[at], j[at])
+        component = np.where(core, np.stack(label, axis=1), -1).astype(np.int32)
+        numbers = [block["vector"], block["w"], core, component]
+        columns = [pa.array([block["part"]], pa.int64()), *[pa.array([block[c].ravel().tolist()], pa.list_(pa.int64())) for c in ("low", "high")]]
+        columns += [pa.ListArray.from_arrays(pa.array([0, len(core)], pa.int32()), block["pids"]), *[pa.array([x.tobytes()], pa.binary()) for x in numbers]]
+        return pa.RecordBatch.from_arrays(columns, ["part", "low", "high", "pids", *COLUMNS])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                l, r = _side(batch, k, "l"), _side(batch, k, "r")
+                if l["part"] not in held:
+                    box = {c: np.array(batch.column(f"l_{c}")[k].as_py()) for c in ("low", "high")}
+                    held[l["part"]] = (_kept(l | box), np.zeros((len(l["w"]), len(radii)), np.int64))
+                sums, w = held[l["part"]][1], r["w"][:, 0].astype(float)
+                for i, j, distance in _near(l["vector"], r["vector"], radii[-1], metric, p):
+                    # By the least radius that reaches the neighbour.
+                    cell = i * len(radii) + np.searchsorted(radii, distance)
+                    sums += np.bincount(cell, w[j], sums.size).astype(np.int64).reshape(sums.shape)
+        for block, sums in held.values():
+            yield finished(block, sums.cumsum(1))
+
+    met = meetings(blocks, blocks.drop("pids"), ["part"], _adjacent())
+    fields = f"part bigint, low array<bigint>, high array<bigint>, pids array<{kind}>" + "".join(f", {c} binary" for c in COLUMNS)
+    return materialised(met.mapInArrow(run, fields))
+
+
+def _links(blocks: DataFrame, radii: Sequence[float], metric: str, p: float) -> DataFrame:
+    """What blocks tell about each trial ``t``: edges that connect the components of two blocks (``core``), and for every other
+    point the components it touches.  A component goes by the id of its first point."""
+    kind = blocks.schema["pids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
         for batch in batches:
-            for l, r, same in _sides(batch, "w"):
-                lw, rw = (s["w"][:, 0].astype(float) for s in (l, r))
-                weight = [np.zeros((len(l["pid"]), len(eps))), np.zeros((len(r["pid"]), len(eps)))]
-                for rows, distance in _strips(l, r, metric, p):
-                    for t, e in enumerate(eps):
-                        near = (distance <= e).astype(float)
-                        weight[0][rows, t] = near @ rw
-                        if not same:
-                            weight[1][:, t] += lw[rows] @ near
-                for s, w in [(l, weight[0])] if same else [(l, weight[0]), (r, weight[1])]:
-                    offsets = np.arange(0, w.size + 1, len(eps), dtype=np.int32)
-                    lists = pa.ListArray.from_arrays(offsets, pa.array(w.ravel().astype(np.int64)))
-                    yield pa.RecordBatch.from_arrays([s["pid"], lists], ["pid", "weight"])
-
-    met = pairs.mapInArrow(run, f"pid {kind}, weight array<bigint>")
-    sums = [F.sum(F.col("weight")[i]) for i in range(len(eps))]
-    return met.groupBy("pid").agg(F.array(*sums).alias("weight"))
-
-
-def _local_links(pairs: DataFrame, eps: Sequence[float], metric: str, p: float) -> DataFrame:
-    """What each block pair tells about each trial ``t``: a spanning forest of its core points as edges u > v
-    (``core``), and for every other point the forest roots it touches."""
-    kind = pairs.schema["l_pids"].dataType.elementType.simpleString()
-
-    def joined(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        """Labels run over the distinct ids of both blocks; smaller ones spread until nothing changes."""
-        u, v = label[u], label[v]
-        root = np.arange(len(label))
-        while len(u):
-            low = np.minimum(root[u], root[v])
-            before = root.copy()
-            np.minimum.at(root, u, low)
-            np.minimum.at(root, v, low)
-            root = root[root]
-            if (root == before).all():
-                break
-        return root[label]
-
-    def touches(at: np.ndarray, near: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Distinct (point, label) of rows near columns of these labels."""
-        order = np.argsort(label, kind="stable")
-        first = np.flatnonzero(np.diff(label[order], prepend=-1))
-        if not len(at) or not len(first):
-            return np.zeros((2, 0), np.int64)
-        i, j = np.nonzero(np.logical_or.reduceat(near[:, order], first, axis=1))
-        return np.stack([at[i], label[order][first][j]])
+            for k in range(batch.num_rows):
+                l, r = _side(batch, k, "l"), _side(batch, k, "r")
+                n, m = len(l["pids"]), len(r["pids"])
+                # What this task has connected stays so: an edge is told once.
+                labels = held.setdefault(l["part"], l["component"].astype(np.int64).T.copy())
+                pairs: list[list[np.ndarray]] = [[] for _ in radii]
+                touched: list[list[np.ndarray]] = [[] for _ in radii]
+                for i, j, distance in _near(l["vector"], r["vector"], max(radii), metric, p):
+                    for t, e in enumerate(radii):
+                        at = np.flatnonzero((distance <= e) & r["core"][j, t])
+                        own, other = i[at], r["component"][j[at], t].astype(np.int64)
+                        core = l["core"][own, t]
+                        touched[t].append(np.unique(own[~core] * m + other[~core]))
+                        if r["part"] < l["part"]:
+                            pairs[t].append(np.unique(labels[t][own[core]] * m + other[core]))
+                for t in range(len(radii)):
+                    at = np.unique(np.concatenate(touched[t])) if touched[t] else np.zeros(0, np.int64)
+                    yield from edges(t, [l["pids"].take(pa.array(at // m))], [r["pids"].take(pa.array(at % m))], False)
+                    met = np.unique(np.concatenate(pairs[t])) if pairs[t] else np.zeros(0, np.int64)
+                    if len(met):
+                        root = _joined(np.arange(n + m), met // m, n + met % m)
+                        u = np.flatnonzero(root < np.arange(n + m))
+                        inner, outer = u[u < n], u[u >= n]
+                        ends = [l["pids"].take(pa.array(inner)), r["pids"].take(pa.array(outer - n))]
+                        yield from edges(t, ends, [l["pids"].take(pa.array(root[u]))], True)
+                        here = labels[t] >= 0
+                        labels[t][here] = root[labels[t][here]]
+
+    def edges(t: int, u: Sequence[pa.Array], v: Sequence[pa.Array], core: bool) -> Iterator[pa.RecordBatch]:
+        u, v = pa.concat_arrays(u), pa.concat_arrays(v)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array([t] * len(u), pa.int32()), u, v, pa.array([core] * len(u))], ["t", "u", "v", "core"])
+
+    held = blocks.drop("w")
+    return meetings(held, held, ["part"], _adjacent()).mapInArrow(run, f"t int, u {kind}, v {kind}, core boolean")
+
+
+def _points(blocks: DataFrame) -> DataFrame:
+    """``(t, pid, w, component)`` per point and trial, the component by the id of its first point, null without one."""
+    kind = blocks.schema["pids"].dataType.elementType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for l, r, same in _sides(batch, "core"):
-                names, (lat, rat) = _codes(l["pid"], r["pid"])
-                labels = [np.arange(len(names)) for _ in eps]
-                touched: list[list[np.ndarray]] = [[] for _ in eps]
-                for rows, distance in _strips(l, r, metric, p):
-                    for t, e in enumerate(eps):
-                        near, at = distance <= e, lat[rows]
-                        lcore, rcore = l["core"][rows, t], r["core"][:, t]
-                        lin, rin = np.flatnonzero(lcore), np.flatnonzero(rcore)
-                        among = near[np.ix_(lin, rin)]
-                        among = among & (labels[t][at[lin]][:, None] != labels[t][rat[rin]][None, :])
-                        i, j = np.nonzero(among)
-                        if len(i):
-                            labels[t] = joined(labels[t], at[lin[i]], rat[rin[j]])
-                        lout, rout = np.flatnonzero(~lcore), np.flatnonzero(~rcore)
-                        touched[t].append(touches(at[lout], near[np.ix_(lout, rin)], labels[t][rat[rin]]))
-                        if not same:
-                            touched[t].append(touches(rat[rout], near[np.ix_(lin, rout)].T, labels[t][at[lin]]))
-                for t, label in enumerate(labels):
-                    core = np.unique(np.concatenate([lat[l["core"][:, t]], rat[r["core"][:, t]]]))
-                    child = core[label[core] < core]
-                    touch = np.concatenate(touched[t], axis=1)
-                    touch = np.unique(np.stack([touch[0], label[touch[1]]]), axis=1)
-                    u, v = np.concatenate([child, touch[0]]), np.concatenate([label[child], touch[1]])
-                    if len(u):
-                        columns = [pa.array([t] * len(u), pa.int32()), pa.array(names[u].tolist(), l["pid"].type), pa.array(names[v].tolist(), l["pid"].type)]
-                        yield pa.RecordBatch.from_arrays([*columns, pa.array(np.arange(len(u)) < len(child))], ["t", "u", "v", "core"])
-
-    return pairs.mapInArrow(run, f"t int, u {kind}, v {kind}, core boolean").distinct()
+            for k in range(batch.num_rows):
+                block = _side(batch, k, "l")
+                for t, at in enumerate(block["component"].T):
+                    first = block["pids"].take(pa.array(at, mask=at < 0))
+                    columns = [pa.array([t] * len(at), pa.int32()), block["pids"], pa.array(block["w"][:, 0]), first]
+                    yield pa.RecordBatch.from_arrays(columns, ["t", "pid", "w", "component"])
+
+    rows = blocks.select(*[F.col(c).alias(f"l_{c}") for c in ("part", "pids", "w", "component")])
+    return rows.mapInArrow(run, f"t int, pid {kind}, w bigint, component {kind}")
 
 
 def connected_components(edges: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -282,23 +315,22 @@ def dbscan_trials(
 
     Blocks meet twice, whatever the number of settings: once to count neighbours, once to link core points.
     """
-    radii = sorted({e for e, _ in settings})
     data = df.select(key, F.col(vector).alias("vector"))
     merged = materialised(data.groupBy("vector").agg(F.min(key).alias("pid"), F.count(F.lit(1)).alias("w")))
-    points = materialised(_with_cells(merged, radii[-1], metric, p))
-    weights = _neighbour_weights(_block_pairs(_blocks(points, "w")), radii, metric, p)
-    enough = F.array(*[F.coalesce(F.col("weight")[radii.index(e)] >= m, F.lit(False)) for e, m in settings])
-    marked = materialised(points.join(weights, "pid", "left").select("pid", "vector", "cell", "w", enough.alias("core")))
-    links = materialised(_local_links(_block_pairs(_blocks(marked, "core")), [e for e, _ in settings], metric, p))
-    linked = connected_components(links.filter("core").select("t", "u", "v"), ["t"])
-    per_trial = marked.select("pid", "w", F.posexplode("core").alias("t", "core"))
-    core = materialised(
-        per_trial.filter("core").join(linked, ["t", "pid"], "left").select("t", "pid", "w", F.coalesce("root", "pid").alias("root"))
-    )
-    touched = links.filter("not core").select("t", F.col("u").alias("of"), F.col("v").alias("pid"))
-    touched = touched.join(core.select("t", "pid", "root"), ["t", "pid"]).groupBy("t", F.col("of").alias("pid")).agg(F.min("root").alias("root"))
-    border = per_trial.filter("not core").join(touched, ["t", "pid"], "left").select("t", "pid", "w", "root")
-    placed = materialised(core.unionByName(border))
+    points = materialised(_with_cells(merged, max(e for e, _ in settings), metric, p))
+    blocks = _cored(_blocks(points, "vector", "w"), settings, metric, p)
+    links = materialised(_links(blocks, [e for e, _ in settings], metric, p))
+    linked = materialised(connected_components(links.filter("core").select("t", "u", "v"), ["t"]))
+
+    def rooted(rows: DataFrame, component: str) -> DataFrame:
+        """Add ``root``, the smallest id of all that the component is connected with."""
+        known = linked.withColumnRenamed("pid", component)
+        return rows.join(known, ["t", component], "left").withColumn("root", F.coalesce("root", component))
+
+    of = F.col("u").alias("pid")
+    touched = rooted(links.filter("not core").select("t", of, F.col("v").alias("touched")), "touched").groupBy("t", "pid").agg(F.min("root").alias("border"))
+    placed = rooted(_points(blocks), "component").join(touched, ["t", "pid"], "left")
+    placed = materialised(placed.select("t", "pid", "w", F.coalesce("root", "border").alias("root")))
     sizes = placed.filter(F.col("root").isNotNull()).groupBy("t", "root").agg(F.sum("w").alias("size"))
     # Position by (size, root): a count of larger clusters, found without sorting them in one task.
     order = F.struct((-F.col("size")).alias("s"), "root")
@@ -312,65 +344,59 @@ def dbscan_trials(
 def nearest_distances(
     df: DataFrame, key: str, ks: Sequence[int], metric: str = "euclidean", p: float = 2.0, vector: str = "vector"
 ) -> DataFrame:
-    """I12 for several k at once: ``(key, distances)``, the k-th nearest distance per entry of ``ks``, itself counted.
+    """I12 for several k at once: ``(key, distances)``, the k-th nearest distance per entry of ``ks``, itself counted."""
+    return _nearest(df, key, ks, [metric], p, vector).withColumnRenamed(metric, "distances")
+
+
+def _nearest(df: DataFrame, key: str, ks: Sequence[int], metrics: Sequence[str], p: float, vector: str) -> DataFrame:
+    """``nearest_distances`` by several metrics, one column each, from one visit.
 
-    All pairs of blocks are visited once, each giving a table of the largest k candidates per point; the tables of a
-    block are merged as they stream by.
+    A block keeps a table of the largest k candidates per point and metric while it meets all others.
     """
     points = materialised(df.select(F.col(key).alias("pid"), F.col(vector).alias("vector")))
     n, kind = points.count(), points.schema["pid"].dataType.simpleString()
     most, n_blocks = max(ks), max(1, -(-n // _block_size(n)))
-    blocks = _packed(points.withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(n_blocks))), ["part"])
-    # Every two blocks meet once and serve both ways.
-    pairs = blocks.select(F.col("part").alias("l_part"), F.explode(F.sequence(F.col("part"), F.lit(n_blocks - 1).cast("long"))).alias("r_part"))
-    pairs = _met(materialised(pairs.withColumn("same", F.col("l_part") == F.col("r_part"))), blocks, ["part"])
+    # Any part will do; the ids of a part need not be distinct.
+    blocks = _packed(points.withColumn("part", F.pmod(F.xxhash64("pid"), F.lit(n_blocks))), ["vector"])
+
+    def least(found: np.ndarray, more: np.ndarray) -> None:
+        """Keep the smallest numbers of each row of both; nan stands for none."""
+        most_far = found.max(1)
+        if np.isnan(most_far).any():
+            found[:] = np.partition(np.concatenate([found, more], axis=1), most - 1, axis=1)[:, :most]
+            return
+        i, j = np.divmod(np.flatnonzero((more < most_far[:, None]).ravel()), more.shape[1])
+        if len(i):
+            counts = np.bincount(i, minlength=len(more))
+            rows = np.flatnonzero(counts)
+            fresh = np.full((len(rows), counts.max()), np.nan)
+            fresh[np.repeat(np.arange(len(rows)), counts[rows]), np.arange(len(i)) - (np.cumsum(counts) - counts)[i]] = more[i, j]
+            found[rows] = np.partition(np.concatenate([found[rows], fresh], axis=1), most - 1, axis=1)[:, :most]
 
-    def least(found: np.ndarray, more: np.ndarray) -> np.ndarray:
-        """The smallest ``most`` numbers of each row of both."""
-        both = np.concatenate([found, more], axis=1)
-        return np.partition(both, most - 1, axis=1)[:, :most] if both.shape[1] > most else both
-
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k, (l, r, same) in enumerate(_sides(batch)):
-                right = np.zeros((len(r["pid"]), 0))
-                left = []
-                for _, distance in _strips(l, r, metric, p):
-                    left.append(least(np.zeros((len(distance), 0)), distance))
-                    if not same:
-                        right = least(right, distance.T)
-                done = [(batch.column("l_part")[k].as_py(), np.concatenate(left))] + ([] if same else [(batch.column("r_part")[k].as_py(), right)])
-                parts, tables = pa.array([b for b, _ in done], pa.int64()), pa.array([x.tobytes() for _, x in done], pa.binary())
-                yield pa.RecordBatch.from_arrays([parts, tables], ["part", "near"])
-
-    met = pairs.mapInArrow(nearest, "part bigint, near binary")
-    stream = blocks.select("part", "pids").unionByName(met, allowMissingColumns=True).repartition("part")
-
-    def listed(pids: pa.Array, found: np.ndarray) -> pa.RecordBatch:
-        offsets = np.arange(0, found.size + 1, max(found.shape[1], 1), dtype=np.int32)
-        return pa.RecordBatch.from_arrays([pids, pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))], ["pid", "near"])
-
-    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The tables of a block follow its ids and are merged as they stream by."""
-        pids, found = None, None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
         for batch in batches:
-            for i in range(batch.num_rows):
-                if batch.column("pids")[i].is_valid:
-                    if pids is not None:
-                        yield listed(pids, found)
-                    # A copy of the ids alone, so that the batch can go.
-                    pids = pa.array(batch.column("pids")[i].as_py(), batch.schema.field("pids").type.value_type)
-                    found = np.zeros((len(pids), 0))
-                else:
-                    found = least(found, np.frombuffer(batch.column("near")[i].as_buffer(), float).reshape(len(pids), -1))
-        if pids is not None:
-            yield listed(pids, found)
-
-    ordered = stream.sortWithinPartitions("part", F.col("pids").isNull()).select("pids", "near")
+            for k in range(batch.num_rows):
+                l, y = _side(batch, k, "l"), np.frombuffer(batch.column("r_vector")[k].as_buffer())
+                y = y.reshape(-1, l["vector"].shape[1])
+                if l["part"] not in held:
+                    held[l["part"]] = (_kept(l)["pids"], [np.full((len(l["pids"]), most), np.nan) for _ in metrics])
+                for metric, found in zip(metrics, held[l["part"]][1], strict=True):
+                    for rows, distance in _strips(l["vector"], y, metric, p):
+                        least(found[rows], distance)
+        for pids, tables in held.values():
+            lists = []
+            for found in tables:
+                found = np.sort(found, axis=1)[:, : min(most, n)]
+                offsets = np.arange(0, found.size + 1, found.shape[1], dtype=np.int32)
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(found.ravel())))
+            yield pa.RecordBatch.from_arrays([pids, *lists], ["pid", *metrics])
+
+    met = meetings(blocks, blocks.select("vector"), ["part"])
+    lists = met.mapInArrow(run, f"pid {kind}" + "".join(f", {m} array<double>" for m in metrics))
     # Rows with one key share their candidates.
-    lists = ordered.mapInArrow(merged, f"pid {kind}, near array<double>").groupBy("pid").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("near"))
-    distances = F.array(*[F.get("near", F.lit(k - 1)) for k in ks])
-    return lists.select(F.col("pid").alias(key), distances.alias("distances"))
+    lists = lists.groupBy("pid").agg(*[F.array_sort(F.flatten(F.collect_list(m))).alias(m) for m in metrics])
+    return lists.select(F.col("pid").alias(key), *[F.array(*[F.get(m, F.lit(k - 1)) for k in ks]).alias(m) for m in metrics])
 
 
 def k_distances(
@@ -421,16 +447,15 @@ def dbscan_sweep(
     least two clusters, under 60% noise and under 70% of the labelled points in one cluster.  Without any, the
     row marked best is a cautious cosine setting.
 
-    Per metric, all trials share one table of neighbour distances and one clustering run; all labellings are scored
-    by one pass over the block pairs.
+    All trials share one visit for the distances of neighbours, those of a metric one clustering run; all labellings are
+    scored by one visit.
     """
     spark, trials, labellings = df.sparkSession, [], []
     data = df.select(key, vector)
     pool = data if sample_size is None else random_sample(data, sample_size, key, 42)
 
-    def proposals(metric: str, wanted: Sequence[int], qs: Sequence[float]) -> dict[int, list[float]]:
-        found = materialised(nearest_distances(pool, key, wanted, metric, vector=vector))
-        long = found.select(F.posexplode("distances").alias("i", "value")).filter(F.col("value").isNotNull())
+    def proposals(found: DataFrame, metric: str, wanted: Sequence[int], qs: Sequence[float]) -> dict[int, list[float]]:
+        long = found.select(F.posexplode(metric).alias("i", "value")).filter(F.col("value").isNotNull())
         out = {}
         names = {f"q{i}": q for i, q in enumerate(qs)}
         tables = [ranks.quantiles(x, names, ["i"]).collect() for x in (long, long.filter(F.col("value") > 0))]
@@ -439,8 +464,9 @@ def dbscan_sweep(
                 out[wanted[r["i"]]] = [max(r[n], SMALLEST_EPS.get(metric, 1e-6)) for n in names]
         return out
 
+    nearest = materialised(_nearest(pool, key, min_samples, metrics, 2.0, vector)) if metrics and min_samples else None
     for metric in metrics:
-        found = proposals(metric, min_samples, fractions)
+        found = proposals(nearest, metric, min_samples, fractions) if min_samples else {}
         settings = [(eps, m) for m in min_samples for eps in found.get(m, [])]
         if settings:
             labels = dbscan_trials(data, key, settings, metric, vector=vector)
@@ -459,6 +485,10 @@ def dbscan_sweep(
     if good:
         max(good, key=lambda t: round(t[6], 9))[8] = True  # the first of equal trials
     else:
-        cautious = proposals("cosine", [30], [0.05]).get(30, [SMALLEST_EPS["cosine"]])[0]
+        if "cosine" in metrics and 30 in min_samples:
+            least = nearest.select(F.array(F.col("cosine")[list(min_samples).index(30)]).alias("cosine"))
+        else:
+            least = materialised(_nearest(pool, key, [30], ["cosine"], 2.0, vector))
+        cautious = proposals(least, "cosine", [30], [0.05]).get(30, [SMALLEST_EPS["cosine"]])[0]
         trials.append(["cosine", 30, cautious, None, None, None, None, False, True])
     return spark.createDataFrame([tuple(t) for t in trials], TRIALS)

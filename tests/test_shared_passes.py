@@ -332,3 +332,26 @@ def test_features_are_made_once(spark):
     assert prepared.count() == 30 and prepared.agg(F.abs(F.sum(F.col("vector")[0])) < 1e-9).first()[0] and made.value == 30
     _, summary = cluster.segment_on(df.withColumn("recency", costly("recency")), "customer_id", ["recency", "monetary"], 2)
     assert summary.agg(F.sum("size")).first()[0] == 60 and made.value == 60
+
+
+def test_pairs_of_blocks_are_never_shuffled(spark, tmp_path):
+    """Blocks meet by reading, not by a join that deals out a copy of both for every pair."""
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(size=(900, 4)).tolist())], "id bigint, vector array<double>")
+    labels = df.select("id", (F.col("id") % 3).alias("c"))
+    for found in (density.nearest_distances(df, "id", [15]), cluster_metrics.silhouette_points(df, labels, "id", "c", "run")):
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "CartesianProduct" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+        assert found.count() == 900
+
+
+def test_silhouettes_of_equal_labellings_and_small_pieces(spark, monkeypatch):
+    """Equal labellings are scored once, under each name; pieces of a block are scored by several tasks."""
+    monkeypatch.setattr(cluster_metrics, "BLOCK_FIELDS", 64)
+    rng = random.Random(15)
+    x = [[rng.gauss(4 * (i % 3), 1), rng.random()] for i in range(90)]
+    labellings = {"a": [i % 3 for i in range(90)], "b": [rng.randrange(4) for _ in x], "c": [i % 3 for i in range(90)]}
+    points = spark.createDataFrame([(i, v) for i, v in enumerate(x)], "id bigint, vector array<double>")
+    labels = spark.createDataFrame([(t, i, c) for t, cs in labellings.items() for i, c in enumerate(cs)], "run string, id bigint, c int")
+    got = {(r["run"], r["id"]): (r["c"], r["silhouette"]) for r in cluster_metrics.silhouette_points(points, labels, "id", "c", "run").collect()}
+    assert got == {(t, i): (cs[i], pytest.approx(s, abs=1e-9)) for t, cs in labellings.items() for i, s in brute_silhouette(x, cs).items()}
