@@ -11,10 +11,12 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from basketry.session import materialised, parts
+from basketry.session import ensure_checkpoint_dir, materialised, parts
 
 #: Users of a block, at most, and users whose products with a block of items are made at a time.
 USERS, STRIP = 65_536, 256
+#: Purchases of a block in the factorisation, about; blocks at least.
+PURCHASES, BLOCKS = 1 << 21, 10
 
 
 def baskets(rows: DataFrame, by: Sequence[str | Column], item: str) -> DataFrame:
@@ -60,11 +62,15 @@ def frequent_items(baskets: DataFrame, least_count: int) -> tuple[DataFrame, Dat
 def factorise(counts: DataFrame, user: str, item: str, n: str = "n", rank: int = 10, rounds: int = 10, weight: float = 40.0, regular: float = 0.1, seed: int = 42) -> ALSModel:
     """Alternating least squares on purchase counts, taken as confidence ``1 + weight n`` in a preference.
 
-    Both ids must be whole numbers in the integer range.
+    Both ids must be whole numbers in the integer range.  A task holds the purchases of one block and the factors they need,
+    so blocks grow in number, not in size.  Every round is written out, so that its shuffle of item factors can go.
     """
+    blocks = max(BLOCKS, -(-counts.count() // PURCHASES))
+    ensure_checkpoint_dir(counts.sparkSession)
     als = ALS(
-        rank=rank, maxIter=rounds, regParam=regular, alpha=weight, implicitPrefs=True, seed=seed, userCol=user, itemCol=item, ratingCol=n
-    )
+        rank=rank, maxIter=rounds, regParam=regular, alpha=weight, implicitPrefs=True, seed=seed, userCol=user, itemCol=item, ratingCol=n,
+        numUserBlocks=blocks, numItemBlocks=blocks, checkpointInterval=1,
+    )
     return als.fit(counts.select(F.col(user).cast("int").alias(user), F.col(item).cast("int").alias(item), F.col(n).cast("float").alias(n)))
 
 

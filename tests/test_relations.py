@@ -223,6 +223,20 @@ def test_factorisation_recommends_and_sums_up(spark):
     assert found["bought_score"] == pytest.approx(np.mean([scores[p] for p in bought])) and found["bought"] == len(bought)
 
 
+def test_blocks_of_a_factorisation_grow_in_number(spark, monkeypatch):
+    rng = random.Random(9)
+    counts = spark.createDataFrame([(u, i, rng.randint(1, 3)) for u in range(60) for i in rng.sample(range(40), 10)], "u int, i int, n int")
+    assert recommend.factorise(counts, "u", "i", rank=3, rounds=2).userFactors.rdd.getNumPartitions() == 10
+    monkeypatch.setattr(recommend, "PURCHASES", 40)
+    model = recommend.factorise(counts, "u", "i", rank=3, rounds=3)
+    assert model.userFactors.rdd.getNumPartitions() == model.itemFactors.rdd.getNumPartitions() == 15
+    assert model.userFactors.count() == 60 and model.itemFactors.count() == 40
+    best = recommend.recommendations(model, 4, "u", "i")
+    assert best.count() == 240
+    found = recommend.reconstruction(model, counts, "u", "i").first()
+    assert found["bought"] == 600 and found["bought_score"] > found["mean_score"]
+
+
 # --- P4, P5, P6, P8, P9 --------------------------------------------------------------------------------
 
 
