@@ -8,6 +8,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,6 +163,33 @@ def test_cosine_join_finds_every_pair(spark, threshold):
         assert got[i] == want
 
 
+def test_counts_compare_in_single_precision_and_are_exact(spark, monkeypatch):
+    """Products that single precision cannot tell from the threshold are counted as in double precision."""
+    kinds, whole = set(), similarity._products
+
+    def products(l, r, n):
+        kinds.add(l.w.dtype.name)
+        return whole(l, r, n)
+
+    rows = [(0, "a", 1.0)]
+    for i, gap in enumerate([0.0, 1e-8, -1e-8, 3e-8, -3e-8, -5e-10, 2e-6, -2e-6, 0.1, -0.1], start=1):
+        rows += [(i, "a", 0.5 + gap), (i, f"z{i}", math.sqrt(1 - (0.5 + gap) ** 2))]
+    weights = spark.createDataFrame(rows, "id bigint, term string, w double")
+    got = {r["id"]: r["similar"] for r in similarity.cosine_counts(weights, "id", 0.5).collect()}
+    assert got[0] == 6 and [i for i in range(1, 11) if got[i]] == [1, 2, 4, 6, 7, 9]
+    assert rows_of(similarity.cosine_counts(weights, "id", 0.5)) == rows_of(similarity.link_counts(*similarity.cosine_join(weights, "id", 0.5), "id"))
+    rng, n = np.random.default_rng(5), 40
+    x = rng.random((n, 6))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    numbers = {"size": np.full(n, 6, np.int32), "code": np.tile(np.arange(6, dtype=np.int32), n), "w": x.ravel(), "prefix": np.full(n, 6, np.int32)}
+    columns = {f"{s}_{c}": pa.array([v.tobytes()], pa.binary()) for s in "lr" for c, v in numbers.items()}
+    columns |= {f"{s}_terms": pa.array([list("abcdef")]) for s in "lr"} | {"term": pa.array(["a"]), "lchunk": pa.array([0]), "rchunk": pa.array([1])}
+    monkeypatch.setattr(similarity, "_products", products)
+    batch, similar = pa.RecordBatch.from_pydict(columns), lambda l, r, product: (product >= 0.9 - 1e-9, product)
+    found = np.concatenate([close for _, _, close, _ in similarity._meetings(batch, similar, 0.9)])
+    assert (found == (x @ x.T >= 0.9 - 1e-9)).all() and "float32" in kinds
+
+
 def test_joins_of_nothing(spark):
     links, members = similarity.jaccard_join(spark.createDataFrame([], "id bigint, term string"), "id", 0.5)
     assert links.count() == 0 and members.count() == 0
